@@ -8,11 +8,13 @@ chunk border, so no task ever sees more than one chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.functions.expr import edges_passed
 from flowspark.session import collect_bounded, local_table, materialize
 
 CHUNK_ROWS = 200_000
@@ -51,7 +53,7 @@ def with_sequence(df: DataFrame, order_by: Sequence[str], name: str = "seq") ->
 
 def rolling(
     sequenced: DataFrame,
-    outputs: dict[str, "callable"],
+    outputs: dict[str, Callable],
     size: int,
     partition_by: Sequence[str] = (),
     seq: str = "seq",
@@ -122,7 +124,9 @@ def fill_gaps(
     return filled.select(*sequenced.columns)
 
 
-def quantile_edges(df: DataFrame, value: Column, rows_per_bucket: int, max_buckets: int) -> list[float]:
+def quantile_edges(
+    df: DataFrame, value: str, rows_per_bucket: int = CHUNK_ROWS, max_buckets: int = 4096
+) -> list[float]:
     """Cut points that put about ``rows_per_bucket`` rows between neighbours.
 
     Sketch based: only the balance of the buckets depends on its accuracy, never a
@@ -131,15 +135,52 @@ def quantile_edges(df: DataFrame, value: Column, rows_per_bucket: int, max_bucke
     grid = [i / max_buckets for i in range(1, max_buckets)]
     row = df.agg(
         F.count(value).alias("n"),
-        F.percentile_approx(value, F.array(*[F.lit(g) for g in grid]) if len(grid) <= 64 else F.expr(
-            "transform(sequence(1, %d), i -> i / CAST(%d AS DOUBLE))" % (max_buckets - 1, max_buckets)
-        ), 4 * max_buckets).alias("points"),
+        F.percentile_approx(value, grid, 2 * max_buckets).alias("points"),
     ).first()
-    if not row["n"]:
-        return []
     wanted = min(max_buckets, -(-row["n"] // rows_per_bucket))
     if wanted <= 1:
         return []
     step = max_buckets / wanted
-    picked = {row["points"][int(round(step * i)) - 1] for i in range(1, wanted)}
-    return sorted(picked)
+    return sorted({float(row["points"][int(round(step * i)) - 1]) for i in range(1, wanted)})
+
+
+def add_bucket(df: DataFrame, value: str, edges: Sequence[float], name: str) -> DataFrame:
+    """Number of edges at or below ``value``; binary search on either path."""
+    if len(edges) <= 64:
+        return df.withColumn(name, edges_passed(F.col(value), edges))
+    splits = [float("-inf"), *edges, float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep")
+    return bucketizer.transform(df).withColumn(name, F.col(name).cast("int"))
+
+
+def running_sums(
+    counts: DataFrame,
+    order: str,
+    sums: Sequence[str],
+    edges: Sequence[float],
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Inclusive running totals ``cum_<column>`` from the largest ``order`` downwards.
+
+    ``counts`` has one row per (keys, order).  Totals per bucket are accumulated
+    first; the rows of one bucket then only add that offset to their own running
+    sum, so the sort is spread over all buckets instead of one task.
+    """
+    bucketed = add_bucket(counts, order, edges, "_bucket")
+    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_total_{c}") for c in sums])
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    above = group.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *keys,
+        "_bucket",
+        *[F.coalesce(F.sum(f"_total_{c}").over(above), F.lit(0)).alias(f"_above_{c}") for c in sums],
+    )
+    inside = (
+        Window.partitionBy(*keys, "_bucket").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    joined = bucketed.join(offsets, [*keys, "_bucket"])
+    return joined.select(
+        *counts.columns,
+        "_bucket",
+        *[(F.col(f"_above_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums],
+    )
