@@ -35,6 +35,8 @@ def exact_quantiles(
     if any(not 0.0 <= q <= 1.0 for q in probabilities):
         raise ValueError("Quantile probabilities must lie in [0, 1].")
     keys = list(keys)
+    if not keys:
+        raise ValueError("Quantiles are taken per group; name at least one key.")
     slack = 4.0 / accuracy
     lower = [max(0.0, q - slack) for q in probabilities]
     upper = [min(1.0, q + slack) for q in probabilities]
@@ -49,7 +51,7 @@ def exact_quantiles(
     brackets = localise(sketch, "quantile_brackets")
 
     # Counting below the brackets needs no shuffle of values, only one record per group.
-    located = present.join(brackets, keys) if keys else present.crossJoin(brackets)
+    located = present.join(brackets, keys)
     slots = range(len(probabilities))
     low = [F.col("_lo")[i] for i in slots]
     high = [F.col("_hi")[i] for i in slots]

@@ -20,6 +20,12 @@ MAX_FPR = 0.005
 SUMMARY_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "specificity", "fpr", "fnr")
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables as one row."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.first(quoted(c), ignorenulls=True).alias(c) for c in both.columns])
+
+
 def confusion_counts(
     df: DataFrame, label: str, prediction: str, positive: object = 1, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -240,16 +246,14 @@ def threshold_sweep(
     points = sorted({float(c) for c in candidates})
     if not points or any(not 0.0 < c < 1.0 for c in points):
         raise ValueError("Threshold candidates must be non-empty values between 0 and 1.")
-    spark = df.sparkSession
     noted = add_bucket(
         df.select(*keys, quoted(label).alias("_y"), quoted(score).cast("double").alias("_p")), "_p", points, "_reached"
     )
     counts = noted.groupBy(*keys, "_reached").agg(
         F.count(F.when(F.col("_y") == 1, 1)).alias("_pos"), F.count(F.when(F.col("_y") != 1, 1)).alias("_neg")
     )
-    table = local_table(spark, list(enumerate(points, start=1)), "_i int, threshold double")
-    spread = counts.join(table, F.lit(True))
-    reached = F.col("_reached") >= F.col("_i")
+    spread = counts.select("*", F.posexplode(F.lit(points)).alias("_i", "threshold"))
+    reached = F.col("_reached") > F.col("_i")
     cells = spread.groupBy(*keys, "threshold").agg(
         F.sum(F.when(reached, F.col("_pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(reached, 0).otherwise(F.col("_pos"))).alias("fn"),
@@ -315,7 +319,7 @@ def binary_metrics(
         return metrics
     marked = df.withColumn("_hit", F.when(quoted(label) == F.lit(positive), 1).otherwise(0))
     areas = ranking_scores(marked, "_hit", score, keys)
-    return metrics.join(areas, list(keys)) if keys else metrics.crossJoin(areas)
+    return metrics.join(areas, list(keys)) if keys else beside(metrics, areas)
 
 
 def evaluate(
@@ -344,9 +348,10 @@ def evaluate(
         return report
     weighted = report["classification_report"].where("class = 'weighted avg'").select("precision", "recall", "f1")
     accuracy = report["classification_report"].where("class = 'accuracy'").select(F.col("f1").alias("accuracy"))
-    report["metrics"] = accuracy.crossJoin(weighted)
+    report["metrics"] = beside(accuracy, weighted)
     if score is not None:
-        report["metrics"] = report["metrics"].crossJoin(one_vs_rest(df, label, score, classes).drop("support"))
+        areas = one_vs_rest(df, label, score, classes).drop("support")
+        report["metrics"] = beside(report["metrics"], areas)
     return report
 
 
