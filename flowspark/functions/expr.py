@@ -27,6 +27,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def finite(value: Column) -> Column:
     """Infinities and NaN become NULL, the one missing value used everywhere."""
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
@@ -38,7 +43,7 @@ def to_number(text: Column) -> Column:
     The JVM parser also takes Java suffixes and hexadecimal floats ("1d", "0x1p3");
     every such spelling, and the word infinity, holds one of the letters d, f or p.
     """
-    plain = F.trim(text)
+    plain = strip(text)
     return finite(F.when(~plain.rlike("[dDfFpP]"), plain).try_cast("double"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.expr import quoted
+from flowspark.functions.expr import quoted, strip
 
 LABEL = "label"
 
@@ -16,8 +16,8 @@ def substring_label(text: Column) -> Column:
 
 
 def exact_label(text: Column) -> Column:
-    """0 only for the trimmed text BENIGN in capitals; NULL for a blank or missing one."""
-    trimmed = F.trim(text.cast("string"))
+    """0 only for the stripped text BENIGN in capitals; NULL for a blank or missing one."""
+    trimmed = strip(text.cast("string"))
     return F.when(trimmed == "BENIGN", 0).when(trimmed != "", 1)
 
 

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.functions.expr import HEADER_ALIASES, quoted
+from flowspark.functions.expr import HEADER_ALIASES, quoted, strip
 from flowspark.session import collect_bounded, local_table
 
 FORMATS = ("csv", "parquet")
@@ -230,7 +230,7 @@ def normalised_columns(columns="columns"):
 
     aliases = F.create_map(*[F.lit(x) for pair in HEADER_ALIASES.items() for x in pair])
     source = columns if isinstance(columns, Column) else F.col(columns)
-    return F.transform(source, lambda c: F.coalesce(F.try_element_at(aliases, F.trim(c)), F.trim(c)))
+    return F.transform(source, lambda c: F.coalesce(F.try_element_at(aliases, strip(c)), strip(c)))
 
 
 def inspect_headers(headers: DataFrame, required: Sequence[str]) -> DataFrame:
