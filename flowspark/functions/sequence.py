@@ -132,16 +132,13 @@ def quantile_edges(
     Sketch based: only the balance of the buckets depends on its accuracy, never a
     result.  A value that repeats very often yields one cut point, not many.
     """
-    grid = [i / max_buckets for i in range(1, max_buckets)]
-    row = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, grid, 2 * max_buckets).alias("points"),
-    ).first()
-    wanted = min(max_buckets, -(-row["n"] // rows_per_bucket))
+    rows = df.select(value).where(F.col(value).isNotNull()).count()
+    wanted = min(max_buckets, -(-rows // rows_per_bucket))
     if wanted <= 1:
         return []
-    step = max_buckets / wanted
-    return sorted({float(row["points"][int(round(step * i)) - 1]) for i in range(1, wanted)})
+    grid = [i / wanted for i in range(1, wanted)]
+    points = df.agg(F.percentile_approx(value, grid, max(1000, 4 * wanted)).alias("points")).first()["points"]
+    return sorted({float(p) for p in points})
 
 
 def add_bucket(df: DataFrame, value: str, edges: Sequence[float], name: str) -> DataFrame:

@@ -67,9 +67,8 @@ def resolve_parameters(kind: str, given: Mapping | None = None) -> dict:
 
 
 def _columns(estimator):
-    return estimator.setParams(
-        featuresCol=VECTOR, labelCol="label", rawPredictionCol="_raw", predictionCol="_predicted"
-    )
+    estimator = estimator.setFeaturesCol(VECTOR).setLabelCol("label").setPredictionCol("_predicted")
+    return estimator.setRawPredictionCol("_raw")
 
 
 def build_stages(kind: str, parameters: Mapping | None = None, rows: int | None = None) -> list:
@@ -107,7 +106,6 @@ def build_stages(kind: str, parameters: Mapping | None = None, rows: int | None
             weightCol=WEIGHT,
             checkpointInterval=10,
         )
-        # The boosted model names its probability column itself.
         return [_columns(boosted).setProbabilityCol("_probability")]
     if p["kernel"] != "linear":
         raise ValueError("Only the linear kernel is available; other kernels need all rows in one place.")
