@@ -34,11 +34,11 @@ def category_codes(spark, folder):
     return features.network_features(rows, ["row_id"])
 
 
-@query("byte_features", f"""WITH {NET_SQL} SELECT row_id, round(bytes_sent + bytes_received, 6) AS total_bytes,
-    round((bytes_sent + 1) / (bytes_received + 1), 6) AS byte_ratio FROM net""")
+@query("byte_features", f"""WITH {NET_SQL} SELECT row_id, bytes_sent + bytes_received AS total_bytes,
+    (bytes_sent + 1) / (bytes_received + 1) AS byte_ratio FROM net""")
 def byte_features(spark, folder):
     rows = net(spark, folder).select("row_id", "bytes_sent", "bytes_received")
-    return rounded(features.network_features(rows, ["row_id"]))
+    return features.network_features(rows, ["row_id"])
 
 
 PRODUCTS = [(a, b) for a, b in combinations(FEATURES, 2)]
@@ -46,9 +46,9 @@ PRODUCT_SQL = ", ".join(f"{a} * {b} AS {a}_x_{b}" for a, b in PRODUCTS)
 
 
 @query("interactions", f"""WITH {FLOW_SQL} SELECT row_id, {', '.join(FEATURES)},
-    {', '.join(f"round({a} * {b}, 4) AS {a}_x_{b}" for a, b in PRODUCTS)} FROM flow""")
+    {PRODUCT_SQL} FROM flow""")
 def interactions(spark, folder):
-    return rounded(features.interactions(flow(spark, folder).select("row_id", *FEATURES), FEATURES), 4)
+    return features.interactions(flow(spark, folder).select("row_id", *FEATURES), FEATURES)
 
 
 def anova_sql(source: str, columns: list[str]) -> str:

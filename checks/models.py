@@ -9,7 +9,7 @@ from flowspark.plans.training import Settings, cross_validate, train_pipeline
 SMALL = {
     "random_forest": {"n_estimators": 8, "max_depth": 5},
     "gbt": {"n_estimators": 5, "max_depth": 3},
-    "svm": {},
+    "svm": {"max_iter": 10},
 }
 SETTINGS = Settings(kind="gbt", parameters=SMALL["gbt"], min_recall=0.5, max_fpr=1.0)
 
@@ -68,3 +68,12 @@ def perm_importance(spark, folder):
     scaled = apply_scaler(rows, fit_scaler(rows, FEATURES))
     model = models.train(scaled, FEATURES, "gbt", SMALL["gbt"])
     return models.permutation_importance(scaled, model, "label", "row_id", repeats=2)
+
+
+@query("smote")
+def smote(spark, folder):
+    from flowspark.operators.smote import smote as balanced
+
+    rows = flow(spark, folder).select("row_id", "label", *FEATURES)
+    scaled = apply_scaler(rows, fit_scaler(rows, FEATURES))
+    return balanced(scaled, FEATURES, "label", "row_id")

@@ -1,120 +1,249 @@
 """Exact quantiles without buffering a column in one task.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in memory.
-Here a sketch first brackets each wanted rank, a second pass counts what lies below
-the bracket, and only the few values inside it are counted one by one.
+Here a sketch first brackets each wanted rank.  A second pass counts what lies
+between the brackets and only the few values inside them one by one.  A bracket
+that still holds too many rows is sketched again, so the part that is sorted stays
+bounded however large the data is.  The sketch decides about cost, never about the
+result: a rank that turns out to lie outside its bracket is searched again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+import bisect
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.session import localise
-
-SKETCH_ACCURACY = 10_000
+from flowspark.functions.expr import edges_passed, quoted
+from flowspark.session import collect_bounded, local_table
+
+SKETCH_SIZE = 4096
+# Four times the rank error that a sketch of this size has with 99 % confidence.
+SLACK = 0.003
+BRACKET_ROWS = 2_000_000
+GRID = [i / 400 for i in range(401)]
+
+Intervals = list[tuple[float, float]]
+Coder = Callable[[dict[object, Intervals]], DataFrame]
+
+
+def _merge(intervals: Intervals) -> Intervals:
+    """Sorted disjoint closed intervals."""
+    merged: Intervals = []
+    for low, high in sorted(intervals):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _points(intervals: Intervals) -> list[float]:
+    """Edges whose number at or below a value is odd exactly inside an interval."""
+    return [p for low, high in intervals for p in (low, math.nextafter(high, math.inf))]
+
+
+def _ranks(rows: int, probabilities: Sequence[float]) -> dict[float, tuple[int, float]]:
+    """0-based rank and the fraction of the step to the next one, per probability."""
+    places = {}
+    for q in probabilities:
+        position = q * (rows - 1)
+        places[q] = (math.floor(position), position - math.floor(position))
+    return places
+
+
+def _needed(rows: int, probabilities: Sequence[float]) -> list[int]:
+    wanted = set()
+    for rank, part in _ranks(rows, probabilities).values():
+        wanted.add(rank)
+        if part > 0:
+            wanted.add(rank + 1)
+    return sorted(wanted)
+
+
+def _narrow(coded: DataFrame, needed: dict[object, list[int]]) -> tuple[dict[object, Intervals], int]:
+    """Sketch the rows inside the brackets and tighten them; also the largest population left."""
+    inside = F.col("_v")
+    stats = coded.groupBy("_k", "_code").agg(
+        F.count("*").alias("n"),
+        F.min(inside).alias("lo"),
+        F.max(inside).alias("hi"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(inside, SKETCH_SIZE), F.lit(GRID)).alias("grid"),
+    )
+    segments: dict[object, list] = {}
+    for row in collect_bounded(stats, "Bracket counts"):
+        segments.setdefault(row["_k"], []).append(row)
+    tightened: dict[object, Intervals] = {}
+    largest = 0
+    for key, ranks in needed.items():
+        rows = sorted(segments[key], key=lambda r: r["_code"])
+        ends, total = [], 0
+        for row in rows:
+            total += row["n"]
+            ends.append(total)
+        found: Intervals = []
+        for rank in ranks:
+            i = bisect.bisect_right(ends, rank)
+            row = rows[i]
+            share = (rank - (ends[i] - row["n"])) / max(row["n"] - 1, 1)
+            first = max(0, math.floor((share - SLACK) * 400))
+            last = min(400, math.ceil((share + SLACK) * 400))
+            low = row["lo"] if first == 0 else row["grid"][first]
+            high = row["hi"] if last == 400 else row["grid"][last]
+            found.append((low, high))
+            if low < high:
+                largest = max(largest, math.ceil(row["n"] * (last - first) / 400))
+        tightened[key] = _merge(found)
+    return tightened, largest
+
+
+def _locate(coded: DataFrame, needed: dict[object, list[int]], key_type: str) -> dict[object, dict[int, float | None]]:
+    """Values at the needed ranks; None where a bracket missed its rank."""
+    exact = F.when(F.col("_code") % 2 == 1, F.col("_v"))
+    cells = coded.groupBy("_k", "_code", exact.alias("_x")).agg(
+        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
+    )
+    order = Window.partitionBy("_k").orderBy("_code", "_x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cells.withColumn("upto", F.sum("n").over(order))
+    spark = coded.sparkSession
+    wanted = local_table(
+        spark, [(k, r) for k, ranks in needed.items() for r in ranks], f"_k {key_type}, rank bigint"
+    )
+    hits = counted.join(wanted, "_k").where(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    )
+    value = (
+        F.when(F.col("_x").isNotNull(), F.col("_x"))
+        .when(F.col("rank") == F.col("upto") - F.col("n"), F.col("lo"))
+        .when(F.col("rank") == F.col("upto") - 1, F.col("hi"))
+    )
+    located: dict[object, dict[int, float | None]] = {k: {} for k in needed}
+    for row in collect_bounded(hits.select("_k", "rank", value.alias("v")), "Quantile ranks"):
+        located[row["_k"]][row["rank"]] = row["v"]
+    return located
 
 
-def exact_quantiles(
-    values: DataFrame,
-    keys: Sequence[str],
-    value: str,
+def _solve(
+    sizes: dict[object, int],
+    brackets: dict[object, Intervals],
     probabilities: Sequence[float],
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """Linearly interpolated quantiles per group of a long table.
+    code: Coder,
+    key_type: str,
+) -> dict[object, dict[float, float]]:
+    values: dict[object, dict[int, float]] = {k: {} for k in sizes}
+    open_ranks = {k: _needed(n, probabilities) for k, n in sizes.items()}
+    population = max((math.ceil(2 * SLACK * n) for n in sizes.values()), default=0)
+    while open_ranks:
+        while population > BRACKET_ROWS:
+            before = population
+            brackets, population = _narrow(code(brackets), open_ranks)
+            if population >= before:
+                break
+        missed = {}
+        for k, found in _locate(code(brackets), open_ranks, key_type).items():
+            values[k].update({r: v for r, v in found.items() if v is not None})
+            rest = [r for r in open_ranks[k] if r not in values[k]]
+            if rest:
+                missed[k] = rest
+        open_ranks = missed
+        # A missed rank is bracketed again from the whole range.
+        brackets = {k: [(-math.inf, math.inf)] for k in missed}
+        population = max((sizes[k] for k in missed), default=0)
+    answers: dict[object, dict[float, float]] = {}
+    for k, n in sizes.items():
+        answers[k] = {}
+        for q, (rank, part) in _ranks(n, probabilities).items():
+            first = values[k][rank]
+            answers[k][q] = first + (values[k][rank + 1] - first) * part if part > 0 else first
+    return answers
+
+
+def _checked(probabilities: Sequence[float]) -> list[float]:
+    listed = sorted({float(q) for q in probabilities})
+    if not listed or any(not 0.0 <= q <= 1.0 for q in listed):
+        raise ValueError("Quantile probabilities must lie in [0, 1].")
+    return listed
+
+
+def _first_ranks(listed: Sequence[float]) -> list[float]:
+    return [r for q in listed for r in (max(0.0, q - SLACK), min(1.0, q + SLACK))]
+
 
-    Returns ``keys``, ``q`` (the probability) and ``quantile``.  NULL values are
-    ignored; a group without values does not appear.
+def _first_brackets(points: Sequence[float]) -> Intervals:
+    return _merge(list(zip(points[::2], points[1::2])))
+
+
+def _sketched(value) -> object:
+    return F.kll_sketch_agg_double(value, SKETCH_SIZE)
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> dict[str, dict[float, float]]:
+    """{column: {probability: quantile}}, linearly interpolated; NULLs are ignored.
+
+    A column without values is absent.  Values have to be finite.
     """
-    probabilities = [float(q) for q in probabilities]
-    if any(not 0.0 <= q <= 1.0 for q in probabilities):
-        raise ValueError("Quantile probabilities must lie in [0, 1].")
-    keys = list(keys)
-    if not keys:
-        raise ValueError("Quantiles are taken per group; name at least one key.")
-    slack = 4.0 / accuracy
-    lower = [max(0.0, q - slack) for q in probabilities]
-    upper = [min(1.0, q + slack) for q in probabilities]
-    present = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-
-    sketch = present.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", lower, accuracy).alias("_lo"),
-        F.percentile_approx("_v", upper, accuracy).alias("_hi"),
-    )
-    # One record per group; groups are features, outcomes or classes.
-    brackets = localise(sketch, "quantile_brackets")
-
-    # Counting below the brackets needs no shuffle of values, only one record per group.
-    located = present.join(brackets, keys)
-    slots = range(len(probabilities))
-    low = [F.col("_lo")[i] for i in slots]
-    high = [F.col("_hi")[i] for i in slots]
-    counted = located.groupBy(*keys, "_n").agg(
-        *[F.count(F.when(F.col("_v") < low[i], 1)).alias(f"_below{i}") for i in slots],
-        *[F.max(F.when(F.col("_v") < low[i], F.col("_v"))).alias(f"_left{i}") for i in slots],
-        *[F.min(F.when(F.col("_v") > high[i], F.col("_v"))).alias(f"_right{i}") for i in slots],
-    )
-    # Only values inside some bracket travel, and equal ones are combined first.
-    in_bracket = [(F.col("_v") >= low[i]) & (F.col("_v") <= high[i]) for i in slots]
-    inside = (
-        located.where(reduce(or_, in_bracket))
-        .select(*keys, "_v", F.explode(F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(in_bracket)])).alias("_slot"))
-        .where(F.col("_slot").isNotNull())
-        .groupBy(*keys, "_slot", "_v")
-        .agg(F.count("*").alias("_c"))
+    listed = _checked(probabilities)
+    names = [f"v{i}" for i in range(len(columns))]
+    wide = df.select(*[quoted(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    ranks = F.lit(_first_ranks(listed))
+    sizes: dict[object, int] = {}
+    brackets: dict[object, Intervals] = {}
+    for start in range(0, len(names), 25):
+        part = names[start : start + 25]
+        row = wide.agg(
+            *[F.count(n).alias(f"{n}_n") for n in part],
+            *[
+                F.when(F.count(n) > 0, F.kll_sketch_get_quantile_double(_sketched(F.col(n)), ranks)).alias(f"{n}_q")
+                for n in part
+            ],
+        ).first()
+        for n in part:
+            if row[f"{n}_n"]:
+                sizes[n] = row[f"{n}_n"]
+                brackets[n] = _first_brackets(row[f"{n}_q"])
+
+    def code(current: dict[object, Intervals]) -> DataFrame:
+        # Position relative to the brackets is literal arithmetic beside each column.
+        cells = []
+        for n, intervals in current.items():
+            cells += [F.lit(n), F.col(n), edges_passed(F.col(n), _points(intervals))]
+        stacked = wide.select(F.stack(F.lit(len(current)), *cells).alias("_k", "_v", "_code"))
+        return stacked.where("_v IS NOT NULL")
+
+    solved = _solve(sizes, brackets, listed, code, "string")
+    return {c: solved[n] for c, n in zip(columns, names) if n in solved}
+
+
+def group_quantiles(
+    df: DataFrame, key: str, value: str, probabilities: Sequence[float]
+) -> dict[object, dict[float, float]]:
+    """{group: {probability: quantile}} for a column with a bounded number of groups."""
+    listed = _checked(probabilities)
+    rows = df.select(quoted(key).alias("_k"), quoted(value).cast("double").alias("_v")).where(
+        "_v IS NOT NULL AND _k IS NOT NULL"
     )
-    order = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.select(*keys, "_slot", "_v", "_c", F.sum("_c").over(order).alias("_upto"))
-
-    wanted = counted.select(
-        *keys,
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("_slot"), F.lit(q).alias("q"), F.col(f"_below{i}").alias("below"),
-                        F.col(f"_left{i}").alias("left"), F.col(f"_right{i}").alias("right"),
-                    )
-                    for i, q in enumerate(probabilities)
-                ]
-            )
-        ).alias("_w"),
-    ).select(*keys, "_n", "_w.*")
-    position = F.col("q") * (F.col("_n") - 1)
-    wanted = wanted.withColumn("_k", F.floor(position)).withColumn("_part", position - F.floor(position))
-
-    # Value number k (0-based) is the first whose running count exceeds k.
-    def at(rank):
-        local = rank - F.col("below")
-        return F.min(F.when(F.col("_upto") > local, F.col("_v")))
-
-    joined = wanted.join(ranked, [*keys, "_slot"], "left")
-    found = joined.groupBy(*keys, "_slot", "q", "_n", "_k", "_part", "below", "left", "right").agg(
-        at(F.col("_k")).alias("_at"),
-        at(F.col("_k") + 1).alias("_next"),
-        F.coalesce(F.max("_upto"), F.lit(0)).alias("_inside"),
+    sketch = rows.groupBy("_k").agg(
+        F.count("*").alias("n"),
+        F.kll_sketch_get_quantile_double(_sketched(F.col("_v")), F.lit(_first_ranks(listed))).alias("q"),
     )
-
-    def pick(rank, inside_value):
-        local = rank - F.col("below")
-        return (
-            F.when(local == -1, F.col("left"))
-            .when((local >= 0) & (local < F.col("_inside")), inside_value)
-            .when(local == F.col("_inside"), F.col("right"))
-            .otherwise(F.raise_error(F.lit("A quantile fell outside its bracket; raise the accuracy.")).cast("double"))
+    found = collect_bounded(sketch, "Quantile groups")
+    sizes = {r["_k"]: r["n"] for r in found}
+    brackets = {r["_k"]: _first_brackets(r["q"]) for r in found}
+    key_type = df.schema[key].dataType.simpleString()
+
+    def code(current: dict[object, Intervals]) -> DataFrame:
+        table = local_table(
+            df.sparkSession,
+            [(k, _points(intervals)) for k, intervals in current.items()],
+            f"_k {key_type}, _points array<double>",
         )
+        joined = rows.join(table, "_k")
+        passed = F.size(F.filter("_points", lambda p: p <= F.col("_v")))
+        return joined.select("_k", "_v", passed.alias("_code"))
 
-    first = pick(F.col("_k"), F.col("_at"))
-    second = F.when(F.col("_part") > 0, pick(F.col("_k") + 1, F.col("_next"))).otherwise(F.lit(0.0))
-    return found.select(
-        *keys,
-        "q",
-        F.when(F.col("_part") > 0, first + (second - first) * F.col("_part")).otherwise(first).alias("quantile"),
-    )
+    return _solve(sizes, brackets, listed, code, key_type)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.functions.expr import finite, long_form, quoted
-from flowspark.functions.quantiles import exact_quantiles
+from flowspark.functions.quantiles import column_quantiles
 from flowspark.functions.sequence import fill_gaps, with_sequence
 from flowspark.session import materialize
 
@@ -73,8 +73,7 @@ def fit_fill(df: DataFrame, columns: Sequence[str], strategy: str) -> dict[str,
     if strategy == "mean":
         found = wide_aggregate(clean, {(c,): F.avg(quoted(c).cast("double")) for c in columns})
         return {c: v for (c,), v in found.items() if v is not None}
-    medians = exact_quantiles(long_form(clean, columns), ["feature"], "value", [0.5])
-    return {row["feature"]: row["quantile"] for row in medians.collect()}
+    return {c: found[0.5] for c, found in column_quantiles(clean, columns, [0.5]).items()}
 
 
 def apply_fill(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
@@ -121,10 +120,7 @@ def fit_outliers(
     limit = OUTLIER_DEFAULTS[method] if threshold is None else float(threshold)
     ranges: dict[str, tuple[float, float]] = {}
     if method == "iqr":
-        quartiles: dict[str, dict[float, float]] = {}
-        for row in exact_quantiles(long_form(df, columns), ["feature"], "value", [0.25, 0.75]).collect():
-            quartiles.setdefault(row["feature"], {})[row["q"]] = row["quantile"]
-        for column, found in quartiles.items():
+        for column, found in column_quantiles(df, columns, [0.25, 0.75]).items():
             spread = found[0.75] - found[0.25]
             ranges[column] = (found[0.25] - limit * spread, found[0.75] + limit * spread)
         return ranges

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import edges_passed, long_form, quoted
-from flowspark.functions.quantiles import exact_quantiles
+from flowspark.functions.quantiles import column_quantiles
 from flowspark.operators.clean import numeric_columns, wide_aggregate
 from flowspark.operators.labels import find_label_column
 from flowspark.session import local_table
@@ -80,10 +80,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75]).groupBy("feature").agg(
-        F.max(F.when(F.col("q") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("q") == 0.5, F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("q") == 0.75, F.col("quantile"))).alias("q3"),
+    found = column_quantiles(df, chosen, [0.25, 0.5, 0.75])
+    quartiles = local_table(
+        df.sparkSession,
+        [(c, v[0.25], v[0.5], v[0.75]) for c, v in found.items()],
+        "feature string, q1 double, median double, q3 double",
     )
     return basic.join(quartiles, "feature", "left").select(
         "feature", "count", "mean", "std", "min", "q1", "median", "q3", "max"

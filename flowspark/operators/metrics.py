@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import outcome, quoted, ratio
-from flowspark.functions.quantiles import exact_quantiles
+from flowspark.functions.quantiles import group_quantiles
 from flowspark.functions.sequence import add_bucket, quantile_edges, running_sums
 from flowspark.session import local_table
 
@@ -381,10 +381,15 @@ def error_summary(diagnosed: DataFrame, score: str) -> DataFrame:
         F.avg(quoted(score)).alias("mean_attack_probability"),
         F.avg("distance_from_threshold").alias("mean_distance_from_threshold"),
     )
-    medians = exact_quantiles(diagnosed.select("outcome", quoted(score).alias("v")), ["outcome"], "v", [0.5])
+    found = group_quantiles(diagnosed, "outcome", score, [0.5])
+    medians = local_table(
+        diagnosed.sparkSession,
+        [(k, v[0.5]) for k, v in found.items()],
+        "outcome string, median_attack_probability double",
+    )
     everything = Window.partitionBy(F.lit(0))
     return (
-        sums.join(medians.select("outcome", F.col("quantile").alias("median_attack_probability")), "outcome", "left")
+        sums.join(medians, "outcome", "left")
         .withColumn("sample_fraction", F.col("samples").cast("double") / F.sum("samples").over(everything))
         .select(
             "outcome",

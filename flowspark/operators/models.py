@@ -33,7 +33,7 @@ DEFAULTS = {
         "n_estimators": 100, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8,
         "min_child_weight": 1.0, "reg_lambda": 1.0, "scale_pos_weight": 1.0, "random_state": 42,
     },
-    "svm": {"C": 1.0, "kernel": "linear", "random_state": 42},
+    "svm": {"C": 1.0, "kernel": "linear", "max_iter": 20, "tol": 1e-4, "random_state": 42},
 }
 
 # The randomized search space.
@@ -109,7 +109,12 @@ def build_stages(kind: str, parameters: Mapping | None = None, rows: int | None
         return [_columns(boosted).setProbabilityCol("_probability")]
     if p["kernel"] != "linear":
         raise ValueError("Only the linear kernel is available; other kernels need all rows in one place.")
-    margin = _columns(LinearSVC(weightCol=WEIGHT, standardization=True, regParam=1.0 / (p["C"] * (rows or 1))))
+    margin = _columns(
+        LinearSVC(
+            weightCol=WEIGHT, standardization=True, regParam=1.0 / (p["C"] * (rows or 1)),
+            maxIter=p["max_iter"], tol=p["tol"],
+        )
+    )
     calibrated = LogisticRegression(
         featuresCol="_raw", labelCol="label", probabilityCol="_probability",
         rawPredictionCol="_logit", predictionCol="_calibrated", regParam=1e-6,

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.functions.expr import long_form, quoted
-from flowspark.functions.quantiles import exact_quantiles
+from flowspark.functions.expr import quoted
+from flowspark.functions.quantiles import column_quantiles
 from flowspark.operators.clean import wide_aggregate
 from flowspark.session import local_table
 
@@ -70,9 +70,7 @@ def fit_scaler(df: DataFrame, features: Sequence[str], method: str = "minmax") -
         raise ValueError(f"Unknown normalization method: {method}")
     validate_features(df, features)
     if method == "robust":
-        found: dict[str, dict[float, float]] = {}
-        for row in exact_quantiles(long_form(df, features), ["feature"], "value", [0.25, 0.5, 0.75]).collect():
-            found.setdefault(row["feature"], {})[row["q"]] = row["quantile"]
+        found = column_quantiles(df, features, [0.25, 0.5, 0.75])
         pairs = [(found[c][0.5], found[c][0.75] - found[c][0.25]) for c in features]
     else:
         shift, spread = (F.min, F.max) if method == "minmax" else (F.avg, F.stddev_pop)

@@ -11,8 +11,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.expr import edges_passed, long_form, quoted
-from flowspark.functions.quantiles import exact_quantiles
+from flowspark.functions.expr import edges_passed, quoted
+from flowspark.functions.quantiles import column_quantiles
 from flowspark.operators.clean import wide_aggregate
 from flowspark.operators.features import INTERACTION_LIMIT, interactions
 from flowspark.session import local_table
@@ -66,12 +66,10 @@ def binned_mutual_information(df: DataFrame, features: Sequence[str], label: str
     if bins < 2:
         raise ValueError("bins must be at least 2")
     inner = [i / bins for i in range(1, bins)]
-    edges: dict[str, set[float]] = {f: set() for f in features}
-    for row in exact_quantiles(long_form(df, features), ["feature"], "value", inner).collect():
-        edges[row["feature"]].add(row["quantile"])
+    edges = {f: set(found.values()) for f, found in column_quantiles(df, features, inner).items()}
     coded = df.select(
         quoted(label).alias("_y"),
-        *[edges_passed(quoted(f).cast("double"), sorted(edges[f])).alias(f) for f in features],
+        *[edges_passed(quoted(f).cast("double"), sorted(edges.get(f, ()))).alias(f) for f in features],
     ).unpivot(["_y"], [quoted(f) for f in features], "feature", "bin")
     cells = coded.where("bin IS NOT NULL").groupBy("feature", "bin", "_y").agg(F.count("*").cast("double").alias("n"))
     per_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))

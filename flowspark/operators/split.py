@@ -204,20 +204,19 @@ def ranked_by_hash(df: DataFrame, label: str, row_id: str, seed: int, name: str
     return joined.withColumn(name, F.col("_off") + F.row_number().over(inside)).drop("_h", "_p", "_c", "_q", "_off")
 
 
-def oversample(df: DataFrame, label: str, row_id: str, seed: int = 42, name: str = "draw") -> DataFrame:
-    """Add rows drawn with replacement until every class has the size of the largest.
+def draw_counts(df: DataFrame, label: str, row_id: str, seed: int = 42) -> DataFrame | None:
+    """Rows of the smaller classes with the number of times ``_times`` each is drawn.
 
-    ``draw`` counts the copies: 0 for an original row, 1, 2, ... for drawn ones.
     Draw k of a class takes the row whose rank is a hash of (seed, class, k) modulo
-    the class size.  Equal draws are counted before the join, so a popular row
-    travels once.
+    the class size, until the class reaches the size of the largest.  Equal draws
+    are counted before the join, so a popular row travels once.  None when the
+    classes are already balanced.
     """
     counts = class_counts(df, label)
     largest = max(counts.values())
     short = {c: n for c, n in counts.items() if n < largest}
-    originals = df.withColumn(name, F.lit(0).cast("bigint"))
     if not short:
-        return originals
+        return None
     spark, label_type = df.sparkSession, df.schema[label].dataType
     draws = None
     for c, n in short.items():
@@ -228,9 +227,33 @@ def oversample(df: DataFrame, label: str, row_id: str, seed: int = 42, name: str
         draws = picked if draws is None else draws.unionByName(picked)
     times = draws.groupBy("_dc", "_dr").agg(F.count("*").alias("_times"))
     ranked = ranked_by_hash(df.where(quoted(label).isin(list(short))), label, row_id, seed)
-    drawn = (
-        ranked.join(times, (quoted(label) == F.col("_dc")) & (F.col("_rank") == F.col("_dr")))
-        .withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
-        .select(*originals.columns)
-    )
-    return originals.unionByName(drawn)
+    joined = ranked.join(times, (quoted(label) == F.col("_dc")) & (F.col("_rank") == F.col("_dr")))
+    return joined.drop("_dc", "_dr", "_rank")
+
+
+def oversample(df: DataFrame, label: str, row_id: str, seed: int = 42, name: str = "draw") -> DataFrame:
+    """Add rows drawn with replacement until every class has the size of the largest.
+
+    ``draw`` counts the copies: 0 for an original row, 1, 2, ... for drawn ones.
+    """
+    originals = df.withColumn(name, F.lit(0).cast("bigint"))
+    drawn = draw_counts(df, label, row_id, seed)
+    if drawn is None:
+        return originals
+    copies = drawn.withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    return originals.unionByName(copies.select(*originals.columns))
+
+
+def balance(
+    df: DataFrame, label: str, row_id: str, strategy: str = "smote", features: Sequence[str] = (), seed: int = 42
+) -> DataFrame:
+    """Balance the classes by one of the three resampling strategies."""
+    if strategy == "undersample":
+        return undersample(df, label, row_id, seed)
+    if strategy == "oversample":
+        return oversample(df, label, row_id, seed).drop("draw")
+    if strategy == "smote":
+        from flowspark.operators.smote import smote
+
+        return smote(df, features, label, row_id, seed=seed)
+    raise ValueError(f"Unknown strategy: {strategy}")

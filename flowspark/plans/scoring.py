@@ -27,9 +27,9 @@ def artifact_scorer(artifact: Artifact) -> Scorer:
     return lambda df: attack_probability(apply_scaler(df, artifact.scaler), artifact.model)
 
 
-def expression_scorer(expression: Column) -> Scorer:
-    """A score that is a plain expression over the features."""
-    return lambda df: df.withColumn("probability", expression)
+def expression_scorer(expression: Column | str) -> Scorer:
+    """A score that is a plain expression (a Column or SQL text) over the features."""
+    return lambda df: df.withColumn("probability", F.expr(expression) if isinstance(expression, str) else expression)
 
 
 def score_rows(

@@ -8,7 +8,8 @@ import posixpath
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def load_data(spark: SparkSession, path: str, format: str | None = None, schema=
         reader = reader.schema(schema)
     try:
         return reader.format(kind).load(path)
-    except AnalysisException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise OSError(f"Failed to load {kind} data from {path}: {error}") from error
 
 

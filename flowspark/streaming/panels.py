@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.session import scratch_path
+from flowspark.functions.quantiles import group_quantiles
+from flowspark.session import local_table, scratch_path
 
 PANEL_WINDOW = "5 minutes"
 SLIDE = "1 minute"
@@ -60,11 +61,12 @@ def batch_size_histogram(df: DataFrame, batch: str, buckets: Sequence[float] = B
 
 def latency_percentiles(df: DataFrame, key: str, latency: str) -> DataFrame:
     """p50 / p95 / p99, mean and number of requests per key, linearly interpolated."""
-    from flowspark.functions.quantiles import exact_quantiles
-
-    points = {0.5: "p50", 0.95: "p95", 0.99: "p99"}
-    quantiles = exact_quantiles(df, [key], latency, list(points)).groupBy(key).agg(
-        *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(name) for q, name in points.items()]
+    found = group_quantiles(df, key, latency, [0.5, 0.95, 0.99])
+    kind = df.schema[key].dataType.simpleString()
+    quantiles = local_table(
+        df.sparkSession,
+        [(k, v[0.5], v[0.95], v[0.99]) for k, v in found.items()],
+        f"{key} {kind}, p50 double, p95 double, p99 double",
     )
     basic = df.groupBy(key).agg(F.avg(latency).alias("mean"), F.count(latency).alias("requests"))
     return basic.join(quantiles, key)
