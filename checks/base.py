@@ -75,10 +75,10 @@ def dirty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numeric(spark: SparkSession, folder: str) -> DataFrame:
-    from flowspark.functions.expr import to_number
+    from flowspark.functions.expr import parse_number
 
     return dirty(spark, folder).select(
-        "row_id", "copy", "quantity", to_number(F.col("price_text")).alias("price"), "discount", "label"
+        "row_id", "copy", "quantity", parse_number(F.col("price_text")).alias("price"), "discount", "label"
     )
 
 

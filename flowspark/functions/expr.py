@@ -17,6 +17,8 @@ HEADER_ALIASES = {
     "Min Packet Length": "Packet Length Min",
 }
 
+DECIMAL_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+
 # Result states of the scoring paths.
 SCORED = "scored"
 INVALID_INPUT = "invalid_input"
@@ -33,18 +35,26 @@ def strip(text: Column) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """Infinities and NaN become NULL, the one missing value used everywhere."""
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    """Infinities and NaN become NULL, the one missing value used everywhere.
+
+    The difference of a number with itself is zero unless it is not finite, then it
+    is NaN.  Plain arithmetic lets generated code evaluate ``value`` once.
+    """
+    return F.nanvl((value - value) + value, F.lit(None).cast("double"))
 
 
-def to_number(text: Column) -> Column:
-    """Lenient number: whatever is not a finite decimal number becomes NULL.
+def parse_number(text: Column) -> Column:
+    """The decimal number a text spells, else NULL; too large a number is infinite.
 
-    The JVM parser also takes Java suffixes and hexadecimal floats ("1d", "0x1p3");
-    every such spelling, and the word infinity, holds one of the letters d, f or p.
+    The pattern keeps out what only the JVM parser takes for a number: suffixes
+    ("1d"), hexadecimal floats and the names of infinity.
     """
-    plain = strip(text)
-    return finite(F.when(~plain.rlike("[dDfFpP]"), plain).try_cast("double"))
+    return F.regexp_extract(text, DECIMAL_NUMBER, 1).try_cast("double")
+
+
+def to_number(text: Column) -> Column:
+    """Lenient number: whatever is not a finite decimal number becomes NULL."""
+    return finite(parse_number(text))
 
 
 def normalise_header(name: object) -> str:

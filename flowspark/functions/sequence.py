@@ -125,7 +125,7 @@ def fill_gaps(
 
 
 def quantile_edges(
-    df: DataFrame, value: str, rows_per_bucket: int = CHUNK_ROWS, max_buckets: int = 4096
+    df: DataFrame, value: str, rows_per_bucket: int = CHUNK_ROWS, max_buckets: int = 16_384
 ) -> list[float]:
     """Cut points that put about ``rows_per_bucket`` rows between neighbours.
 

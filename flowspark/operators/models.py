@@ -21,7 +21,7 @@ from flowspark.operators.labels import check_labels, check_trainable
 from flowspark.operators.metrics import ranking_scores
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.operators.split import class_weights, stratified_folds, weight_column
-from flowspark.session import local_table
+from flowspark.session import local_table, materialize
 
 # Accepted hyperparameters and their defaults per algorithm.
 DEFAULTS = {
@@ -52,6 +52,7 @@ SEARCH_SPACE = {
 }
 
 DEEPEST_TREE = 30
+DONOR_BUCKET_ROWS = 20_000
 WEIGHT = "_weight"
 VECTOR = "_features"
 
@@ -191,16 +192,14 @@ def feature_importance(df_or_session, model: TrainedModel) -> DataFrame:
     return local_table(spark, [(f, float(v)) for f, v in zip(model.features, values)], "feature string, importance double")
 
 
-def shuffled_donor(df: DataFrame, features: Sequence[str], row_id: str, seed: int, rows_per_bucket: int = 20_000) -> DataFrame:
+def shuffled_donor(df: DataFrame, features: Sequence[str], row_id: str, seed: int, buckets: int) -> DataFrame:
     """Give every row the feature values of another row: one random permutation.
 
-    Rows fall into hash buckets of bounded size; inside a bucket each row takes the
+    Rows fall into hash buckets, as many as keep each one small; inside a bucket each row takes the
     values of its successor in hash order and the last row those of the first.  The
     buckets are random subsets, so this is a permutation of all rows that needs one
     shuffle and no global order.
     """
-    total = df.count()
-    buckets = max(1, total // rows_per_bucket)
     hashed = df.withColumn("_h", row_hash(quoted(row_id), seed))
     placed = hashed.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
     ring = Window.partitionBy("_b").orderBy("_h")
@@ -224,10 +223,12 @@ def permutation_importance(
     check_labels(df, label)
     features = list(model.features)
     base = df.select(quoted(row_id).alias("_id"), quoted(label).alias("_y"), *[quoted(f) for f in features])
+    base = materialize(base, "permuted")
+    buckets = max(1, base.count() // DONOR_BUCKET_ROWS)
     baseline = ranking_scores(attack_probability(base, model), "_y", "probability").first()["pr_auc"]
     variants = None
     for k in range(repeats):
-        donated = shuffled_donor(base, features, "_id", seed + k)
+        donated = shuffled_donor(base, features, "_id", seed + k, buckets)
         changed = donated.withColumn("_repeat", F.lit(k)).withColumn(
             "_feature", F.explode(F.array(*[F.lit(f) for f in features]))
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -42,8 +43,8 @@ class Scaler:
         )
 
 
-def validate_features(df: DataFrame, features: Sequence[str]) -> None:
-    """Reject empty, non-numeric, missing or non-finite feature data."""
+def check_columns(df: DataFrame, features: Sequence[str]) -> None:
+    """Reject absent and non-numeric feature columns; looks at the schema only."""
     if not features:
         raise ValueError("There are no features to scale.")
     absent = [c for c in features if c not in df.columns]
@@ -52,38 +53,55 @@ def validate_features(df: DataFrame, features: Sequence[str]) -> None:
     text = [c for c in features if not isinstance(df.schema[c].dataType, T.NumericType)]
     if text:
         raise ValueError(f"All model features must be numeric. Non-numeric columns: {text}")
-    bad = {}
-    for c in features:
-        value = quoted(c).cast("double")
-        unusable = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-        bad[(c,)] = F.count(F.when(unusable, 1))
-    counted = wide_aggregate(df, {**bad, (None,): F.count(F.lit(1))})
-    if not counted.pop((None,)):
+
+
+def _extent(features: Sequence[str]) -> dict:
+    values = {c: quoted(c).cast("double") for c in features}
+    return {
+        (None, "rows"): F.count(F.lit(1)),
+        **{(c, "n"): F.count(v) for c, v in values.items()},
+        **{(c, "min"): F.min(v) for c, v in values.items()},
+        **{(c, "max"): F.max(v) for c, v in values.items()},
+    }
+
+
+def _check_extent(found: dict, features: Sequence[str]) -> None:
+    """Complete columns whose ends are finite hold finite values only (NaN sorts last)."""
+    if not found[None, "rows"]:
         raise ValueError("Features must not be empty.")
-    if any(counted.values()):
-        raise ValueError("Features contain missing or infinite values; clean them before scaling.")
+    for c in features:
+        whole = found[c, "n"] == found[None, "rows"]
+        if not whole or not math.isfinite(found[c, "min"]) or not math.isfinite(found[c, "max"]):
+            raise ValueError("Features contain missing or infinite values; clean them before scaling.")
+
+
+def validate_features(df: DataFrame, features: Sequence[str]) -> None:
+    """Reject empty, non-numeric, missing or non-finite feature data."""
+    check_columns(df, features)
+    _check_extent(wide_aggregate(df, _extent(features)), features)
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str], method: str = "minmax") -> Scaler:
-    """Learn one shift and one scale per feature; a zero spread divides by one."""
+    """Learn one shift and one scale per feature; a zero spread divides by one.
+
+    Validation rides on the same aggregate as the statistics.
+    """
     if method not in METHODS:
         raise ValueError(f"Unknown normalization method: {method}")
-    validate_features(df, features)
-    if method == "robust":
-        found = column_quantiles(df, features, [0.25, 0.5, 0.75])
-        pairs = [(found[c][0.5], found[c][0.75] - found[c][0.25]) for c in features]
+    check_columns(df, features)
+    wanted = _extent(features)
+    if method == "zscore":
+        wanted.update({(c, "mean"): F.avg(quoted(c).cast("double")) for c in features})
+        wanted.update({(c, "std"): F.stddev_pop(quoted(c).cast("double")) for c in features})
+    found = wide_aggregate(df, wanted)
+    _check_extent(found, features)
+    if method == "minmax":
+        pairs = [(found[c, "min"], found[c, "max"] - found[c, "min"]) for c in features]
+    elif method == "zscore":
+        pairs = [(found[c, "mean"], found[c, "std"]) for c in features]
     else:
-        shift, spread = (F.min, F.max) if method == "minmax" else (F.avg, F.stddev_pop)
-        values = wide_aggregate(
-            df,
-            {
-                **{(c, 0): shift(quoted(c).cast("double")) for c in features},
-                **{(c, 1): spread(quoted(c).cast("double")) for c in features},
-            },
-        )
-        pairs = [
-            (values[c, 0], values[c, 1] - values[c, 0] if method == "minmax" else values[c, 1]) for c in features
-        ]
+        quartiles = column_quantiles(df, features, [0.25, 0.5, 0.75])
+        pairs = [(quartiles[c][0.5], quartiles[c][0.75] - quartiles[c][0.25]) for c in features]
     return Scaler(
         method, tuple(features), tuple(float(a) for a, _ in pairs), tuple(float(b) or 1.0 for _, b in pairs)
     )

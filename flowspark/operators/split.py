@@ -18,7 +18,9 @@ from flowspark.functions.expr import quoted
 from flowspark.functions.hashing import hash_number, row_hash
 from flowspark.session import collect_bounded, local_table
 
-PREFIX_DIGITS = 4
+PREFIX_DIGITS = 3
+RANKED_ROWS = 1_000_000
+RANK_DIGITS = 4
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -39,46 +41,73 @@ def allocate(counts: Mapping, total: int) -> dict:
     return share
 
 
-def cut_points(
-    df: DataFrame, label: str, row_id: str, seed: int, ranks: Mapping[object, Sequence[int]]
-) -> dict[object, list[str]]:
-    """Hash of the row at each wanted 1-based rank within its class.
+class HashOrder:
+    """Rows of each class in the order of a seeded hash of their id.
 
-    A histogram over hash prefixes locates the prefix that holds each rank; only
-    rows with those prefixes are ranked one by one.  Rank 0 gives the empty string,
-    which no hash is at or below.
+    One scan counts rows per class and hash prefix.  The hash at a rank is found by
+    descending into the prefix that holds the rank: prefixes with many rows are
+    counted again with more digits, and only the rows of a small prefix are ranked.
     """
-    spark = df.sparkSession
-    label_type = df.schema[label].dataType
-    hashed = df.select(quoted(label).alias("_c"), row_hash(quoted(row_id), seed).alias("_h"))
-    histogram = hashed.groupBy("_c", F.substring("_h", 1, PREFIX_DIGITS).alias("_p")).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    upto = histogram.withColumn("_upto", F.sum("_n").over(order))
-
-    wanted = [(c, i, int(r)) for c, listed in ranks.items() for i, r in enumerate(listed) if r > 0]
-    cuts: dict[object, list[str]] = {c: [""] * len(listed) for c, listed in ranks.items()}
-    if not wanted:
-        return cuts
-    schema = f"_c {label_type.simpleString()}, _i int, _r bigint"
-    target = local_table(spark, wanted, schema)
-    located = collect_bounded(
-        upto.join(target, "_c")
-        .where((F.col("_r") <= F.col("_upto")) & (F.col("_r") > F.col("_upto") - F.col("_n")))
-        .select("_c", "_i", "_p", (F.col("_r") - (F.col("_upto") - F.col("_n"))).alias("_k")),
-        "Split boundaries",
-    )
-    boundary = local_table(spark, located, f"_c {label_type.simpleString()}, _i int, _p string, _k bigint")
-    within = Window.partitionBy("_c", "_i").orderBy("_h")
-    found = (
-        hashed.withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
-        .join(boundary, ["_c", "_p"])
-        .withColumn("_rank", F.row_number().over(within))
-        .where(F.col("_rank") == F.col("_k"))
-        .select("_c", "_i", "_h")
-    )
-    for row in collect_bounded(found, "Split boundaries"):
-        cuts[row["_c"]][row["_i"]] = row["_h"]
-    return cuts
+
+    def __init__(self, df: DataFrame, label: str, row_id: str, seed: int):
+        self.spark = df.sparkSession
+        self.kind = df.schema[label].dataType.simpleString()
+        self.hashed = df.select(quoted(label).alias("_c"), row_hash(quoted(row_id), seed).alias("_h"))
+        self.prefixes = self._count(self.hashed, PREFIX_DIGITS)
+        if None in self.prefixes:
+            raise ValueError("Stratification needs a label on every row.")
+        self.counts = {
+            c: sum(n for _, n in found) for c, found in sorted(self.prefixes.items(), key=lambda item: str(item[0]))
+        }
+
+    def _count(self, rows: DataFrame, digits: int) -> dict[object, list[tuple[str, int]]]:
+        counted = rows.groupBy("_c", F.substring("_h", 1, digits).alias("_p")).agg(F.count("*").alias("n"))
+        found: dict[object, list[tuple[str, int]]] = {}
+        for row in collect_bounded(counted, "Hash prefixes", bound=4_000_000):
+            found.setdefault(row["_c"], []).append((row["_p"], row["n"]))
+        return {c: sorted(listed) for c, listed in found.items()}
+
+    def _within(self, prefixes: set[tuple[object, str]], digits: int) -> DataFrame:
+        table = local_table(self.spark, sorted(prefixes, key=str), f"_c {self.kind}, _p string")
+        return self.hashed.withColumn("_p", F.substring("_h", 1, digits)).join(table, ["_c", "_p"])
+
+    def cuts(self, ranks: Mapping[object, Sequence[int]]) -> dict[object, list[str]]:
+        """Hash of the row at each wanted 1-based rank; rank 0 gives the empty string."""
+        # (class, position in the list) -> (prefix, rank inside the prefix, rows of the prefix)
+        open_cuts: dict[tuple[object, int], tuple[str, int, int]] = {}
+
+        def descend(key, listed: list[tuple[str, int]], rank: int) -> None:
+            for prefix, n in listed:
+                if rank <= n:
+                    open_cuts[key] = (prefix, rank, n)
+                    return
+                rank -= n
+
+        for c, wanted in ranks.items():
+            for i, rank in enumerate(wanted):
+                if rank > 0:
+                    descend((c, i), self.prefixes[c], int(rank))
+        result = {c: [""] * len(wanted) for c, wanted in ranks.items()}
+        if not open_cuts:
+            return result
+        digits = PREFIX_DIGITS
+        while max(n for _, _, n in open_cuts.values()) > RANKED_ROWS and digits < 30:
+            inside = {(c, prefix) for (c, _), (prefix, _, _) in open_cuts.items()}
+            deeper = self._count(self._within(inside, digits), digits + PREFIX_DIGITS)
+            for (c, i), (prefix, rank, _) in list(open_cuts.items()):
+                descend((c, i), [f for f in deeper[c] if f[0].startswith(prefix)], rank)
+            digits += PREFIX_DIGITS
+        inside = {(c, prefix) for (c, _), (prefix, _, _) in open_cuts.items()}
+        order = Window.partitionBy("_c", "_p").orderBy("_h")
+        ranked = self._within(inside, digits).withColumn("_r", F.row_number().over(order))
+        target = local_table(
+            self.spark,
+            [(c, prefix, rank, i) for (c, i), (prefix, rank, _) in open_cuts.items()],
+            f"_c {self.kind}, _p string, _r int, _i int",
+        )
+        for row in collect_bounded(ranked.join(target, ["_c", "_p", "_r"]).select("_c", "_i", "_h"), "Cuts"):
+            result[row["_c"]][row["_i"]] = row["_h"]
+        return result
 
 
 def with_part(
@@ -122,7 +151,8 @@ def stratified_split(
     The test part is taken first; validation is a share of what remains.
     """
     check_sizes(train, test, val)
-    counts = class_counts(df, label)
+    order = HashOrder(df, label, row_id, seed)
+    counts = order.counts
     if len(counts) < 2:
         raise ValueError("At least two target classes are required for a stratified split.")
     total = sum(counts.values())
@@ -136,7 +166,7 @@ def stratified_split(
         in_train = allocate(in_rest, rest - math.ceil(val / (train + val) * rest))
         ranks = {c: [in_test[c], counts[c] - in_train[c]] for c in counts}
         names = ["test", "val", "train"]
-    parts = with_part(df, label, row_id, seed, cut_points(df, label, row_id, seed, ranks), name)
+    parts = with_part(df, label, row_id, seed, order.cuts(ranks), name)
     return parts.withColumn(name, F.element_at(F.array(*[F.lit(n) for n in names]), F.col(name) + 1))
 
 
@@ -153,11 +183,12 @@ def stratified_folds(
     """Add ``fold`` 1..k with every class spread as evenly as its size allows."""
     if folds < 2:
         raise ValueError("folds must be at least 2.")
-    counts = class_counts(df, label)
+    order = HashOrder(df, label, row_id, seed)
+    counts = order.counts
     if min(counts.values()) < folds:
         raise ValueError("Each class must contain at least as many samples as the number of folds.")
     ranks = {c: [i * (n // folds) + min(i, n % folds) for i in range(1, folds)] for c, n in counts.items()}
-    parts = with_part(df, label, row_id, seed, cut_points(df, label, row_id, seed, ranks), name)
+    parts = with_part(df, label, row_id, seed, order.cuts(ranks), name)
     return parts.withColumn(name, F.col(name) + 1)
 
 
@@ -187,15 +218,19 @@ def weight_column(label: str, weights: Mapping[object, float]) -> Column:
 
 def undersample(df: DataFrame, label: str, row_id: str, seed: int = 42) -> DataFrame:
     """Every class down to the size of the smallest one, chosen by hash order."""
-    counts = class_counts(df, label)
-    smallest = min(counts.values())
-    cuts = cut_points(df, label, row_id, seed, {c: [smallest] for c in counts})
+    order = HashOrder(df, label, row_id, seed)
+    smallest = min(order.counts.values())
+    cuts = order.cuts({c: [smallest] for c in order.counts})
     return with_part(df, label, row_id, seed, cuts, "_part").where("_part = 0").drop("_part")
 
 
 def ranked_by_hash(df: DataFrame, label: str, row_id: str, seed: int, name: str = "_rank") -> DataFrame:
-    """Dense 1-based rank within the class in hash order, computed per hash prefix."""
-    hashed = df.withColumn("_h", row_hash(quoted(row_id), seed)).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
+    """Dense 1-based rank within the class in hash order, computed per hash prefix.
+
+    Offsets come from the counts per prefix (at most classes x 65,536 records), so
+    only the rows of one prefix are ever sorted together.
+    """
+    hashed = df.withColumn("_h", row_hash(quoted(row_id), seed)).withColumn("_p", F.substring("_h", 1, RANK_DIGITS))
     sizes = hashed.groupBy(quoted(label).alias("_c"), "_p").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_c", F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

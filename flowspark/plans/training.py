@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import decide, quoted
-from flowspark.operators.clean import clean_holdout, clean_training
+from flowspark.operators.clean import clean_holdout, clean_training, numeric_columns
 from flowspark.operators.drift import calibration_summary, calibration_table, drift_baseline, drift_report
 from flowspark.operators.governance import dataset_manifest
-from flowspark.operators.labels import check_labels
+from flowspark.operators.labels import check_labels, standardize_labels
+from flowspark.operators.labels import single_source as check_single_source
 from flowspark.operators.metrics import (
     MAX_FPR, MIN_RECALL, THRESHOLD_CANDIDATES, all_compliant, binary_metrics, error_summary, evaluate,
     fold_summary, policy_flags, select_threshold, with_outcome,
@@ -20,10 +22,10 @@ from flowspark.operators.metrics import (
 from flowspark.operators.models import attack_probability, feature_importance, train
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.operators.selection import FeaturePlan, apply_features, fit_features, importance_stability
-from flowspark.operators.split import class_counts, inner_split, stratified_folds, stratified_split
+from flowspark.operators.split import inner_split, stratified_folds, stratified_split
 from flowspark.plans.artifact import Artifact, save_artifact
 from flowspark.session import materialize
-from flowspark.sources.files import refuse_existing
+from flowspark.sources.files import StagedOutput, refuse_existing, save_data, union_files, write_text
 
 
 @dataclass(frozen=True)
@@ -245,10 +247,6 @@ def create_holdout(
     df: DataFrame, label: str, row_id: str, output: str, size: float = 0.15, seed: int = 42, overwrite: bool = False
 ) -> dict:
     """Split once into development and final holdout, written side by side with a manifest."""
-    import json
-
-    from flowspark.sources.files import StagedOutput, write_text
-
     if not 0.0 < size < 1.0:
         raise ValueError("holdout_size must be between 0 and 1.")
     check_labels(df, label)
@@ -291,7 +289,8 @@ def prepare_for_training(
     df: DataFrame, label: str, row_id: str, features: Sequence[str], test: float = 0.2, normalize: bool = True, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Split, then clean on the training rows only; outliers stay, they may be attacks."""
-    class_counts(df, label)
+    if not 0 < test < 1:
+        raise ValueError("test_split must be between 0 and 1.")
     parts = stratified_split(df, label, row_id, 1.0 - test, test, 0.0, seed, name="_split")
     renamed = parts.withColumnRenamed(label, "label") if label != "label" else parts
     training, cleaning = clean_training(
@@ -303,3 +302,41 @@ def prepare_for_training(
         training, testing = apply_scaler(training, scaler), apply_scaler(testing, scaler)
     columns = [row_id, *cleaning.features, "label"]
     return training.select(*[quoted(c) for c in columns]), testing.select(*[quoted(c) for c in columns])
+
+
+def process_folder(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    features: Sequence[str] | None = None,
+    test: float = 0.2,
+    normalize: bool = True,
+    single_source: bool = False,
+    overwrite: bool = False,
+) -> list[str]:
+    """All Parquet files of a folder as training data.
+
+    ``single_source`` writes one labelled table with nothing learned from it, for
+    holdout creation later; otherwise a cleaned, scaled train / test pair.
+    """
+    combined = standardize_labels(union_files(spark, folder))
+    if single_source:
+        return [save_data(check_single_source(combined), f"{output}/labeled", "parquet", overwrite)]
+    targets = [f"{output}/train_data", f"{output}/test_data"]
+    refuse_existing(spark, targets, overwrite)
+    chosen = list(features or numeric_columns(combined, ["label"]))
+    # Rows of a file set have no id of their own; their position is written once.
+    rows = materialize(combined.withColumn("row_id", F.monotonically_increasing_id()), "combined")
+    parts = prepare_for_training(rows, "label", "row_id", chosen, test, normalize)
+    return [save_data(part, target, "parquet", overwrite) for part, target in zip(parts, targets)]
+
+
+def save_reports(reports: Mapping[str, DataFrame], output: str, format: str = "csv", overwrite: bool = False) -> str:
+    """Write every report table of a run into its own folder, published together."""
+    spark = next(iter(reports.values())).sparkSession
+    refuse_existing(spark, [output], overwrite)
+    with StagedOutput(spark, output) as staging:
+        for name, table in reports.items():
+            writer = table.write.format(format)
+            (writer.option("header", True) if format == "csv" else writer).save(f"{staging}/{name}")
+    return output

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import posixpath
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -143,8 +145,6 @@ class StagedOutput:
     """Context that hands out a staging path and publishes it when all went well."""
 
     def __init__(self, spark: SparkSession, destination: str):
-        import uuid
-
         folder, name = posixpath.split(destination.rstrip("/"))
         self.spark = spark
         self.destination = destination.rstrip("/")
@@ -272,6 +272,16 @@ def preflight_summary(report: DataFrame) -> DataFrame:
     )
 
 
+def write_preflight(spark: SparkSession, folder: str, required: Sequence[str], output: str) -> DataFrame:
+    """Header report of a folder as a CSV table and a JSON summary."""
+    report = preflight_folder(spark, folder, required)
+    save_data(report, f"{output}/schema_preflight", "csv")
+    summary = preflight_summary(report).first().asDict()
+    summary["required_features"] = list(required)
+    write_text(spark, f"{output}/schema_preflight.json", json.dumps(summary, indent=2))
+    return report
+
+
 def attack_name():
     """File name up to its first underscore or its suffix."""
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")

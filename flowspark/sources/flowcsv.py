@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.functions.expr import all_present, normalise_header, quoted, to_number
+from flowspark.operators.governance import fingerprint
 from flowspark.operators.labels import exact_label, external_label_column
 from flowspark.session import collect_bounded, local_table, materialize
-from flowspark.sources.files import csv_headers, list_files
+from flowspark.sources.files import csv_headers, list_files, refuse_existing, save_data, write_text
 
 
 def repeated_names(names: Sequence[str]) -> list[str]:
@@ -133,9 +135,6 @@ def prepare_external_folder(
     spark: SparkSession, folder: str, features: Sequence[str], output: str, format: str = "csv"
 ) -> dict:
     """Standardise every CSV of a folder into one labelled table, published at once."""
-    from flowspark.operators.governance import fingerprint
-    from flowspark.sources.files import refuse_existing, save_data, write_text
-
     if not features:
         raise ValueError("External preparation requires a fixed feature list.")
     files = [p for p, _, _ in list_files(spark, folder, ".csv")]
@@ -157,7 +156,5 @@ def prepare_external_folder(
         "label_counts": {"benign": totals["benign"], "attack": totals["attack"]},
         "output_fingerprint": {k: str(v) for k, v in fingerprint(prepared).first().asDict().items()},
     }
-    import json
-
     write_text(spark, output.rstrip("/") + ".manifest.json", json.dumps(manifest, indent=2))
     return manifest

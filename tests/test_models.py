@@ -75,7 +75,7 @@ def test_permutation_importance(data):
 
 
 def test_donors_are_a_permutation(data):
-    donated = models.shuffled_donor(data, ["flow_bytes"], "id", 3, rows_per_bucket=30)
+    donated = models.shuffled_donor(data, ["flow_bytes"], "id", 3, buckets=6)
     rows = donated.select("flow_bytes", F.col("_donor.flow_bytes").alias("d")).collect()
     assert sorted(r.flow_bytes for r in rows) == sorted(r.d for r in rows)
     assert sum(r.flow_bytes != r.d for r in rows) > 150

@@ -192,3 +192,35 @@ def test_profiles(spark):
 def test_histogram_of_a_constant(spark):
     rows = explore.histograms(spark.createDataFrame([(2.0,), (2.0,)], "v double")).collect()
     assert len(rows) == 30 and sum(r.n for r in rows) == 2
+
+
+def test_preflight_report_files(spark, tmp_path):
+    write(tmp_path / "in" / "good.csv", "Label,Protocol", "a,b")
+    files.write_preflight(spark, str(tmp_path / "in"), ["Protocol"], str(tmp_path / "out"))
+    assert json.loads((tmp_path / "out" / "schema_preflight.json").read_text())["all_files_schema_compatible"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "schema_preflight")).count() == 1
+
+
+def test_folder_processing(spark, tmp_path):
+    from flowspark.plans.training import process_folder, save_reports
+
+    rows = [(float(i), float(i % 7), "Benign" if i % 3 else "DDoS") for i in range(60)]
+    put(spark.createDataFrame(rows, "a double, b double, Label string"), str(tmp_path / "raw"), "Mix_1.parquet")
+    (single,) = process_folder(spark, str(tmp_path), str(tmp_path / "one"), single_source=True)
+    assert {r.label for r in spark.read.parquet(single).collect()} == {0, 1}
+    train, test = process_folder(spark, str(tmp_path), str(tmp_path / "two"))
+    assert spark.read.parquet(test).count() == 12 and spark.read.parquet(train).count() == 48
+    with pytest.raises(FileExistsError):
+        process_folder(spark, str(tmp_path), str(tmp_path / "two"))
+    reports = save_reports({"metrics": spark.range(2)}, str(tmp_path / "reports"))
+    assert spark.read.option("header", True).csv(f"{reports}/metrics").count() == 2
+
+
+def test_stored_drift_state(spark, tmp_path):
+    from flowspark.operators import drift
+
+    df = spark.createDataFrame([(float(i),) for i in range(20)], "a double")
+    drift.drift_report(df, drift.drift_baseline(df, ["a"])).write.parquet(str(tmp_path / "drift"))
+    assert drift.stored_drift_state(spark, str(tmp_path / "drift")) == "healthy"
+    assert drift.stored_drift_state(spark, None) == "unknown"
+    assert drift.stored_drift_state(spark, str(tmp_path / "none")) == "error"

@@ -123,3 +123,10 @@ def test_smote_balances_between_minority_rows(spark):
     assert len(made) == 28 and all(0.0 <= r.a <= 4.0 and r.b == 1.0 for r in made)
     with pytest.raises(ValueError, match="Unknown strategy"):
         balance(df, "label", "id", "other")
+
+
+def test_cuts_descend_into_full_prefixes(rows, monkeypatch):
+    expected = split.two_way_split(rows, "label", "id", 0.25, 7).collect()
+    monkeypatch.setattr(split, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(split, "RANKED_ROWS", 2)
+    assert sorted(split.two_way_split(rows, "label", "id", 0.25, 7).collect()) == sorted(expected)
