@@ -1,6 +1,5 @@
 """Table profiles."""
 
-from pyspark.sql import functions as F
 
 from checks.base import DIRTY_SQL, FEATURES, FLOW_SQL, dirty, flow, query, rounded, table
 from flowspark.operators import explore

@@ -17,14 +17,14 @@ from flowspark.operators.labels import check_labels, standardize_labels
 from flowspark.operators.labels import single_source as check_single_source
 from flowspark.operators.metrics import (
     MAX_FPR, MIN_RECALL, THRESHOLD_CANDIDATES, all_compliant, binary_metrics, error_summary, evaluate,
-    fold_summary, policy_flags, select_threshold, with_outcome,
+    fold_summary, policy_flags, ranking_scores, select_threshold, with_outcome,
 )
 from flowspark.operators.models import attack_probability, feature_importance, train
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.operators.selection import FeaturePlan, apply_features, fit_features, importance_stability
 from flowspark.operators.split import inner_split, stratified_folds, stratified_split
 from flowspark.plans.artifact import Artifact, save_artifact
-from flowspark.session import materialize
+from flowspark.session import localise, materialize
 from flowspark.sources.files import StagedOutput, refuse_existing, save_data, union_files, write_text
 
 
@@ -189,7 +189,7 @@ def cross_validate(
     """
     check_labels(df, label)
     folded = stratified_folds(df, label, row_id, folds, settings.seed)
-    selected_rows, fixed_rows, scores, importances = [], [], [], []
+    scores, importances = [], []
     frozen = settings.frozen_threshold or settings.default_threshold
     for fold in range(1, folds + 1):
         inner = inner_split(folded, label, row_id, fold, settings.train, settings.val, settings.seed, "_split")
@@ -197,14 +197,10 @@ def cross_validate(
             inner.where("_split = 'train'"), inner.where("_split = 'val'"), features, label, row_id, settings,
             f"fold_{fold}", with_baseline=False,
         )
-        outer = materialize(
-            fitted.prepare(folded.where(F.col("fold") == fold)).select(row_id, "label", "probability"), "outer_scores"
-        ).withColumn("fold", F.lit(fold))
-        scores.append(outer)
-        for threshold, rows in ((fitted.artifact.threshold, selected_rows), (frozen, fixed_rows)):
-            judged = outer.withColumn("prediction", decide(F.col("probability"), threshold))
-            metrics = binary_metrics(judged, "label", "prediction", "probability", keys=["fold"])
-            rows.append(metrics.withColumn("threshold", F.lit(float(threshold))))
+        outer = fitted.prepare(folded.where(F.col("fold") == fold)).select(
+            row_id, "label", "probability", F.lit(fold).alias("fold"), F.lit(fitted.artifact.threshold).alias("threshold")
+        )
+        scores.append(materialize(outer, "outer_scores"))
         if hasattr(fitted.artifact.model.classifier, "featureImportances"):
             importances.append(feature_importance(df, fitted.artifact.model).withColumn("fold", F.lit(fold)))
 
@@ -214,10 +210,23 @@ def cross_validate(
             combined = combined.unionByName(table)
         return combined
 
-    selected = materialize(policy_flags(stack(selected_rows), settings.min_recall, settings.max_fpr), "cv_selected")
-    fixed = materialize(policy_flags(stack(fixed_rows), settings.min_recall, settings.max_fpr), "cv_fixed")
-    out_of_fold = stack(scores).withColumn("predicted_label", decide(F.col("probability"), frozen))
-    diagnosed = with_outcome(out_of_fold, "label", "predicted_label", "probability", frozen)
+    # All folds are judged together, one group per fold; ranking does not depend on a threshold.
+    out_of_fold = stack(scores)
+    ranking = localise(ranking_scores(out_of_fold, "label", "probability", ["fold"]), "fold_ranking")
+
+    def judged(threshold) -> DataFrame:
+        decided_rows = out_of_fold.withColumns(
+            {"threshold": threshold, "prediction": F.when(F.col("probability") >= threshold, 1).otherwise(0)}
+        )
+        metrics = binary_metrics(decided_rows, "label", "prediction", keys=["fold", "threshold"]).join(ranking, "fold")
+        return localise(policy_flags(metrics, settings.min_recall, settings.max_fpr), "fold_metrics")
+
+    selected = judged(F.col("threshold"))
+    fixed = judged(F.lit(float(frozen)))
+    diagnosed = with_outcome(
+        out_of_fold.withColumn("predicted_label", decide(F.col("probability"), frozen)),
+        "label", "predicted_label", "probability", frozen,
+    )
     report = {
         "fold_metrics": selected,
         "summary": fold_summary(selected),
