@@ -17,6 +17,12 @@ HEADER_ALIASES = {
     "Min Packet Length": "Packet Length Min",
 }
 
+# Cell texts that mean a missing value in a flow export.
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 DECIMAL_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 # Result states of the scoring paths.

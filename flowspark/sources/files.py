@@ -194,10 +194,28 @@ def _first_line(path: str, block: int = 1 << 16) -> str:
     return data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
 
 
+def number_repeats(names: Sequence[str]) -> list[str]:
+    """Repeated spellings become name.1, name.2, ... so that each column can be named.
+
+    Only equal spellings are told apart; names that become equal by normalisation
+    stay in conflict.
+    """
+    taken, result = set(names), []
+    seen: set[str] = set()
+    for name in names:
+        fresh, number = name, 0
+        while fresh in seen or (number and fresh in taken):
+            number += 1
+            fresh = f"{name}.{number}"
+        seen.add(fresh)
+        result.append(fresh)
+    return result
+
+
 def _header_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         lines = [_first_line(p) for p in batch["path"]]
-        columns = [next(csv.reader(io.StringIO(line)), []) for line in lines]
+        columns = [number_repeats(next(csv.reader(io.StringIO(line)), [])) for line in lines]
         yield pd.DataFrame({"path": batch["path"], "columns": columns})
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.functions.expr import all_present, normalise_header, quoted, to_number
+from flowspark.functions.expr import MISSING_TEXTS, all_present, normalise_header, quoted, to_number
 from flowspark.operators.governance import fingerprint
 from flowspark.operators.labels import exact_label, external_label_column
 from flowspark.session import collect_bounded, local_table, materialize
@@ -39,6 +39,11 @@ def normalise_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def present_text(cell: Column) -> Column:
+    """A cell, or NULL when its text stands for a missing value."""
+    return F.when(~cell.isin(*MISSING_TEXTS), cell)
+
+
 def read_flows(
     spark: SparkSession, paths: Sequence[str], required: Sequence[str], label: bool = False
 ) -> DataFrame:
@@ -64,7 +69,7 @@ def read_flows(
             .option("enforceSchema", True)
             .csv(sorted(members))
             .select(
-                *[F.col(f"c{i}").alias(f) for f, i in positions.items()],
+                *[present_text(F.col(f"c{i}")).alias(f) for f, i in positions.items()],
                 F.col("_metadata.file_path").alias("source_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_place"),

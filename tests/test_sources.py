@@ -224,3 +224,19 @@ def test_stored_drift_state(spark, tmp_path):
     assert drift.stored_drift_state(spark, str(tmp_path / "drift")) == "healthy"
     assert drift.stored_drift_state(spark, None) == "unknown"
     assert drift.stored_drift_state(spark, str(tmp_path / "none")) == "error"
+
+
+def test_repeated_header_spellings_are_numbered(spark, tmp_path):
+    assert files.number_repeats(["a", "b", "a", "a.1", "a"]) == ["a", "b", "a.2", "a.1", "a.3"]
+    path = write(tmp_path / "in" / "a.csv", " Fwd Header Length,Protocol, Fwd Header Length,Label", "1,2,3,BENIGN")
+    (row,) = flowcsv.read_flows(spark, [path], ["Protocol", "Fwd Header Length"]).collect()
+    assert (row["Protocol"], row["Fwd Header Length"]) == ("2", "1")
+    assert files.preflight_folder(spark, str(tmp_path / "in"), ["Protocol"]).first().schema_compatible
+
+
+def test_missing_label_texts_are_dropped(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "Max Packet Length,Label", "1,NA", "2,BENIGN", "3,nan", "4,  ", "5,Bot")
+    flows = flowcsv.read_flows(spark, [path], ["Packet Length Max"], label=True)
+    prepared, counts = flowcsv.prepare_external(flows, ["Packet Length Max"])
+    assert sorted(tuple(r) for r in prepared.collect()) == [(2.0, 0), (5.0, 1)]
+    assert counts.first().rows_dropped == 3
