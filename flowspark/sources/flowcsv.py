@@ -40,7 +40,7 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 
 
 def present_text(cell: Column) -> Column:
-    """A cell, or NULL when its text stands for a missing value."""
+    """A cell, or NULL when its text stands for a missing value (no such text is a number)."""
     return F.when(~cell.isin(*MISSING_TEXTS), cell)
 
 
@@ -69,7 +69,7 @@ def read_flows(
             .option("enforceSchema", True)
             .csv(sorted(members))
             .select(
-                *[present_text(F.col(f"c{i}")).alias(f) for f, i in positions.items()],
+                *[(present_text(F.col(f"c{i}")) if f == "_label" else F.col(f"c{i}")).alias(f) for f, i in positions.items()],
                 F.col("_metadata.file_path").alias("source_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_place"),
