@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 MAX_LOCAL_ROWS = 200_000
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "flowspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,6 +37,24 @@ def build_session(app: str = "flowspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session.
+
+    Functions that run in workers are found by module name there, and a worker sees
+    neither the driver's folder nor its ``sys.path``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="flowspark-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(os.fspath(archive))
+    _shipped.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
