@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.base import batch, numbers_of, written
+from flowspark.llm.base import U64, batch, mix, numbers_of, written
 
 
 def _stars(batches):
-    """Sorted (key, id) rows -> the members of every bucket with two distinct ids or more, with their rank.
+    """Sorted (key, id) rows -> the members of every bucket with two distinct ids or more.
 
     Only the last row seen is held, so a bucket of any size passes through.
     """
@@ -38,12 +38,24 @@ def _stars(batches):
         if rank > 1:
             out[0] = False  # it went out with the batch before
         key, last, rank = int(k[-1]), int(i[-1]), int(place[-1])
-        yield batch(key=k[out], id=i[out], rank=place[out])
+        yield batch(key=k[out], id=i[out])
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
-    """``key``, ``id`` (longs) -> ``key``, ``id``, ``rank`` of buckets that hold two ids or more."""
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "key long, id long, rank long")
+    """``key``, ``id`` (longs) -> those of buckets that hold two ids or more, without repeats."""
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "key long, id long")
+
+
+def central_first(members: DataFrame) -> DataFrame:
+    """``rank`` of each member in its bucket: those with the most company over all buckets come first.
+
+    The text that others were made from agrees with each of them more often than they do among themselves, so
+    it comes first in its buckets and links them in one round.
+    """
+    company = members.groupBy("key").agg(F.count("*").alias("size"))
+    weight = members.join(company, "key").groupBy("id").agg(F.sum("size").alias("weight"))
+    order = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
+    return members.join(weight, "id").withColumn("rank", F.row_number().over(order).cast("long")).select("key", "id", "rank")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -74,32 +86,59 @@ def _print(edges: DataFrame) -> tuple:
     return row.n, row.s
 
 
-def linked_components(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def sketch_columns(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Size of each set and its odd sketch: 512 bits, each the parity of the elements that hash to it.
+
+    Sketches of two sets differ in no more bits than the sets differ in elements, so comparing sketches can rule
+    a pair out and never rules out wrongly.
+    """
+    bits = np.zeros((len(sets), 64 * SKETCH_WORDS), np.uint8)
+    for k, items in enumerate(sets):
+        bits[k] = np.bincount((mix(items.view(U64)) >> U64(64 - 9)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    words = np.packbits(bits, axis=1).view(np.int64).reshape(len(sets), SKETCH_WORDS)
+    return {"n": np.array([len(s) for s in sets], np.int64), **{f"s{w}": np.ascontiguousarray(words[:, w]) for w in range(SKETCH_WORDS)}}
+
+
+SKETCH_WORDS = 8
+SKETCH = ", ".join(["n long", *(f"s{w} long" for w in range(SKETCH_WORDS))])
+SKETCH_NAMES = ["n", *(f"s{w}" for w in range(SKETCH_WORDS))]
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Sizes and sketches allow 100 * intersection >= percent * union between a row and pivot p."""
+    differing = sum((F.bit_count(F.col(f"s{w}").bitwiseXOR(F.col(f"p_s{w}"))) for w in range(1, SKETCH_WORDS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("p_s0"))))
+    sizes = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+    return sizes & (differing * (100 + percent) <= (F.col("n") + F.col("p_n")) * (100 - percent))
+
+
+def linked_components(members: DataFrame, sketches: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Components of the confirmed links among bucket members; no link between them is lost.
 
-    ``members``: ``key``, ``id``, ``rank``.  ``confirm`` turns pairs (``a``, ``b``) into the linked ones.  In the
-    first round the first member of each bucket meets all others; later rounds take the next 8, 64, ... members,
-    only in buckets that still hold several components, and only against members of other components.  A pair
-    is thus compared unless its members are connected already, which is all that components need.
+    ``members``: ``key``, ``id``; ``sketches``: ``id`` and the sketch columns of its set.  ``confirm`` turns pairs (``a``, ``b``)
+    into those with 100 * intersection >= percent * union.  In the first round the most central member of each bucket
+    meets all others; later rounds take the next 8, 64, ... members, only in buckets that still hold several
+    components, and only against members of other components.  A pair that its sketches rule out is dropped; any
+    other is compared unless its members are connected already, which is all that components need.
 
     Returns (``id``, ``label``) and the confirmed links.
     """
     done, ahead, links, labels = 0, 1, None, None
-    rest = members.withColumn("label", F.col("id"))
+    own = ["key", "id", "rank", *SKETCH_NAMES]
+    rest = written(central_first(members).join(sketches.select("id", *SKETCH_NAMES), "id").select(*own), "ranked-members").withColumn("label", F.col("id"))
     while True:
         pivots = rest.where((F.col("rank") > done) & (F.col("rank") <= ahead)).select(
-            "key", F.col("id").alias("p"), F.col("rank").alias("p_rank"), F.col("label").alias("p_label")
-        )
-        pairs = rest.join(pivots, "key").where("rank > p_rank AND label != p_label").select(
-            F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")
+            "key", F.col("id").alias("p"), F.col("rank").alias("p_rank"), F.col("label").alias("p_label"),
+            *[F.col(c).alias(f"p_{c}") for c in SKETCH_NAMES],
         )
+        both = rest.join(pivots, "key").where((F.col("rank") > F.col("p_rank")) & (F.col("label") != F.col("p_label")) & _may_be_similar(percent))
+        pairs = both.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
         found = written(confirm(written(pairs.distinct(), "pairs")), "confirmed")
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
         done, ahead = ahead, ahead * 8
-        known = rest.select("key", "id", "rank").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        known = rest.select(*own).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         several = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("last"))
         several = several.where((F.col("lo") != F.col("hi")) & (F.col("last") > done + 1)).select("key")
-        rest = written(known.join(several, "key", "left_semi").select("key", "id", "rank", "label"), "open-buckets")
+        rest = written(known.join(several, "key", "left_semi").select(*own, "label"), "open-buckets")
         if rest.isEmpty():
             return labels, links

@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-Two collections of short keys (each two MinHash values) are computed; a table key joins one key of the first
-with one of the second, so 8 + 8 keys give 64 tables for 32 MinHash values in place of 256.  Two documents meet
-if they agree in a key of either collection: at a Jaccard similarity of 0.85 that fails in 7 of 100,000 cases.
+Two collections of short keys (each three MinHash values) are computed; a table key joins one key of the first
+with one of the second, so 10 + 10 keys give 100 tables for 60 MinHash values in place of 600.  Two documents meet
+if they agree in a key of either collection: at a Jaccard similarity of 0.85 that fails in 15 of 100,000 cases.
 Pairs that meet are confirmed on their full shingle sets.
 """
 
@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 from flowspark.llm.base import (
     GOLDEN, U64, Membership, batch, mix, numbers_of, prepare, query, seeds, slices, table, texts_of, written,
 )
-from flowspark.llm.groups import bucket_members, components, linked_components
+from flowspark.llm.groups import SKETCH, bucket_members, components, linked_components, sketch_columns
 
 WORDS = 5
 PERCENT = 85
-KEYS = 8  # short keys in each of the two collections
-VALUES = 2  # MinHash values in a short key
+KEYS = 10  # short keys in each of the two collections
+VALUES = 3  # MinHash values in a short key
 CHUNK = 4_000_000
 VOCABULARY = 200_000  # word hashes a task remembers before it starts anew
-ODD = seeds(2 * KEYS * VALUES, 8) | U64(1)
-ADD = seeds(2 * KEYS * VALUES, 88)
+U32 = np.uint32
+ODD = seeds(2 * KEYS * VALUES, 8, U32)[:, None] | U32(1)
+ADD = seeds(2 * KEYS * VALUES, 88, U32)[:, None]
 
 
 class _WordHashes(dict):
@@ -55,11 +56,12 @@ def shingle_set(text: str, words: _WordHashes) -> np.ndarray:
 
 
 def short_keys(shingles: np.ndarray) -> np.ndarray:
-    """The 2 x 8 short keys of a set: pairs of MinHash values, hashed with their number."""
-    low = np.full(len(ODD), np.iinfo(U64).max, U64)
-    for at in range(0, len(shingles), 20_000):
-        low = np.minimum(low, (shingles[at : at + 20_000, None] * ODD + ADD).min(axis=0))
-    low = low.reshape(-1, VALUES)
+    """The 2 x 10 short keys of a set: triples of MinHash values, hashed with their number."""
+    codes = (shingles >> U64(32)).astype(U32)
+    low = np.full(len(ODD), np.iinfo(U32).max, U32)
+    for at in range(0, len(codes), 5_000):
+        low = np.minimum(low, (codes[at : at + 5_000] * ODD + ADD).min(axis=1))
+    low = low.reshape(-1, VALUES).astype(U64)
     h = np.arange(len(low), dtype=U64) * GOLDEN
     for k in range(VALUES):
         h = mix(h ^ mix(low[:, k]))
@@ -91,7 +93,7 @@ def _sets(test):
             keep = np.flatnonzero(test(ids))
             texts = texts_of(b.column(1).take(pa.array(keep)))
             found = [shingle_set(t, words).view(np.int64) for t in texts]
-            yield batch(id=ids[keep], items=pa.array(found, pa.list_(pa.int64())))
+            yield batch(id=ids[keep], items=pa.array(found, pa.list_(pa.int64())), **sketch_columns(found))
 
     return sets
 
@@ -145,9 +147,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     per_set = numbered.groupBy("id").agg(F.flatten(F.collect_set(F.array(F.col("number").cast("long"), "key"))).alias("keys"))
     members = written(bucket_members(per_set.mapInArrow(_tables, "key long, id long")), "table-members")
     member = Membership(docs.sparkSession, members.select("id").distinct())
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(member.tester()), "id long, items array<long>")
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(member.tester()), f"id long, items array<long>, {SKETCH}")
     sets = written(sets.join(members.select("id").distinct(), "id", "left_semi"), "shingle-sets")
-    _, links = linked_components(members, lambda pairs: confirmed(pairs, sets, percent))
+    _, links = linked_components(members, sets, percent, lambda pairs: confirmed(pairs, sets, percent))
     labels = components(links.unionByName(copies))
     return (
         signed.select("doc_id", "n_shingles")
