@@ -84,11 +84,11 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     pages = prepare(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     pages = pages.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
+    # A key without nulls, by which the payloads are dealt once, for the join and the copies' numbers.
+    pages = pages.withColumn("own", F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "size"))
     first = pages.groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    keys = pages.select("page_id", "digest", "size").distinct().join(first, ["digest", "size"])
-    keys = keys.select(F.col("page_id").alias("k"), F.col("digest").alias("d"), F.col("size").alias("z"), "first")
-    same = F.col("page_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")) & (F.col("size") == F.col("z"))
-    typed = pages.join(keys, same).withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    keys = pages.select("own", "digest", "size").distinct().join(first, ["digest", "size"]).select("own", "first")
+    typed = pages.join(keys, "own").withColumn("copy", F.row_number().over(Window.partitionBy("own").orderBy("url")))
     is_first = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
     typed = typed.withColumn("revisit", (F.col("size") >= min_bytes) & ~is_first)
     # A revisit repeats no payload, so it need not go to the writer.
