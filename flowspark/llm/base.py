@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,10 +92,9 @@ def batch(**columns) -> pa.RecordBatch:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named text column holds about ``most`` bytes in each piece (one row at least)."""
     for b in batches:
-        sizes = b.column(column).cast(pa.large_string()).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
-        for i, text in enumerate(sizes):
-            size = 0 if text is None else len(text)
+        for i, size in enumerate(sizes.tolist()):
             if i > start and held + size > most:
                 yield b.slice(start, i - start)
                 start, held = i, 0

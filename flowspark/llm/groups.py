@@ -65,6 +65,7 @@ def components(links: DataFrame) -> DataFrame:
     are links and combines minima before the shuffle.  Ids that no link names are absent.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+    seen = _print(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -73,9 +74,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = written(small.select("e.a", "e.b").where("a != b").distinct(), "small-star")
-        if _print(after) == _print(edges):
+        before, seen, edges = seen, _print(after), after
+        if seen == before:
             break
-        edges = after
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
     )
@@ -116,7 +117,7 @@ def linked_components(members: DataFrame, sketches: DataFrame, percent: int, con
 
     ``members``: ``key``, ``id``; ``sketches``: ``id`` and the sketch columns of its set.  ``confirm`` turns pairs (``a``, ``b``)
     into those with 100 * intersection >= percent * union.  In the first round the most central member of each bucket
-    meets all others; later rounds take the next 8, 64, ... members, only in buckets that still hold several
+    meets all others; later rounds take the next 15, 240, ... members, only in buckets that still hold several
     components, and only against members of other components.  A pair that its sketches rule out is dropped; any
     other is compared unless its members are connected already, which is all that components need.
 
@@ -134,11 +135,14 @@ def linked_components(members: DataFrame, sketches: DataFrame, percent: int, con
         pairs = both.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
         found = written(confirm(written(pairs.distinct(), "pairs")), "confirmed")
         links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
-        done, ahead = ahead, ahead * 8
+        if labels is None:
+            labels = written(components(found), "labels")
+        elif not found.isEmpty():  # what is connected already goes on as a star
+            labels = written(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(found)), "labels")
+        done, ahead = ahead, ahead * 16
         known = rest.select(*own).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("last"))
-        several = several.where((F.col("lo") != F.col("hi")) & (F.col("last") > done + 1)).select("key")
-        rest = written(known.join(several, "key", "left_semi").select(*own, "label"), "open-buckets")
+        bucket = Window.partitionBy("key")
+        known = known.withColumns({"lo": F.min("label").over(bucket), "hi": F.max("label").over(bucket), "last": F.max("rank").over(bucket)})
+        rest = written(known.where((F.col("lo") != F.col("hi")) & (F.col("last") > done + 1)).select(*own, "label"), "open-buckets")
         if rest.isEmpty():
             return labels, links
