@@ -77,7 +77,7 @@ def fit_fill(df: DataFrame, columns: Sequence[str], strategy: str) -> dict[str,
 
 
 def apply_fill(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(quoted(c).cast("double"), F.lit(float(v))) for c, v in values.items()})
+    return df.withColumns({c: F.coalesce(finite(quoted(c).cast("double")), F.lit(float(v))) for c, v in values.items()})
 
 
 def handle_missing(
@@ -87,9 +87,10 @@ def handle_missing(
     order_by: Sequence[str] = (),
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Drop, impute or carry values over gaps in ``columns``."""
+    """Drop, impute or carry values over gaps in ``columns``; NaN and infinities are gaps like NULL."""
     if strategy not in MISSING_STRATEGIES:
         raise ValueError(f"Unknown strategy: {strategy}. Valid options: {list(MISSING_STRATEGIES)}")
+    df = clear_non_finite(df, columns)
     if strategy == "drop":
         return df.na.drop("any", subset=list(columns))
     if strategy == "forward_fill":
@@ -103,7 +104,7 @@ def forward_fill(
     """Carry the last known value forward, then fill leading gaps backwards."""
     if not order_by:
         raise ValueError("forward_fill needs order_by columns that identify a row.")
-    ordered = with_sequence(df, [*partition_by, *order_by], "_seq")
+    ordered = with_sequence(clear_non_finite(df, columns), [*partition_by, *order_by], "_seq")
     return fill_gaps(ordered, columns, partition_by, "_seq").drop("_seq")
 
 
@@ -119,6 +120,7 @@ def fit_outliers(
         raise ValueError(f"Unknown method: {method}. Valid options: {list(OUTLIER_DEFAULTS)}")
     limit = OUTLIER_DEFAULTS[method] if threshold is None else float(threshold)
     ranges: dict[str, tuple[float, float]] = {}
+    df = clear_non_finite(df, columns)
     if method == "iqr":
         for column, found in column_quantiles(df, columns, [0.25, 0.75]).items():
             spread = found[0.75] - found[0.25]
@@ -142,7 +144,8 @@ def outlier_flag(ranges: Mapping[str, tuple[float, float]]) -> Column:
     """True when any column lies outside its range; missing values never do."""
     flag = F.lit(False)
     for column, (low, high) in ranges.items():
-        outside = (quoted(column) < F.lit(low)) | (quoted(column) > F.lit(high))
+        value = finite(quoted(column).cast("double"))
+        outside = (value < F.lit(low)) | (value > F.lit(high))
         flag = flag | F.coalesce(outside, F.lit(False))
     return flag
 
@@ -156,7 +159,7 @@ def remove_outliers(
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with exactly one distinct present value (min equals max)."""
     edges = wide_aggregate(
-        df,
+        clear_non_finite(df, columns),
         {
             **{(c, "min"): F.min(quoted(c)) for c in columns},
             **{(c, "max"): F.max(quoted(c)) for c in columns},
@@ -173,6 +176,7 @@ def quasi_constant_columns(df: DataFrame, columns: Sequence[str], threshold: flo
     sketch error.  So two scans with no shuffle of values decide every column.
     Smaller thresholds count the values instead.
     """
+    df = clear_non_finite(df, columns)
     if threshold >= 0.55:
         medians = wide_aggregate(df, {(c,): F.percentile_approx(quoted(c).cast("double"), 0.5, 1000) for c in columns})
         known = {c: v for (c,), v in medians.items() if v is not None}

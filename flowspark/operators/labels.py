@@ -77,7 +77,10 @@ def check_labels(df: DataFrame, label: str = LABEL, allow_missing: bool = False)
 
 def check_trainable(df: DataFrame, label: str = LABEL) -> dict[int, int]:
     """Class counts of a training table; a single class is refused with its distribution."""
-    counts = {r[0]: r[1] for r in df.groupBy(quoted(label)).count().limit(100).collect()}
+    value = quoted(label).try_cast("double")
+    other = quoted(label).isNotNull() & ~F.coalesce(value.isin(0.0, 1.0), F.lit(False))
+    row = df.agg(*[F.count(F.when(c, 1)) for c in (value == 0, value == 1, other)]).first()
+    counts = {k: n for k, n in zip((0, 1, "other"), row) if n}
     if len(counts) < 2:
         raise ValueError(f"Training data contains only one class after preprocessing: {counts}.")
     check_labels(df, label, allow_missing=True)

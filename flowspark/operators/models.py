@@ -23,6 +23,8 @@ from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.operators.split import class_weights, stratified_folds, weight_column
 from flowspark.session import local_table, materialize
 
+DEEPEST_TREE = 30  # what the tree estimators can build; stands for an unlimited depth in the search
+
 # Accepted hyperparameters and their defaults per algorithm.
 DEFAULTS = {
     "random_forest": {
@@ -39,7 +41,7 @@ DEFAULTS = {
 # The randomized search space.
 SEARCH_SPACE = {
     "random_forest": {
-        "n_estimators": [100, 200, 300], "max_depth": [8, 12, 16, None],
+        "n_estimators": [100, 200, 300], "max_depth": [8, 12, 16, DEEPEST_TREE],
         "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4],
         "max_features": ["sqrt", "log2"], "class_weight": ["balanced", "balanced_subsample"],
     },
@@ -51,10 +53,10 @@ SEARCH_SPACE = {
     },
 }
 
-DEEPEST_TREE = 30
 DONOR_BUCKET_ROWS = 20_000
 WEIGHT = "_weight"
 VECTOR = "_features"
+INPUT = "__model_input_"  # numbered copies of the features, apart from any column of the data
 
 
 def resolve_parameters(kind: str, given: Mapping | None = None) -> dict:
@@ -80,11 +82,12 @@ def build_stages(kind: str, parameters: Mapping | None = None, rows: int | None
     sampling is drawn per node.
     """
     p = resolve_parameters(kind, parameters)
+    if "max_depth" in p and not (isinstance(p["max_depth"], int) and 0 <= p["max_depth"] <= DEEPEST_TREE):
+        raise ValueError(f"max_depth must be a number from 0 to {DEEPEST_TREE}, not {p['max_depth']}.")
     if kind == "random_forest":
-        depth = min(p["max_depth"] or DEEPEST_TREE, DEEPEST_TREE)
         forest = RandomForestClassifier(
             numTrees=p["n_estimators"],
-            maxDepth=depth,
+            maxDepth=p["max_depth"],
             # A node of fewer rows than min_samples_split cannot produce two such children.
             minInstancesPerNode=max(p["min_samples_leaf"], -(-p["min_samples_split"] // 2)),
             featureSubsetStrategy=str(p["max_features"]),
@@ -98,7 +101,7 @@ def build_stages(kind: str, parameters: Mapping | None = None, rows: int | None
             warnings.warn("reg_lambda has no counterpart in this estimator and is not applied.", stacklevel=2)
         boosted = GBTClassifier(
             maxIter=p["n_estimators"],
-            maxDepth=min(p["max_depth"], DEEPEST_TREE),
+            maxDepth=p["max_depth"],
             stepSize=p["learning_rate"],
             subsamplingRate=p["subsample"],
             featureSubsetStrategy=str(p["colsample_bytree"]) if p["colsample_bytree"] < 1 else "all",
@@ -149,10 +152,10 @@ def train(df: DataFrame, features: Sequence[str], kind: str = "random_forest", p
     """Fit a classifier on the 0/1 column ``label``; one-class data is refused."""
     p = resolve_parameters(kind, parameters)
     counts = check_trainable(df, "label")
-    data = df.select(*[quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], "label")
+    data = df.select(*[quoted(f).cast("double").alias(f"{INPUT}{i}") for i, f in enumerate(features)], "label")
     weighted = row_weights(data, kind, p)
     assembler = VectorAssembler(
-        inputCols=[f"f{i}" for i in range(len(features))], outputCol=VECTOR, handleInvalid="keep"
+        inputCols=[f"{INPUT}{i}" for i in range(len(features))], outputCol=VECTOR, handleInvalid="keep"
     )
     stages = [assembler, *build_stages(kind, p, sum(counts.values()))]
     return TrainedModel(kind, tuple(features), Pipeline(stages=stages).fit(weighted))
@@ -166,7 +169,7 @@ def attack_probability(df: DataFrame, model: TrainedModel, name: str = "probabil
     if missing:
         raise ValueError(f"Inference schema is missing required training columns: {missing}")
     kept = df.columns
-    numbered = df.withColumns({f"f{i}": quoted(f).cast("double") for i, f in enumerate(model.features)})
+    numbered = df.withColumns({f"{INPUT}{i}": quoted(f).cast("double") for i, f in enumerate(model.features)})
     scored = model.pipeline.transform(numbered)
     return scored.select(
         *[quoted(c) for c in kept if c != name], vector_to_array("_probability")[1].alias(name)

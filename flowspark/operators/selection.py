@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.expr import edges_passed, quoted
 from flowspark.functions.quantiles import column_quantiles
 from flowspark.operators.clean import wide_aggregate
-from flowspark.operators.features import INTERACTION_LIMIT, interactions
+from flowspark.operators.features import interactions
 from flowspark.session import local_table
 
 PAIRWISE_COLUMNS = 12
@@ -185,7 +185,7 @@ def fit_features(
     if remove_correlated:
         gone = set(correlated_features(df, inputs, correlation_threshold))
         inputs = [f for f in inputs if f not in gone]
-    products = create_interactions and len(inputs) < INTERACTION_LIMIT
+    products = create_interactions
     selected = inputs
     data = df
     if products:

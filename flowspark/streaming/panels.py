@@ -72,7 +72,7 @@ def latency_percentiles(df: DataFrame, key: str, latency: str) -> DataFrame:
     return basic.join(quantiles, key)
 
 
-def run_to_table(panel: DataFrame, keys: Sequence[str], name: str, path: str | None = None, wait: float = 600.0) -> DataFrame:
+def run_to_table(panel: DataFrame, keys: Sequence[str], name: str, path: str | None = None, wait: float | None = None) -> DataFrame:
     """Run a streaming panel over everything available and return its final rows.
 
     Every micro-batch writes the groups it changed to its own folder, so a repeated
@@ -92,7 +92,9 @@ def run_to_table(panel: DataFrame, keys: Sequence[str], name: str, path: str | N
         .foreachBatch(store)
         .start()
     )
-    if not query.awaitTermination(int(wait)):
+    if wait is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(int(wait)):
         query.stop()
         raise TimeoutError(f"The stream {name!r} did not finish in {wait} seconds.")
     versions = spark.read.parquet(f"{target}/table")

@@ -227,12 +227,26 @@ def test_network_features_only_when_present(spark):
     assert row == {"id": 1, "port_range": 1920, "src_port_high": 0, "dst_port_high": 1}
 
 
-def test_interactions_use_the_first_twenty(spark):
+def test_interactions_use_all_columns(spark):
     df = spark.createDataFrame([tuple(float(i) for i in range(25))], [f"c{i}" for i in range(25)])
-    assert len(features.interactions(df).columns) == 25 + 190
+    assert len(features.interactions(df).columns) == 25 + 300
 
 
 def test_fixed_schema_reports_missing(spark):
     df = spark.createDataFrame([(1.0, 0)], "a double, label int")
     with pytest.raises(ValueError, match=r"\['b'\]"):
         selection.fit_features(df, ["a"], "label", fixed=["a", "b"])
+
+
+def test_nan_and_infinity_are_gaps(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, float(k % 5), 1.0) for k in range(30)] + [(30, nan, nan), (31, inf, 1.0), (32, None, None), (33, 900.0, 1.0)]
+    df = spark.createDataFrame(rows, "k long, v double, w double")
+    kept = {r.k for r in clean.remove_outliers(df, ["v"], "zscore").collect()}
+    assert kept == set(range(33))
+    assert {r.k for r in clean.remove_outliers(df, ["v"], "iqr").collect()} == set(range(33))
+    assert clean.constant_columns(df, ["v", "w"]) == ["w"]
+    filled = {r.k: r.v for r in clean.handle_missing(df, ["v"], "median").collect()}
+    assert filled[30] == filled[31] == filled[32] == 2.0
+    carried = {r.k: r.v for r in clean.handle_missing(df, ["v"], "forward_fill", order_by=["k"]).collect()}
+    assert carried[30] == carried[31] == carried[32] == 4.0
