@@ -20,6 +20,9 @@ U64 = np.uint64
 # Odd multipliers of the SplitMix64 finaliser.
 MIX_A, MIX_B, GOLDEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
+# Rows of an Arrow batch: texts have kilobytes, so that Spark's 10,000 rows would be tens of megabytes a task.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 # A membership filter never has more bits than this (32 MB); beyond, it prunes less and stays right.
 MAX_FILTER_BITS = 1 << 28
 SEGMENT_BITS = 1 << 19
@@ -42,8 +45,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def prepare(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that no other column of the input can clash; workers get the package."""
-    ship_package(df.sparkSession)
+    """The named columns alone, so that no other column of the input can clash.
+
+    Workers get the package, and texts reach them in batches of at most ``BATCH_ROWS`` rows.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
