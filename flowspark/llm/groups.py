@@ -93,11 +93,16 @@ def sketch_columns(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
     Sketches of two sets differ in no more bits than the sets differ in elements, so comparing sketches can rule
     a pair out and never rules out wrongly.
     """
-    bits = np.zeros((len(sets), 64 * SKETCH_WORDS), np.uint8)
-    for k, items in enumerate(sets):
-        bits[k] = np.bincount((mix(items.view(U64)) >> U64(64 - 9)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    words = np.packbits(bits, axis=1).view(np.int64).reshape(len(sets), SKETCH_WORDS)
-    return {"n": np.array([len(s) for s in sets], np.int64), **{f"s{w}": np.ascontiguousarray(words[:, w]) for w in range(SKETCH_WORDS)}}
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words = np.zeros((len(sets), SKETCH_WORDS), np.int64)
+    width = 64 * SKETCH_WORDS
+    for at in range(0, len(sets), 256):
+        own = sizes[at : at + 256]
+        items = np.concatenate(sets[at : at + 256]).view(U64)
+        spots = np.repeat(np.arange(len(own)) * width, own) + (mix(items) >> U64(64 - 9)).astype(np.int64)
+        odd = (np.bincount(spots, minlength=len(own) * width) & 1).astype(np.uint8)
+        words[at : at + 256] = np.packbits(odd.reshape(len(own), width), axis=1).view(np.int64)
+    return {"n": sizes, **{f"s{w}": np.ascontiguousarray(words[:, w]) for w in range(SKETCH_WORDS)}}
 
 
 SKETCH_WORDS = 8

@@ -23,6 +23,7 @@ SHINGLE = 8
 PERCENT = 80
 BANDS, ROWS = 12, 4
 CHUNK = 2_000_000
+BLOCK = 256  # lines hashed together: their arrays stay in the processor's cache
 REMEMBERED = 4_000_000  # shingles of lines that a task remembers while it confirms pairs
 U32 = np.uint32
 ODD = seeds(BANDS * ROWS, 1, U32) | U32(1)
@@ -60,28 +61,48 @@ def _placed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """The band keys of each of the (non-empty) lines."""
-    codes, starts, stops = _placed(lines)
-    h = _grams(codes * U32(0x9E3779B1), 0x85EBCA6B, U32)
-    h ^= h >> U32(16)
-    h *= U32(0x7FEB352D)
-    h ^= h >> U32(15)
-    h = np.append(h, U32(0))
-    cuts = np.stack((starts, stops), 1).ravel()
     keys = np.zeros((len(lines), BANDS), U64)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, U64) * GOLDEN
-        for row in range(ROWS):
-            k = band * ROWS + row
-            key = mix(key ^ np.minimum.reduceat(h * ODD[k] + ADD[k], cuts)[::2].astype(U64))
-        keys[:, band] = key
+    for at in range(0, len(lines), BLOCK):
+        block = keys[at : at + BLOCK]
+        codes, starts, stops = _placed(lines[at : at + BLOCK])
+        h = _grams(codes * U32(0x9E3779B1), 0x85EBCA6B, U32)
+        h ^= h >> U32(16)
+        h *= U32(0x7FEB352D)
+        h ^= h >> U32(15)
+        h = np.append(h, U32(0))
+        cuts = np.stack((starts, stops), 1).ravel()
+        values = np.empty_like(h)
+        for band in range(BANDS):
+            key = np.full(len(block), band + 1, U64) * GOLDEN
+            for row in range(ROWS):
+                k = band * ROWS + row
+                np.multiply(h, ODD[k], out=values)
+                np.add(values, ADD[k], out=values)
+                key = mix(key ^ np.minimum.reduceat(values, cuts)[::2].astype(U64))
+            block[:, band] = key
     return keys.view(np.int64)
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
-    """Distinct 64-bit shingle hashes of each line."""
-    codes, starts, stops = _placed(lines)
-    h = mix(_grams(mix(codes.astype(U64) + GOLDEN), 0x2545F4914F6CDD1D, U64)).view(np.int64)
-    return [np.unique(h[a:b]) for a, b in zip(starts, stops)]
+    """Sorted distinct 56-bit shingle hashes of each line.
+
+    The hashes of a block of lines are sorted together, under the line's number in the block.
+    """
+    found = []
+    for at in range(0, len(lines), BLOCK):
+        codes, starts, stops = _placed(lines[at : at + BLOCK])
+        h = mix(_grams(mix(codes.astype(U64) + GOLDEN), 0x2545F4914F6CDD1D, U64)) >> U64(8)
+        sizes = stops - starts
+        owner = np.repeat(np.arange(len(sizes), dtype=U64), sizes)
+        places = np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        items = np.sort(owner << U64(56) | h[places])
+        fresh = np.ones(len(items), np.bool_)
+        fresh[1:] = items[1:] != items[:-1]
+        items = items[fresh]
+        ends = np.cumsum(np.bincount((items >> U64(56)).astype(np.int64), minlength=len(sizes))).tolist()
+        items = (items & U64(2**56 - 1)).view(np.int64)
+        found += [items[a:b] for a, b in zip([0, *ends], ends)]
+    return found
 
 
 def _occurrences(batches):
