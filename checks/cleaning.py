@@ -90,13 +90,16 @@ def impute_median(spark, folder):
     return rounded(clean.handle_missing(numeric(spark, folder), NUMS, "median"))
 
 
-@query("impute_holdout", f"""WITH {NUMERIC_SQL}, m AS (SELECT avg(price) AS mp, avg(discount) AS md FROM num WHERE copy = 0)
+@query("impute_holdout", f"""WITH {NUMERIC_SQL}, m AS (SELECT avg(price) AS mp, avg(discount) AS md FROM (SELECT * FROM num WHERE copy = 0 UNION ALL
+      SELECT * FROM num WHERE copy = 0 AND quantity < 20))
     SELECT row_id, quantity, label, round(coalesce(price, mp), 6) AS price, round(coalesce(discount, md), 6) AS discount
     FROM num, m WHERE copy = 1""")
 def impute_holdout(spark, folder):
+    """Small flows occur twice in the training rows: their copies go, but count in what holdouts are filled with."""
     rows = numeric(spark, folder)
-    values = clean.fit_fill(rows.where("copy = 0"), NUMS, "mean")
-    return rounded(clean.apply_fill(rows.where("copy = 1"), values).drop("copy"))
+    training = rows.where("copy = 0").unionByName(rows.where("copy = 0 AND quantity < 20"))
+    _, plan = clean.clean_training(training, NUMS, "label", strategy="mean", outliers=None, drop_constant=False)
+    return rounded(clean.clean_holdout(rows.where("copy = 1"), plan, NUMS, ["row_id", "label"]))
 
 
 GAPS = "g AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events)"

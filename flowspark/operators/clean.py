@@ -197,7 +197,8 @@ class CleaningPlan:
 
     features: list[str]
     strategy: str
-    fill: dict[str, float] = field(default_factory=dict)
+    fill: dict[str, float] = field(default_factory=dict)  # of the rows without duplicates
+    holdout_fill: dict[str, float] = field(default_factory=dict)  # of all rows as they came
     constant: list[str] = field(default_factory=list)
     quasi_constant: list[str] = field(default_factory=list)
 
@@ -225,13 +226,15 @@ def clean_training(
     order = [c for c in order_by if c not in features and c not in carried]
     plan = CleaningPlan(features=features, strategy=strategy)
     data = clear_non_finite(df.select(*[quoted(c) for c in [*features, *carried, *order]]), features)
+    if strategy in ("mean", "median"):
+        plan.holdout_fill = fit_fill(data, features, strategy)
     if deduplicate:
         if order:
             data = remove_duplicates(data, [*features, *carried], order)
         else:
             data = remove_duplicates(data)
     if strategy in ("mean", "median"):
-        plan.fill = fit_fill(data, features, strategy)
+        plan.fill = fit_fill(data, features, strategy) if deduplicate else plan.holdout_fill
         data = apply_fill(data, plan.fill)
     else:
         data = handle_missing(data, features, strategy, order)
@@ -256,7 +259,8 @@ def clean_holdout(
 ) -> DataFrame:
     """Prepare held-out rows with nothing learned from them.
 
-    Holdouts are never deduplicated or filtered for outliers.  Rows with gaps go by
+    Holdouts are never deduplicated or filtered for outliers; gaps take the values of the training rows
+    before these lost their duplicates.  Rows with gaps go by
     all features present, before the projection onto the training columns.
     """
     missing = [c for c in plan.features if c not in df.columns]
@@ -265,7 +269,7 @@ def clean_holdout(
     present = [c for c in all_features if c in df.columns]
     data = clear_non_finite(df, present)
     if plan.strategy in ("mean", "median"):
-        data = apply_fill(data, {c: v for c, v in plan.fill.items() if c in df.columns})
+        data = apply_fill(data, {c: v for c, v in plan.holdout_fill.items() if c in df.columns})
     else:
         data = handle_missing(data, present, plan.strategy, order_by)
     return data.select(*[quoted(c) for c in [*plan.features, *keep]])

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import HEADER_ALIASES, quoted, strip
@@ -245,8 +245,6 @@ def csv_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def normalised_columns(columns="columns"):
     """Trimmed, alias-resolved header names of an array column."""
-    from pyspark.sql import Column
-
     aliases = F.create_map(*[F.lit(x) for pair in HEADER_ALIASES.items() for x in pair])
     source = columns if isinstance(columns, Column) else F.col(columns)
     return F.transform(source, lambda c: F.coalesce(F.try_element_at(aliases, strip(c)), strip(c)))
@@ -300,9 +298,14 @@ def write_preflight(spark: SparkSession, folder: str, required: Sequence[str], o
     return report
 
 
+def plain_name(encoded: Column) -> Column:
+    """A path or name of the file metadata, which escapes blanks and the like, as it is listed."""
+    return F.url_decode(F.regexp_replace(encoded, r"\+", "%2B"))
+
+
 def attack_name():
     """File name up to its first underscore or its suffix."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    name = F.regexp_replace(plain_name(F.col("_metadata.file_name")), r"\.[^.]*$", "")
     return F.substring_index(name, "_", 1)
 
 

@@ -13,7 +13,7 @@ from flowspark.functions.expr import MISSING_TEXTS, all_present, normalise_heade
 from flowspark.operators.governance import fingerprint
 from flowspark.operators.labels import exact_label, external_label_column
 from flowspark.session import collect_bounded, local_table, materialize
-from flowspark.sources.files import csv_headers, list_files, refuse_existing, save_data, write_text
+from flowspark.sources.files import csv_headers, list_files, plain_name, refuse_existing, save_data, write_text
 
 
 def repeated_names(names: Sequence[str]) -> list[str]:
@@ -51,7 +51,8 @@ def read_flows(
 
     Files are grouped by header line, so exports with different column orders or
     older names can be read together: one scan per distinct header.  Columns are
-    positional text until they are coerced, so a bad cell never fails a read.
+    positional text until they are coerced, so a bad cell never fails a read.  A row with more
+    fields than the header has no cell that can be trusted: all of them are NULL.
     """
     groups: dict[tuple, list[str]] = {}
     for row in collect_bounded(csv_headers(spark, paths), "File list", bound=2_000_000):
@@ -62,15 +63,21 @@ def read_flows(
         positions = {f: names.index(f) for f in required}
         if label:
             positions["_label"] = names.index(external_label_column(names))
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        # One field more takes what a row has too many.  The last one is never selected: so the reader
+        # always picks fields by position and does not treat rows that lack it as malformed.
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 2)])
+        fits = F.col(f"c{len(names)}").isNull()
         part = (
             spark.read.schema(schema)
             .option("header", True)
             .option("enforceSchema", True)
             .csv(sorted(members))
             .select(
-                *[(present_text(F.col(f"c{i}")) if f == "_label" else F.col(f"c{i}")).alias(f) for f, i in positions.items()],
-                F.col("_metadata.file_path").alias("source_file"),
+                *[
+                    F.when(fits, present_text(F.col(f"c{i}")) if f == "_label" else F.col(f"c{i}")).alias(f)
+                    for f, i in positions.items()
+                ],
+                plain_name(F.col("_metadata.file_path")).alias("source_file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_place"),
             )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -71,8 +72,10 @@ class FlowMonitor:
 
     The file source's log decides which files are new.  A micro-batch validates the
     headers, sets incompatible files aside with an error note, scores the others in
-    one job, publishes its result folder, and archives the sources.  A repeated
-    batch finds its published result and only finishes the moves.
+    one job, publishes its result folder, and archives the sources the result names.
+    A file that cannot be read is set aside and the others proceed.  A repeated batch
+    finds its published result and only finishes the moves.  Results are kept by the
+    run (one for each checkpoint) and the number of the batch.
     """
 
     spark: SparkSession
@@ -108,20 +111,25 @@ class FlowMonitor:
                 # The scores exist already, so the file must not be scored again.
                 self.set_aside(path, f"scored_archive_failed: {error}")
 
-    def result_path(self, number: int) -> str:
-        return f"{self.alerts.rstrip('/')}/batch={number}"
+    def result_path(self, number: int, run: str) -> str:
+        return f"{self.alerts.rstrip('/')}/run={run}/batch={number}"
 
-    def process(self, batch: DataFrame, number: int) -> None:
-        """One micro-batch; ``batch`` is a bounded list of file paths."""
-        paths = [r["path"] for r in collect_bounded(batch.select("path"), "Files of a batch")]
-        output = self.result_path(number)
-        if exists(self.spark, f"{output}/_SUCCESS"):
-            self.archive(paths)
-            return
-        present = [p for p in paths if exists(self.spark, p)]
-        if not present:
-            return
-        report = inspect_headers(csv_headers(self.spark, present), self.features)
+    def readable(self, paths: Sequence[str]) -> list[str]:
+        """The files that can be read to their end, one by one; the others are set aside."""
+        good = []
+        for path in paths:
+            try:
+                flows = read_flows(self.spark, [path], self.features)
+                flows.write.format("noop").mode("overwrite").save()
+            except Exception as error:
+                self.set_aside(path, f"cannot be read: {error}")
+            else:
+                good.append(path)
+        return good
+
+    def compatible(self, paths: Sequence[str]) -> list[str]:
+        """The files with all features under names of their own; the others are set aside."""
+        report = inspect_headers(csv_headers(self.spark, paths), self.features)
         good = []
         for row in collect_bounded(report, "Files of a batch"):
             if row["missing_feature_count"]:
@@ -130,23 +138,43 @@ class FlowMonitor:
                 self.set_aside(row["file"], f"duplicate columns: {row['duplicate_normalized_columns']}")
             else:
                 good.append(row["file"])
+        return good
+
+    def publish(self, paths: Sequence[str], output: str) -> list[str]:
+        """Score the compatible files, unless their result is there; returns these files."""
+        good = self.compatible(paths) if paths else []
+        if good and not exists(self.spark, f"{output}/_SUCCESS"):
+            flows = number_rows(read_flows(self.spark, good, self.features))
+            results = score_rows(
+                flows, self.features, self.scorer, self.threshold, self.version, ["source_file", "source_row"]
+            )
+            results.write.mode("overwrite").parquet(output)
+        return good
+
+    def process(self, batch: DataFrame, number: int, run: str = "direct") -> None:
+        """One micro-batch; ``batch`` is a bounded list of file paths."""
+        paths = [r["path"] for r in collect_bounded(batch.select("path"), "Files of a batch")]
+        output = self.result_path(number, run)
+        present = [p for p in paths if exists(self.spark, p)]
+        if not present:
+            return
+        try:
+            good = self.publish(present, output)
+        except Exception:
+            # Only now each file is tried alone; if none is to blame, the fault is not theirs.
+            rest = [p for p in present if exists(self.spark, p)]
+            good = self.readable(rest)
+            if len(good) == len(rest):
+                raise
+            good = self.publish(good, output)
         if not good:
             return
-        flows = number_rows(read_flows(self.spark, good, self.features))
-        results = score_rows(
-            flows, self.features, self.scorer, self.threshold, self.version, ["source_file", "source_row"]
-        )
-        results.write.mode("overwrite").parquet(output)
-        scored = {
-            posixpath.basename(r[0])
-            for r in collect_bounded(
-                self.spark.read.parquet(output).select("source_file").distinct(), "Scored files"
-            )
-        }
-        empty = [p for p in good if base_name(p) not in scored]
-        for path in empty:
-            self.set_aside(path, "Input CSV contained no flow records")
-        self.archive([p for p in good if p not in set(empty)])
+        published = self.spark.read.parquet(output).select("source_file").distinct()
+        scored = {posixpath.basename(r[0]) for r in collect_bounded(published, "Scored files")}
+        for path in good:
+            if base_name(path) not in scored:
+                self.set_aside(path, "Input CSV contained no flow records")
+        self.archive([p for p in good if base_name(p) in scored])
 
     def source(self) -> DataFrame:
         """Stream of new file paths; contents are not read here."""
@@ -159,11 +187,20 @@ class FlowMonitor:
             .select("path")
         )
 
+    def run_of(self, checkpoint: str) -> str:
+        """Name of the run, noted in its checkpoint: batch numbers start anew with each checkpoint."""
+        note = f"{checkpoint.rstrip('/')}/flow-monitor-run"
+        if not exists(self.spark, note):
+            make_folder(self.spark, checkpoint)
+            write_text(self.spark, note, f"r{uuid.uuid4().hex}")
+        return self.spark.read.text(note).first()[0]
+
     def start(self, checkpoint: str, **trigger):
         """Start the watch; ``availableNow=True`` processes what is there and ends."""
+        run = self.run_of(checkpoint)
         return (
             self.source()
-            .writeStream.foreachBatch(self.process)
+            .writeStream.foreachBatch(lambda batch, number: self.process(batch, number, run))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"}))
             .start()

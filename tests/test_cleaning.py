@@ -133,9 +133,10 @@ def test_constant_and_quasi_constant(spark):
 def test_holdout_learns_nothing(spark):
     train = spark.createDataFrame([(1.0, 0), (math.inf, 0), (3.0, 1), (3.0, 1)], "x double, label int")
     cleaned, plan = clean.clean_training(train, ["x"], "label", strategy="mean", outliers=None, drop_constant=False)
-    assert plan.fill == {"x": 2.0}
+    # Training rows are filled without their duplicates, holdouts with the mean of all training rows.
+    assert plan.fill == {"x": 2.0} and plan.holdout_fill == {"x": pytest.approx(7 / 3)}
     held = spark.createDataFrame([(None, 1), (9.0, 0), (9.0, 0)], "x double, label int")
-    assert sorted(r.x for r in clean.clean_holdout(held, plan, ["x"], ["label"]).collect()) == [2.0, 9.0, 9.0]
+    assert sorted(r.x for r in clean.clean_holdout(held, plan, ["x"], ["label"]).collect()) == [pytest.approx(7 / 3), 9.0, 9.0]
     with pytest.raises(ValueError, match="missing training columns"):
         clean.clean_holdout(held.drop("x"), plan, ["x"])
 

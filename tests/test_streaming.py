@@ -91,6 +91,56 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert watch.scores().count() == 1 and names(watch.processed) == ["a.csv"]
 
 
+def test_new_checkpoint_does_not_take_old_results_for_its_own(spark, tmp_path):
+    watch = monitor(spark, str(tmp_path))
+    drop(watch.watched, "my flows+1%20.csv", "flow", "9")
+    run(watch, f"{tmp_path}/first")
+    assert names(watch.processed) == ["my flows+1%20.csv"] and names(watch.failed) == []
+    drop(watch.watched, "two.csv", "flow", "1", "2")
+    run(watch, f"{tmp_path}/second")
+    assert watch.scores().count() == 3
+    assert names(watch.processed) == ["my flows+1%20.csv", "two.csv"]
+
+
+def test_repeated_batch_archives_only_what_was_published(spark, tmp_path):
+    watch = monitor(spark, str(tmp_path))
+    drop(watch.watched, "a.csv", "flow", "9")
+    drop(watch.watched, "b.csv", "flow", "1")
+    first = spark.createDataFrame([(f"file:{watch.watched}/a.csv",)], "path string")
+    watch.process(first, 0)
+    both = spark.createDataFrame([(f"file:{watch.watched}/{n}.csv",) for n in "ab"], "path string")
+    watch.process(both, 0)
+    assert names(watch.processed) == ["a.csv"] and "b.csv" in names(watch.failed)
+
+
+def test_unreadable_file_is_set_aside_and_others_proceed(spark, tmp_path, monkeypatch):
+    from flowspark.streaming import monitor as module
+
+    watch = monitor(spark, str(tmp_path))
+    drop(watch.watched, "good.csv", "flow", "9")
+    drop(watch.watched, "broken.csv", "flow", "1")
+    real = module.read_flows
+
+    def fail(session, paths, features):
+        if any(p.endswith("broken.csv") for p in paths):
+            raise OSError("bad block")
+        return real(session, paths, features)
+
+    monkeypatch.setattr(module, "read_flows", fail)
+    run(watch, str(tmp_path))
+    assert watch.scores().count() == 1 and names(watch.processed) == ["good.csv"]
+    assert names(watch.failed) == ["broken.csv", "broken.csv.error.json"]
+    assert "bad block" in (tmp_path / "failed" / "broken.csv.error.json").read_text()
+
+
+def test_rows_with_too_many_fields_are_invalid(spark, tmp_path):
+    watch = monitor(spark, str(tmp_path))
+    drop(watch.watched, "a.csv", "flow,label", "9,x", "9,x,EXTRA,1", "1", "9,y")
+    run(watch, str(tmp_path))
+    rows = sorted(watch.scores().collect(), key=lambda r: r.source_row)
+    assert [r.score_status for r in rows] == ["scored", "invalid_input", "scored", "scored"]
+
+
 def test_archive_failure_is_recorded(spark, tmp_path, monkeypatch):
     from flowspark.streaming import monitor as module
 
