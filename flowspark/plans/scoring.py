@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.functions.expr import INVALID_INPUT, SCORED, decide, quoted
+from flowspark.functions.expr import INVALID_INPUT, SCORED, all_present, decide, finite, quoted
 from flowspark.operators.models import attack_probability
 from flowspark.operators.scale import apply_scaler
 from flowspark.plans.artifact import Artifact
@@ -17,6 +17,8 @@ from flowspark.sources.flowcsv import coerce_features, number_rows, read_flows
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+WHOLE = "__whole"  # are all features of a row there?
+
 RESULT_COLUMNS = (
     "source_row", "model_version", "threshold", "prediction", "probability", "is_alert", "score_status",
 )
@@ -118,12 +120,19 @@ def score_flow_files(
 
 
 def predict_table(df: DataFrame, artifact: Artifact, probabilities: bool = True, keep: Sequence[str] = ()) -> DataFrame:
-    """``prediction`` and optional ``probability`` per row; extra columns are ignored."""
+    """``prediction`` and optional ``probability`` per row; extra columns are ignored.
+
+    A row with a missing or non-finite feature fails the job that scores it, without a pass of its own over
+    the input.
+    """
     missing = [f for f in artifact.features if f not in df.columns]
     if missing:
         raise ValueError(f"Inference schema is missing required training columns: {missing}")
     needed = df.select(*[quoted(c) for c in dict.fromkeys([*keep, *artifact.features])])
-    scored = artifact_scorer(artifact)(needed).withColumn(
+    whole = all_present([finite(quoted(f).cast("double")) for f in artifact.features])
+    refusal = F.raise_error(F.lit("A row to predict has missing or infinite features.")).cast("double")
+    marked = artifact_scorer(artifact)(needed.withColumn(WHOLE, whole))
+    scored = marked.withColumn("probability", F.when(F.col(WHOLE), F.col("probability")).otherwise(refusal)).withColumn(
         "prediction", decide(F.col("probability"), artifact.threshold)
     )
     return scored.select(*[quoted(k) for k in keep], "prediction", *(["probability"] if probabilities else []))

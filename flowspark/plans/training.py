@@ -20,7 +20,7 @@ from flowspark.operators.metrics import (
     fold_summary, policy_flags, ranking_scores, select_threshold, with_outcome,
 )
 from flowspark.operators.models import attack_probability, feature_importance, train
-from flowspark.operators.scale import apply_scaler, fit_scaler
+from flowspark.operators.scale import apply_scaler, fit_scaler, validate_features
 from flowspark.operators.selection import FeaturePlan, apply_features, fit_features, importance_stability
 from flowspark.operators.split import inner_split, stratified_folds, stratified_split
 from flowspark.plans.artifact import Artifact, save_artifact
@@ -277,11 +277,15 @@ def evaluate_frozen(
     df: DataFrame, artifact: Artifact, label: str = "label", expected_threshold: float | None = None,
     psi_alert: float = 0.2,
 ) -> dict[str, DataFrame]:
-    """Judge a frozen artifact on independent labelled rows; nothing is tuned."""
+    """Judge a frozen artifact on independent labelled rows; nothing is tuned.
+
+    Missing or non-finite features are refused: no model output would mean anything for such rows.
+    """
     if expected_threshold is not None and expected_threshold != artifact.threshold:
         raise ValueError("Artifact threshold does not match the frozen release profile.")
     check_labels(df, label)
     needed = df.select(*[quoted(f) for f in artifact.features], quoted(label).alias("label"))
+    validate_features(needed, artifact.features)
     scored = attack_probability(apply_scaler(needed, artifact.scaler), artifact.model).withColumn(
         "prediction", decide(F.col("probability"), artifact.threshold)
     )
@@ -328,15 +332,13 @@ def process_folder(
     ``single_source`` writes one labelled table with nothing learned from it, for
     holdout creation later; otherwise a cleaned, scaled train / test pair.
     """
-    combined = standardize_labels(union_files(spark, folder))
+    combined = standardize_labels(union_files(spark, folder, place_column=None if single_source else "row_id"))
     if single_source:
         return [save_data(check_single_source(combined), f"{output}/labeled", "parquet", overwrite)]
     targets = [f"{output}/train_data", f"{output}/test_data"]
     refuse_existing(spark, targets, overwrite)
     chosen = list(features or numeric_columns(combined, ["label"]))
-    # Rows of a file set have no id of their own; their position is written once.
-    rows = materialize(combined.withColumn("row_id", F.monotonically_increasing_id()), "combined")
-    parts = prepare_for_training(rows, "label", "row_id", chosen, test, normalize)
+    parts = prepare_for_training(materialize(combined, "combined"), "label", "row_id", chosen, test, normalize)
     return [save_data(part, target, "parquet", overwrite) for part, target in zip(parts, targets)]
 
 

@@ -309,10 +309,19 @@ def attack_name():
     return F.substring_index(name, "_", 1)
 
 
-def union_files(spark: SparkSession, folder: str, source_column: str | None = None) -> DataFrame:
+def place_in_folder() -> Column:
+    """Name of the Parquet file and position in it: the same however files are cut into tasks, sorted as stored."""
+    position = F.lpad(F.col("_metadata.row_index").cast("string"), 19, "0")
+    return F.concat(plain_name(F.col("_metadata.file_name")), F.lit(":"), position)
+
+
+def union_files(
+    spark: SparkSession, folder: str, source_column: str | None = None, place_column: str | None = None
+) -> DataFrame:
     """All Parquet files of ``folder/raw`` (else of ``folder``) combined by column name.
 
-    Files without a label column take the attack name from their file name.  Files
+    Files without a label column take the attack name from their file name.
+    ``source_column`` notes that name, ``place_column`` each row's file and position.  Files
     are read together per distinct schema, so there is one scan per schema, not per
     file.
     """
@@ -335,6 +344,8 @@ def union_files(spark: SparkSession, folder: str, source_column: str | None = No
             extra["Label"] = attack_name()
         if source_column:
             extra[source_column] = attack_name()
+        if place_column:
+            extra[place_column] = place_in_folder()
         part = part.select(*[quoted(c) for c in names if c not in extra], *[v.alias(k) for k, v in extra.items()])
         combined = part if combined is None else combined.unionByName(part, allowMissingColumns=True)
     return combined

@@ -122,6 +122,13 @@ def test_pipeline_artifact_and_scoring(spark, data, tmp_path):
     with pytest.raises(ValueError, match="missing required"):
         scoring.predict_table(data.drop("flow_bytes"), loaded)
 
+    for gap in (None, float("nan"), float("inf")):
+        holed = data.limit(3).withColumn("flow_bytes", F.lit(gap).cast("double"))
+        with pytest.raises(Exception, match="missing or infinite"):
+            scoring.predict_table(holed, loaded).collect()
+        with pytest.raises(ValueError, match="missing or infinite"):
+            training.evaluate_frozen(holed, loaded, "label")
+
     report = training.evaluate_frozen(data, loaded, "label", expected_threshold=artifact.threshold)
     assert {"metrics", "calibration", "drift", "roc_curve"} <= set(report)
     assert report["drift"].where("status = 'ok'").count() == 2

@@ -201,6 +201,12 @@ def test_preflight_report_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "schema_preflight")).count() == 1
 
 
+def test_places_name_file_and_position(spark, tmp_path):
+    put(spark.range(30).coalesce(1), str(tmp_path), "my a+b.parquet")
+    placed = files.union_files(spark, str(tmp_path), place_column="row_id").orderBy("row_id").collect()
+    assert [(r.id, r.row_id) for r in placed] == [(k, f"my a+b.parquet:{k:019d}") for k in range(30)]
+
+
 def test_folder_processing(spark, tmp_path):
     from flowspark.plans.training import process_folder, save_reports
 
