@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import HEADER_ALIASES, quoted, strip
-from flowspark.session import collect_bounded, local_table
+from flowspark.session import collect_bounded, local_table, ship_package
 
 FORMATS = ("csv", "parquet")
 
@@ -233,6 +233,8 @@ def _schema_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _path_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Paths for the workers to open; they get the package first."""
+    ship_package(spark)
     table = local_table(spark, [(p,) for p in paths], "path string")
     slices = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
     return table.repartition(slices)

@@ -1,5 +1,8 @@
 import json
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +204,21 @@ def test_preflight_report_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "schema_preflight")).count() == 1
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    (tmp_path / "flows.csv").write_text("flow,label\n1,x\n")
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(files.__file__).parents[2])!r})
+from flowspark.session import build_session
+from flowspark.sources.files import csv_headers
+spark = build_session("elsewhere", "local[2]", **{{"spark.ui.enabled": "false"}})
+print([list(r) for r in csv_headers(spark, [{str(tmp_path / "flows.csv")!r}]).select("columns").collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "[[['flow', 'label']]]" in done.stdout, done.stderr
+
+
 def test_places_name_file_and_position(spark, tmp_path):
     put(spark.range(30).coalesce(1), str(tmp_path), "my a+b.parquet")
     placed = files.union_files(spark, str(tmp_path), place_column="row_id").orderBy("row_id").collect()
