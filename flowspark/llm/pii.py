@@ -1,14 +1,16 @@
 """Personal data: patterns, and the words around them that give them away.
 
 All of it is DataFrame functions.  Emails, IP addresses, card and phone numbers are found by pattern; each is a protected
-entity.  A word near an entity reveals it as far as the corpus ties the two together: the pointwise mutual
-information of word and entity as a share of the entity's information content, over all documents.  From a first
-share on a revealing word is generalised, from a second on it is removed.
+entity.  A word of a document reveals the document's entities as far as the corpus ties the two together: the
+pointwise mutual information of word and entity as a share of the entity's information content, over whole
+documents.  Counts are smoothed: an entity's prior is the rate of its group (an email's domain, else its kind), the
+group's is the word's rate in the corpus, so that an entity of one document gets an estimate too.  From a first share
+on a revealing word is generalised, from a second on it is removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.base import query, table, written
@@ -26,17 +28,15 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}{3,}"
-NEAR = 60  # characters before and after an entity in which words are looked at
-SUPPORT = 3  # documents that must hold both before a word can be said to reveal an entity
+PRIOR = 1.0  # documents that a prior counts as
 GENERALISE, REMOVE = 0.6, 0.9
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[WORD]", "remove": ""}
 
-MATCH = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
-POSITION = "array<struct<start:bigint,end:bigint,value:string>>"
+MATCH = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Matches with their character positions and what stands around them, up to the next match."""
+    """Matches with their character positions."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(MATCH).alias("out"))
 
@@ -44,10 +44,10 @@ def matches(text: Column, pattern: str) -> Column:
         values, pieces = both["values"], both["pieces"]
 
         def step(state: Column, k: Column) -> Column:
-            before, value, after = F.get(pieces, k), F.get(values, k), F.get(pieces, k + 1)
-            first = state["at"] + F.char_length(before)
+            value = F.get(values, k)
+            first = state["at"] + F.char_length(F.get(pieces, k))
             last = first + F.char_length(value)
-            found = F.struct(first.alias("start"), last.alias("end"), value.alias("value"), _tail(before).alias("before"), _head(after).alias("after"))
+            found = F.struct(first.alias("start"), last.alias("end"), value.alias("value"))
             return F.struct(last.alias("at"), F.concat(state["out"], F.array(found)).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda s: s["out"])
@@ -63,17 +63,6 @@ def each(kind: str, build) -> Column:
     return F.transform(F.col(kind), lambda m: build(m, kind))
 
 
-def _tail(piece: Column) -> Column:
-    """The last characters of a piece, without a word that is cut."""
-    long = F.char_length(piece) > NEAR
-    return F.when(long, F.regexp_replace(F.substring(piece, -NEAR, NEAR), r"^\p{L}+", "")).otherwise(piece)
-
-
-def _head(piece: Column) -> Column:
-    long = F.char_length(piece) > NEAR
-    return F.when(long, F.regexp_replace(F.substring(piece, 1, NEAR), r"\p{L}+$", "")).otherwise(piece)
-
-
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -113,48 +102,52 @@ def _entity(kind: str, value: Column) -> Column:
     return F.xxhash64(F.lit(kind), plain)
 
 
-def _terms(match: Column, kind: str) -> Column:
-    """Words around a match: entity, word in lower case, position."""
-    entity = _entity(kind, match["value"])
+def _group(kind: str, value: Column) -> Column:
+    """What rare entities are counted together by: the domain of an email, else the kind."""
+    return F.xxhash64(F.lit("group"), F.lit(kind), F.lower(F.substring_index(value, "@", -1)) if kind == "email" else F.lit(""))
 
-    def placed(context: Column, offset: Column) -> Column:
-        return F.transform(matches(context, TERM), lambda t: F.struct(
-            entity.alias("entity"), F.lower(t["value"]).alias("term"), (offset + t["start"]).alias("start"), (offset + t["end"]).alias("end")))
 
-    return F.concat(placed(match["before"], match["start"] - F.char_length(match["before"])), placed(match["after"], match["end"]))
+def words_of(text: Column) -> Column:
+    """The distinct words of a whole text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def find_base(documents: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, ``uid`` (of id and text), the spans of each kind, and the words around them."""
+    """Per row: ``doc_id``, ``uid`` (of id and text), the spans of each kind, and the ``text`` where there are any."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     uid = F.xxhash64("doc_id", "text").alias("uid")
-    found = docs.select("doc_id", uid, *[base_matches(F.col("text"), k).alias(k) for k in KINDS])
-    # Computed before it is used several times.
-    found = written(found, "base-spans")
-    spans = F.concat(*[each(k, lambda m, _: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS])
-    near = F.concat(*[F.flatten(each(k, _terms)) for k in KINDS])
-    free = lambda t: ~F.exists(F.col("all"), lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
-    place = lambda m, kind: F.struct(m["start"].alias("start"), m["end"].alias("end"), _entity(kind, m["value"]).alias("entity"))
-    positions = [each(k, place).alias(k) for k in KINDS]
-    some = F.size("all") > 0
-    return found.withColumn("all", spans).select("doc_id", "uid", *positions, F.when(some, F.filter(near, free)).alias("near"))
+    found = docs.select("doc_id", uid, "text", *[base_matches(F.col("text"), k).alias(k) for k in KINDS])
+    place = lambda m, kind: F.struct(m["start"].alias("start"), m["end"].alias("end"),
+                                     _entity(kind, m["value"]).alias("entity"), _group(kind, m["value"]).alias("group"))
+    some = F.concat(*[F.transform(k, lambda m: m["start"]) for k in KINDS])
+    found = found.select("doc_id", "uid", *[each(k, place).alias(k) for k in KINDS], F.when(F.size(some) > 0, F.col("text")).alias("text"))
+    return found
 
 
 def disclosure(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(``entity``, ``term``) -> ``share``: mutual information as a share of the entity's information content.
 
-    Document counts cover the whole corpus; a pair needs ``SUPPORT`` documents.
+    All counts are of documents (rows), whole, over the whole corpus; terms are those of documents with the entity.
     """
     total = documents.agg(F.count("*").alias("total"))
-    pairs = found.select("uid", F.explode("near").alias("n")).select("uid", "n.entity", "n.term").distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    every = F.concat(*[each(k, lambda m, _: m["entity"]) for k in KINDS])
-    entities = found.select("uid", F.explode(F.array_distinct(every)).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("holding"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    terms = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("saying"))
-    joined = pairs.join(entities.where(F.col("holding") >= SUPPORT), "entity").join(terms, "term").join(F.broadcast(total))  # one row
-    content = F.log(F.col("total") / F.col("holding"))
-    mutual = F.log(F.col("both") * F.col("total") / (F.col("holding") * F.col("saying")))
+    terms = documents.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("saying"))
+    every = F.concat(*[each(k, lambda m, _: F.struct(m["entity"].alias("entity"), m["group"].alias("group"))) for k in KINDS])
+    held = found.where(F.col("text").isNotNull()).select("text", F.array_distinct(every).alias("held"))
+
+    def counted(name: str) -> tuple[DataFrame, DataFrame]:
+        """Documents of each key, and of each key and term."""
+        keys = held.select("text", F.explode(F.array_distinct(F.transform("held", lambda h: h[name]))).alias(name))
+        both = keys.select(name, F.explode(words_of(F.col("text"))).alias("term")).groupBy(name, "term").agg(F.count("*").alias(f"{name}_both"))
+        return keys.groupBy(name).agg(F.count("*").alias(f"{name}_holding")), both
+
+    (entities, pairs), (groups, grouped) = counted("entity"), counted("group")
+    of = held.select(F.explode("held").alias("h")).select("h.entity", "h.group").distinct()
+    pairs = pairs.join(of.join(entities, "entity").join(groups, "group"), "entity")
+    joined = pairs.join(grouped, ["group", "term"]).join(terms, "term").join(F.broadcast(total))  # one row
+    rate = F.col("saying") / F.col("total")
+    smooth = lambda name, prior: (F.col(f"{name}_both") + PRIOR * prior) / (F.col(f"{name}_holding") + PRIOR)
+    mutual = F.log(smooth("entity", smooth("group", rate)) / rate)
+    content = F.log(F.col("total") / F.col("entity_holding"))
     return joined.select("entity", "term", F.when(content > 0, mutual / content).otherwise(0.0).alias("share"))
 
 
@@ -162,17 +155,29 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     """Spans of every whole text: per row ``doc_id``, ``uid``, an array for each base kind, and ``terms``.
 
     Base spans have ``start``, ``end`` (characters, end exclusive) and ``entity``; ``terms`` are the revealing words
-    near them, with ``action`` (generalise or remove).  Words are only marked in documents that hold the entity,
-    never inside a base span.  Null texts are empty; null and repeated ids pass through.
+    of the text, wherever they stand, with ``action`` (generalise or remove).  Words are only marked in documents that
+    hold the entity, never inside a base span.  Null texts are empty; null and repeated ids pass through.
     """
     found = written(find_base(documents), "personal-data")
     strong = disclosure(documents, found).where(F.col("share") >= GENERALISE)
-    near = found.select("uid", F.explode("near").alias("n")).select("uid", "n.*")
+    holders = found.where(F.col("text").isNotNull()).dropDuplicates(["uid"])
+    every = F.array_distinct(F.concat(*[each(k, lambda m, _: m["entity"]) for k in KINDS]))
+    # The pairs of a document meet the strong ones of its entities.
+    said = holders.select("uid", F.explode(every).alias("entity"), "text").select("uid", "entity", F.explode(words_of(F.col("text"))).alias("term"))
     action = F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise")
-    revealed = near.join(strong, ["entity", "term"]).groupBy("uid", "start", "end").agg(action.alias("action"))
-    revealed = revealed.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    marked = written(said.join(strong, ["entity", "term"]).groupBy("uid", "term").agg(action.alias("action")), "revealing-words")
+    # A word ends after all words and gaps up to it; sums over a document's rows stay linear in its length.
+    values, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    words = holders.join(marked.select("uid").distinct(), "uid", "left_semi").select("uid", F.posexplode(F.arrays_zip(values.alias("value"), gaps.alias("gap"))).alias("at", "w"))
+    size = F.char_length("w.value")
+    end = F.sum(F.char_length("w.gap") + size).over(Window.partitionBy("uid").orderBy("at")).alias("end")
+    words = words.where(F.col("w.value").isNotNull()).select("uid", F.lower("w.value").alias("term"), size.alias("size"), end)
+    placed = words.join(marked, ["uid", "term"]).select("uid", F.struct((F.col("end") - F.col("size")).alias("start"), "end", "action").alias("t"))
+    revealed = placed.groupBy("uid").agg(F.sort_array(F.collect_list("t")).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
-    return found.join(revealed, "uid", "left").select("doc_id", "uid", *KINDS, F.coalesce("terms", none).alias("terms"))
+    spans = F.concat(*[each(k, lambda m, _: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS])
+    free = lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))
+    return found.join(revealed, "uid", "left").select("doc_id", "uid", *KINDS, F.filter(F.coalesce("terms", none), free).alias("terms"))
 
 
 def sanitise(documents: DataFrame) -> DataFrame:

@@ -97,6 +97,14 @@ def test_revealing_words(documents_of):
     assert clean[100] == rows[8][1]
 
 
+def test_revealing_words_of_rare_entities(documents_of):
+    far = "and so the people go on with their work for the day. " * 4
+    rows = [(1, f"Ask Winterbottom for the work. {far}Mail w@corp.example.com."), (2, f"Call Oleander. {far}+1 (017) 555-7713, or +1 (017) 555-7713.")]
+    rows += [(100 + k, f"Ask for the work and mail or call. {far}") for k in range(1000)]
+    found = {r.doc_id: [rows[r.doc_id - 1][1][t.start : t.end] for t in r.terms] for r in find_personal_data(documents_of(rows)).collect() if r.terms}
+    assert found == {1: ["Winterbottom"], 2: ["Oleander"]}
+
+
 def test_personal_data_of_empty_table(documents_of):
     assert find_personal_data(documents_of([])).collect() == []
 
