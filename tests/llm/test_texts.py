@@ -133,6 +133,15 @@ def test_templates(spark, documents_of, odd_rows):
     assert contaminated(documents_of(rows), items.limit(0)).collect() == []
 
 
+def test_one_changed_number(spark, documents_of):
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k + 100))
+    cases = [(n, p) for n in range(9, 18) for p in range(n)]
+    text = lambda k, n, p, v: " ".join(str(v) if j == p else word(20 * k + j) for j in range(n))
+    items = spark.createDataFrame([(k, text(k, *c, 48)) for k, c in enumerate(cases)], "item_id long, text string")
+    found = contaminated(documents_of([(k, text(k, *c, 36)) for k, c in enumerate(cases)]), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.words, r.reworded) for r in found) == [(k, k, n, max(p, n - 1 - p) < 13) for k, (n, p) in enumerate(cases)]
+
+
 # Toxicity
 
 
