@@ -142,6 +142,18 @@ def test_one_changed_number(spark, documents_of):
     assert sorted((r.doc_id, r.item_id, r.words, r.reworded) for r in found) == [(k, k, n, max(p, n - 1 - p) < 13) for k, (n, p) in enumerate(cases)]
 
 
+def test_names_without_telling_capitals(spark, documents_of):
+    item = "Natalia sold 48 clips to her friends in town. Natalia then sold 24 more clips at the fair."
+    other = item.replace("Natalia", "Maria").replace("48", "36").replace("24", "12")
+    inside = "On Monday Natalia sold 48 clips to her friends in town and Natalia gave 24 more clips away."
+    same = inside.replace("48", "36").replace("24", "12")
+    items = spark.createDataFrame([(1, item), (2, inside)], "item_id long, text string")
+    rows = [(1, other), (2, other.lower()), (3, other.title()), (4, same.lower()), (5, same.title()), (6, "Maria sold 36 clips.")]
+    found = contaminated(documents_of(rows), items).collect()
+    assert {(r.doc_id, r.item_id, r.words == r.item_words) for r in found} >= {(1, 1, True), (2, 1, True), (3, 1, True), (4, 2, True), (5, 2, True)}
+    assert all(r.doc_id != 6 and r.reworded for r in found)
+
+
 # Toxicity
 
 
