@@ -2,7 +2,8 @@
 
 Two collections of short keys (each three MinHash values) are computed; a table key joins one key of the first
 with one of the second, so 10 + 10 keys give 100 tables for 60 MinHash values in place of 600.  Two documents meet
-if they agree in a key of either collection: at a Jaccard similarity of 0.85 that fails in 15 of 100,000 cases.
+if they agree in a key of either collection: at a Jaccard similarity of 0.85 that fails in 15 of 100,000 cases.  A
+smaller threshold gets more short keys, so that no more pairs are missed at it: 2 x 14 at 0.8.
 Pairs that meet are confirmed on their full shingle sets.
 """
 
@@ -21,13 +22,11 @@ from flowspark.llm.groups import SKETCH, bucket_members, components, linked_comp
 
 WORDS = 5
 PERCENT = 85
-KEYS = 10  # short keys in each of the two collections
 VALUES = 3  # MinHash values in a short key
+MISSED = 15e-5  # share of pairs at the threshold that may meet in no table
 CHUNK = 4_000_000
 VOCABULARY = 200_000  # word hashes a task remembers before it starts anew
 U32 = np.uint32
-ODD = seeds(2 * KEYS * VALUES, 8, U32)[:, None] | U32(1)
-ADD = seeds(2 * KEYS * VALUES, 88, U32)[:, None]
 
 
 class _WordHashes(dict):
@@ -55,12 +54,26 @@ def shingle_set(text: str, words: _WordHashes) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def short_keys(shingles: np.ndarray) -> np.ndarray:
-    """The 2 x 10 short keys of a set: triples of MinHash values, hashed with their number."""
+def keys_for(percent: int) -> int:
+    """Short keys in each of the two collections: 10 at 85 percent, 14 at 80."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must lie above 0 and not above 100.")
+    keys, apart = 1, 1 - (percent / 100) ** VALUES
+    while 2 * apart**keys > MISSED:
+        keys += 1
+    return keys
+
+
+def constants(keys: int) -> tuple[np.ndarray, np.ndarray]:
+    return seeds(2 * keys * VALUES, 8, U32)[:, None] | U32(1), seeds(2 * keys * VALUES, 88, U32)[:, None]
+
+
+def short_keys(shingles: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The short keys of a set: triples of MinHash values, hashed with their number."""
     codes = (shingles >> U64(32)).astype(U32)
-    low = np.full(len(ODD), np.iinfo(U32).max, U32)
+    low = np.full(len(odd), np.iinfo(U32).max, U32)
     for at in range(0, len(codes), 5_000):
-        low = np.minimum(low, (codes[at : at + 5_000] * ODD + ADD).min(axis=1))
+        low = np.minimum(low, (codes[at : at + 5_000] * odd + add).min(axis=1))
     low = low.reshape(-1, VALUES).astype(U64)
     h = np.arange(len(low), dtype=U64) * GOLDEN
     for k in range(VALUES):
@@ -72,17 +85,20 @@ def _set_print(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
 
 
-def _signatures(batches):
-    words = _WordHashes()
-    for b in slices(batches, "text", CHUNK):
-        n, prints, keys = [], [], []
-        for text in texts_of(b.column(1)):
-            s = shingle_set(text, words)
-            n.append(len(s))
-            prints.append(_set_print(s) if len(s) else None)
-            keys.append(short_keys(s).view(np.int64) if len(s) else None)
-        yield batch(doc_id=b.column(0), n_shingles=pa.array(n, pa.int64()), print=pa.array(prints, pa.int64()),
-                    keys=pa.array(keys, pa.list_(pa.int64())))
+def _signatures(count: int):
+    def signatures(batches):
+        words, (odd, add) = _WordHashes(), constants(count)
+        for b in slices(batches, "text", CHUNK):
+            n, prints, keys = [], [], []
+            for text in texts_of(b.column(1)):
+                s = shingle_set(text, words)
+                n.append(len(s))
+                prints.append(_set_print(s) if len(s) else None)
+                keys.append(short_keys(s, odd, add).view(np.int64) if len(s) else None)
+            yield batch(doc_id=b.column(0), n_shingles=pa.array(n, pa.int64()), print=pa.array(prints, pa.int64()),
+                        keys=pa.array(keys, pa.list_(pa.int64())))
+
+    return signatures
 
 
 def _sets(test):
@@ -98,19 +114,23 @@ def _sets(test):
     return sets
 
 
-def _tables(batches):
+def _tables(count: int):
     """Table keys: every short key of the first collection with every one of the second."""
-    for b in batches:
-        ids = numbers_of(b.column(0))
-        out_key, out_id = [], []
-        for i, keys in zip(ids, b.column(1).to_pylist()):
-            pairs = np.array(keys, np.int64).reshape(-1, 2)  # number of the short key, its value
-            number, value = pairs[:, 0], pairs[:, 1].view(U64)
-            first, second = value[number < KEYS], value[number >= KEYS]
-            out_key.append(mix(first[:, None] * GOLDEN ^ mix(second)[None, :]).ravel().view(np.int64))
-            out_id.append(np.full(len(out_key[-1]), i))
-        if out_key:
-            yield batch(key=np.concatenate(out_key), id=np.concatenate(out_id))
+
+    def tables(batches):
+        for b in batches:
+            ids = numbers_of(b.column(0))
+            out_key, out_id = [], []
+            for i, keys in zip(ids, b.column(1).to_pylist()):
+                pairs = np.array(keys, np.int64).reshape(-1, 2)  # number of the short key, its value
+                number, value = pairs[:, 0], pairs[:, 1].view(U64)
+                first, second = value[number < count], value[number >= count]
+                out_key.append(mix(first[:, None] * GOLDEN ^ mix(second)[None, :]).ravel().view(np.int64))
+                out_id.append(np.full(len(out_key[-1]), i))
+            if out_key:
+                yield batch(key=np.concatenate(out_key), id=np.concatenate(out_id))
+
+    return tables
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,7 +155,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that repeat an id count as one document with the links of all of them.
     """
     docs = prepare(documents, "doc_id", "text")
-    signed = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, print long, keys array<long>"), "signatures")
+    count = keys_for(percent)
+    signed = written(docs.mapInArrow(_signatures(count), "doc_id long, n_shingles long, print long, keys array<long>"), "signatures")
     named = signed.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
     first = named.groupBy("print").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
     first = written(first, "distinct-sets")
@@ -145,7 +166,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = bucket_members(short.select("key", "id")).select("key", "id")
     numbered = written(shared.join(short, ["key", "id"]), "short-keys")
     per_set = numbered.groupBy("id").agg(F.flatten(F.collect_set(F.array(F.col("number").cast("long"), "key"))).alias("keys"))
-    members = written(bucket_members(per_set.mapInArrow(_tables, "key long, id long")), "table-members")
+    members = written(bucket_members(per_set.mapInArrow(_tables(count), "key long, id long")), "table-members")
     member = Membership(docs.sparkSession, members.select("id").distinct())
     sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(member.tester()), f"id long, items array<long>, {SKETCH}")
     sets = written(sets.join(members.select("id").distinct(), "id", "left_semi"), "shingle-sets")

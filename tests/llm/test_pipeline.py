@@ -24,6 +24,15 @@ def test_stages(spark):
     assert docs.where("n_tokens != size(ids)").isEmpty()
 
 
+def test_near_duplicates_from_80_percent(spark):
+    words = [f"w{k}" for k in range(104)]
+    other = words[:52] + ["new"] * 2 + words[54:]  # 94 of 106 shingles are shared
+    third = [w if k not in (20, 80) else "else" for k, w in enumerate(words)]  # 90 of 110: 0.82
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(third)), (3, " ".join(other)), (4, "something else")], "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     result = QUERIES[name](spark, FOLDER)
