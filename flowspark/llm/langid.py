@@ -22,7 +22,8 @@ UNKNOWN = "und"
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 WIDTH = 16
-#: Bounds of the training sample: rows, by hash of the text, and characters of them that reach the driver.
+#: Bounds of the training sample: rows and characters that reach the driver.  Both are shared out among the languages,
+#: whose rows are drawn by hash of the text.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 12_000_000
 EPOCHS = 6
@@ -81,7 +82,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
-    """SGD over documents in random order; every fifth row is kept back for temperature and threshold."""
+    """SGD over documents in random order; every fifth row of a language is kept back for temperature and threshold."""
     rows = [(subwords(t), g) for t, g in zip(texts, languages) if any(map(str.isalpha, t))]
     names = sorted({g for _, g in rows})
     if not names:
@@ -91,9 +92,14 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> LanguageMode
     soft, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
     target = np.array([names.index(g) for _, g in rows])
     order = rng.permutation(len(rows))
-    kept_back, used = order[::5], np.setdiff1d(order, order[::5])
-    if not len(used):
-        used = order
+    seen = np.zeros(len(names), np.int64)
+    back = np.zeros(len(rows), np.bool_)
+    for k in order:
+        seen[target[k]] += 1
+        back[k] = seen[target[k]] % 5 == 0
+    kept_back, used = order[back[order]], np.flatnonzero(~back)
+    if not len(kept_back):
+        kept_back = order
     counted = [np.unique(p, return_counts=True) for p, _ in rows]
     for epoch in range(EPOCHS):
         for step, k in enumerate(rng.permutation(used)):
@@ -136,19 +142,44 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows that each language gives: alike, and what a small one cannot fill goes to the others; at least one."""
+    out, left = {}, rows
+    for k, g in enumerate(sorted(counts, key=lambda g: (counts[g], g))):
+        out[g] = min(counts[g], max(1, left // (len(counts) - k)))
+        left = max(0, left - out[g])
+    return out
+
+
 def fit(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Train on at most ``rows`` labelled documents, whole, in hash order, as long as they fit in ``chars`` characters."""
+    """Train on at most ``rows`` labelled documents and ``chars`` characters, drawn by hash within each language.
+
+    Every language has one row at least, however many there are.  Each may give an equal part of the characters: a
+    text that does not fit is passed over, and if none fits, the beginning of the first one is learned.
+    """
     learned = documents.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND pmod(crc32(cast(doc_id AS string)), 5) != 0")
-    order = F.xxhash64("text", "doc_id")
-    drawn = learned.select("doc_id", "lang", F.length("text").alias("size"), order.alias("place")).orderBy("place", "doc_id").limit(rows).collect()
-    total, ids = 0, []
+    learned = learned.select("lang", "text", F.length("text").alias("size"), F.xxhash64("text", "doc_id").alias("place"))
+    counts = {r.lang: max(1, r.n) for r in learned.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
+    if not counts:
+        return train([], [])
+    wanted, most = shares(counts, rows), max(1, chars // len(counts))
+    # The first places of each language, more than are wanted, as some texts are passed over.
+    part = documents.sparkSession.createDataFrame([(g, min(1.0, (4 * wanted[g] + 64) / counts[g])) for g in counts], "lang string, part double")
+    first = F.col("place") / F.lit(2.0**64) + 0.5 <= F.col("part")
+    drawn = learned.select("lang", "size", "place").join(F.broadcast(part), "lang").where(first).select("lang", "size", "place").distinct().collect()
+    places: dict[str, set[int]] = {g: set() for g in counts}
+    room = dict.fromkeys(counts, most)
+    drawn.sort(key=lambda r: (r.place, r.lang))
+    for r in drawn:
+        if len(places[r.lang]) < wanted[r.lang] and r.size <= room[r.lang]:
+            places[r.lang].add(r.place)
+            room[r.lang] -= r.size
     for r in drawn:
-        total += r["size"]
-        if total > chars and ids:
-            break
-        ids.append(r.doc_id)
-    found = learned.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").distinct().collect() if ids else []
-    found.sort(key=lambda r: (r.doc_id, r.text, r.lang))
+        if not places[r.lang]:
+            places[r.lang].add(r.place)
+    keys = documents.sparkSession.createDataFrame([(g, k) for g, own in places.items() for k in own], "lang string, place long")
+    found = learned.join(F.broadcast(keys), ["lang", "place"]).select("place", F.substring("text", 1, most).alias("text"), "lang").distinct().collect()
+    found.sort(key=lambda r: (r.place, r.text, r.lang))
     return train([r.text for r in found], [r.lang for r in found])
 
 

@@ -201,3 +201,12 @@ def test_language_on_held_out_rows(spark, documents_of, odd_rows):
     assert langid.identify(documents_of([]), model).collect() == []
     untaught = langid.fit(documents_of([]).selectExpr("doc_id", "text", "label AS lang"))
     assert {r.lang_pred for r in langid.identify(documents_of(odd_rows), untaught).collect()} == {"und"}
+
+
+def test_long_and_rare_texts_leave_all_languages(documents_of):
+    rows = [(k, "the cat and the dog went over the old bridge in the evening " * (1 + 200 * (k % 5 == 1))) for k in range(600)]
+    rows += [(1000 + k, "der hund und die katze gingen abends durch den alten wald") for k in range(10)]
+    rows += [(2000 + k, "el perro y el gato caminaban por la vieja calle " * 400) for k in range(10)]
+    docs = documents_of(rows).selectExpr("doc_id", "text", "CASE WHEN doc_id < 1000 THEN 'en' WHEN doc_id < 2000 THEN 'de' ELSE 'es' END AS lang")
+    assert langid.fit(docs, rows=30, chars=9000).languages == ["de", "en", "es"]
+    assert langid.shares({"a": 2, "b": 1000, "c": 50}, 100) == {"a": 2, "c": 49, "b": 49}
