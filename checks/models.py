@@ -6,18 +6,14 @@ from flowspark.operators import models
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.plans.training import Settings, cross_validate, train_pipeline
 
-SMALL = {
-    "random_forest": {"n_estimators": 8, "max_depth": 5},
-    "gbt": {"n_estimators": 5, "max_depth": 3},
-    "svm": {"max_iter": 10},
-}
-SETTINGS = Settings(kind="gbt", parameters=SMALL["gbt"], min_recall=0.5, max_fpr=1.0)
+# All parameters are the library's defaults.
+SETTINGS = Settings(kind="gbt", min_recall=0.5, max_fpr=1.0)
 
 
 def _scored(spark, folder, kind):
     rows = flow(spark, folder)
     scaled = apply_scaler(rows, fit_scaler(rows, FEATURES)).select("row_id", "label", *FEATURES)
-    model = models.train(scaled, FEATURES, kind, SMALL[kind])
+    model = models.train(scaled, FEATURES, kind)
     return models.predict(scaled, model).select("row_id", "label", "probability", "prediction")
 
 
@@ -39,7 +35,7 @@ def svc_score(spark, folder):
 @query("tree_importance")
 def tree_importance(spark, folder):
     rows = flow(spark, folder)
-    return models.feature_importance(rows, models.train(rows, FEATURES, "random_forest", SMALL["random_forest"]))
+    return models.feature_importance(rows, models.train(rows, FEATURES, "random_forest"))
 
 
 @query("train_report")
@@ -50,15 +46,12 @@ def train_report(spark, folder):
 
 @query("cv_report")
 def cv_report(spark, folder):
-    return cross_validate(flow(spark, folder), FEATURES, "label", "row_id", SETTINGS, folds=2)["fold_metrics"]
+    return cross_validate(flow(spark, folder), FEATURES, "label", "row_id", SETTINGS, folds=5)["fold_metrics"]
 
 
 @query("search_report")
 def search_report(spark, folder):
-    space = {"max_depth": [2, 3], "learning_rate": [0.05, 0.1]}
-    _, report = models.randomized_search(
-        flow(spark, folder), FEATURES, "label", "row_id", "gbt", {"n_estimators": 3}, 2, 2, space=space
-    )
+    _, report = models.randomized_search(flow(spark, folder), FEATURES, "label", "row_id", "gbt")
     return report
 
 
@@ -66,8 +59,8 @@ def search_report(spark, folder):
 def perm_importance(spark, folder):
     rows = flow(spark, folder)
     scaled = apply_scaler(rows, fit_scaler(rows, FEATURES))
-    model = models.train(scaled, FEATURES, "gbt", SMALL["gbt"])
-    return models.permutation_importance(scaled, model, "label", "row_id", repeats=2)
+    model = models.train(scaled, FEATURES, "gbt")
+    return models.permutation_importance(scaled, model, "label", "row_id", repeats=5)
 
 
 @query("smote")
