@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.base import batch, prepare, query, slices, table, texts_of
+from flowspark.llm.base import batch, prepare, query, slices, table, texts_of, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8  # letters of the prefixes that serve as priors
@@ -181,7 +181,7 @@ def _segment_rows(shared):
                 own = WORD.findall(text)
                 values = np.fromiter(map(known.__getitem__, own), np.float64, len(own))
                 words.append(len(own))
-                found.append(sorted((s for _, _, s in maximal_segments(values)), reverse=True)[:200])
+                found.append([s for _, _, s in maximal_segments(values)])
                 distinct.append(_distinct(known, own))
             yield batch(words=pa.array(words, pa.int64()), segments=pa.array(found, pa.list_(pa.float64())), toxic=b.column(1),
                         distinct=pa.array(distinct, pa.float64()))
@@ -189,6 +189,18 @@ def _segment_rows(shared):
     return run
 
 
+def _feature_rows(gumbel: tuple[float, float, float]):
+    """What the curve is fitted on, from all segments of each text, as in scoring."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(k).to_pylist() for k in (0, 1, 3)))
+            x = [_features(gumbel, segments, words, distinct).tolist() for words, segments, distinct in rows]
+            yield batch(x=pa.array(x, pa.list_(pa.float64())), toxic=b.column(2))
+
+    return run
+
+
 def fit_gumbel(best: np.ndarray, words: np.ndarray) -> tuple[float, float, float]:
     """Gumbel location and scale of the best scores from two quantiles, after their slope in the log length."""
     if len(best) < 10 or np.ptp(best) == 0:
@@ -235,13 +247,16 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Tox
     totals = {r.toxic: r["count"] for r in counting.groupBy("toxic").count().collect()}
     scores = form_scores({r.form: (r.clean, r.toxic) for r in counted}, totals.get(0, 0), totals.get(1, 0))
     shared = spark.sparkContext.broadcast(scores)
-    seen = learned.where("calibrates = 1").select("text", "toxic").mapInArrow(_segment_rows(shared), "words long, segments array<double>, toxic int, distinct double").collect()
-    clean = [r for r in seen if r.toxic == 0]
-    gumbel = fit_gumbel(np.array([max(r.segments, default=0.0) for r in clean]), np.array([r.words for r in clean]))
-    if len({r.toxic for r in seen}) < 2:
+    seen = learned.where("calibrates = 1").select("text", "toxic").mapInArrow(_segment_rows(shared), "words long, segments array<double>, toxic int, distinct double")
+    # Segments stay in a written table; the driver gets a few numbers a text.
+    seen = written(seen, "calibration")
+    best = seen.select("words", "toxic", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("best")).collect()
+    clean = sorted((r.words, r.best) for r in best if r.toxic == 0)
+    gumbel = fit_gumbel(np.array([b for _, b in clean]), np.array([w for w, _ in clean]))
+    if len({r.toxic for r in best}) < 2:
         return ToxicityModel(scores, gumbel, (-5.0, 1.0, 0.0, 0.0, 0.0))
-    x = np.stack([_features(gumbel, r.segments, r.words, r.distinct) for r in seen])
-    curve = fit_curve(x, np.array([float(r.toxic) for r in seen]))
+    weighed = sorted(seen.mapInArrow(_feature_rows(gumbel), "x array<double>, toxic int").collect())
+    curve = fit_curve(np.array([r.x for r in weighed]), np.array([float(r.toxic) for r in weighed]))
     return ToxicityModel(scores, gumbel, tuple(float(c) for c in curve))
 
 

@@ -187,6 +187,21 @@ def test_toxicity_on_held_out_rows(spark, documents_of, odd_rows):
     assert all(r.predicted == 0 for r in toxicity.score_documents(documents_of(odd_rows), nothing).collect())
 
 
+def test_toxicity_is_fitted_on_all_segments(spark, documents_of, monkeypatch):
+    clean, bad = "plain words of a calm text ", "vile scum "
+    rows = [(k, clean * 3 + (bad if k % 2 else "")) for k in range(300)] + [(500 + k, (bad + clean * 9) * 300) for k in range(60)]
+    labels = spark.createDataFrame([(d, d % 2 if d < 500 else 1) for d, _ in rows], "doc_id long, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit_curve", lambda x, y, fit=toxicity.fit_curve: fitted.append((x, y)) or fit(x, y))
+    model = toxicity.fit(documents_of(rows), labels)
+    known = toxicity.WordScores(model.scores)
+    words = toxicity.WORD.findall(rows[-1][1])
+    segments = [s for _, _, s in toxicity.maximal_segments(np.array([known[w] for w in words]))]
+    assert len(segments) > 200
+    expected = toxicity._features(model.gumbel, segments, len(words), toxicity._distinct(known, words))
+    assert np.isclose(fitted[0][0], expected).all(axis=1).any()
+
+
 # Language
 
 
