@@ -1,6 +1,6 @@
 """Imports every operator's module, so that its query is registered."""
 
 from flowspark.llm import (  # noqa: F401
-    bpe, decontaminate, langid, line_dedup, near_dedup, pii, suffix_dedup, topk, toxicity, warc,
+    bpe, decontaminate, langid, line_dedup, near_dedup, pii, simhash, suffix_dedup, topk, toxicity, warc,
 )
 from flowspark.llm.base import ORACLES, QUERIES  # noqa: F401
