@@ -2,5 +2,6 @@
 
 from flowspark.llm import (  # noqa: F401
     bpe, decontaminate, langid, line_dedup, near_dedup, pii, simhash, suffix_dedup, topk, toxicity, warc,
+    whitening,
 )
 from flowspark.llm.base import ORACLES, QUERIES  # noqa: F401
