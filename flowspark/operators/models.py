@@ -1,29 +1,25 @@
-"""Classifiers on pyspark.ml, scoring, importances and hyperparameter search."""
+"""Classifiers, scoring, importances and hyperparameter search."""
 
 from __future__ import annotations
 
 import json
-import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import decide, quoted
 from flowspark.functions.hashing import row_hash
+from flowspark.operators import kernels, trees
 from flowspark.operators.labels import check_labels, check_trainable
 from flowspark.operators.metrics import ranking_scores
-from flowspark.operators.scale import apply_scaler, fit_scaler
-from flowspark.operators.split import class_weights, stratified_folds, weight_column
+from flowspark.operators.split import stratified_folds
 from flowspark.session import local_table, materialize
 
-DEEPEST_TREE = 30  # what the tree estimators can build; stands for an unlimited depth in the search
+DEEPEST_TREE = 30  # stands for an unlimited depth in the search
 
 # Accepted hyperparameters and their defaults per algorithm.
 DEFAULTS = {
@@ -35,7 +31,7 @@ DEFAULTS = {
         "n_estimators": 100, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8,
         "min_child_weight": 1.0, "reg_lambda": 1.0, "scale_pos_weight": 1.0, "random_state": 42,
     },
-    "svm": {"C": 1.0, "kernel": "linear", "max_iter": 20, "tol": 1e-4, "random_state": 42},
+    "svm": {"C": 1.0, "kernel": "rbf", "gamma": "scale", "components": 512, "max_iter": 100, "tol": 1e-4, "random_state": 42},
 }
 
 # The randomized search space.
@@ -54,9 +50,6 @@ SEARCH_SPACE = {
 }
 
 DONOR_BUCKET_ROWS = 20_000
-WEIGHT = "_weight"
-VECTOR = "_features"
-INPUT = "__model_input_"  # numbered copies of the features, apart from any column of the data
 
 
 def resolve_parameters(kind: str, given: Mapping | None = None) -> dict:
@@ -69,111 +62,57 @@ def resolve_parameters(kind: str, given: Mapping | None = None) -> dict:
     return {**DEFAULTS[kind], **(given or {})}
 
 
-def _columns(estimator):
-    estimator = estimator.setFeaturesCol(VECTOR).setLabelCol("label").setPredictionCol("_predicted")
-    return estimator.setRawPredictionCol("_raw")
-
-
-def build_stages(kind: str, parameters: Mapping | None = None, rows: int | None = None) -> list:
-    """The estimator stages of a model type.
-
-    Trees use histogram splits.  Parameters without a counterpart are accepted for
-    compatibility and reported once: the tree ensembles have no L2 term, and column
-    sampling is drawn per node.
-    """
-    p = resolve_parameters(kind, parameters)
+def check_parameters(kind: str, given: Mapping | None = None) -> dict:
+    """All parameters of a model type, refused where no fit could use them."""
+    p = resolve_parameters(kind, given)
     if "max_depth" in p and not (isinstance(p["max_depth"], int) and 0 <= p["max_depth"] <= DEEPEST_TREE):
         raise ValueError(f"max_depth must be a number from 0 to {DEEPEST_TREE}, not {p['max_depth']}.")
-    if kind == "random_forest":
-        forest = RandomForestClassifier(
-            numTrees=p["n_estimators"],
-            maxDepth=p["max_depth"],
-            # A node of fewer rows than min_samples_split cannot produce two such children.
-            minInstancesPerNode=max(p["min_samples_leaf"], -(-p["min_samples_split"] // 2)),
-            featureSubsetStrategy=str(p["max_features"]),
-            seed=p["random_state"],
-            weightCol=WEIGHT,
-            probabilityCol="_probability",
-        )
-        return [_columns(forest)]
-    if kind == "gbt":
-        if p["reg_lambda"] != DEFAULTS["gbt"]["reg_lambda"]:
-            warnings.warn("reg_lambda has no counterpart in this estimator and is not applied.", stacklevel=2)
-        boosted = GBTClassifier(
-            maxIter=p["n_estimators"],
-            maxDepth=p["max_depth"],
-            stepSize=p["learning_rate"],
-            subsamplingRate=p["subsample"],
-            featureSubsetStrategy=str(p["colsample_bytree"]) if p["colsample_bytree"] < 1 else "all",
-            minInstancesPerNode=max(1, int(round(p["min_child_weight"]))),
-            seed=p["random_state"],
-            weightCol=WEIGHT,
-            checkpointInterval=10,
-        )
-        return [_columns(boosted).setProbabilityCol("_probability")]
-    if p["kernel"] != "linear":
-        raise ValueError("Only the linear kernel is available; other kernels need all rows in one place.")
-    margin = _columns(
-        LinearSVC(
-            weightCol=WEIGHT, standardization=True, regParam=1.0 / (p["C"] * (rows or 1)),
-            maxIter=p["max_iter"], tol=p["tol"],
-        )
-    )
-    calibrated = LogisticRegression(
-        featuresCol="_raw", labelCol="label", probabilityCol="_probability",
-        rawPredictionCol="_logit", predictionCol="_calibrated", regParam=1e-6,
-    )
-    return [margin, calibrated]
-
-
-def row_weights(df: DataFrame, kind: str, parameters: Mapping) -> DataFrame:
-    """Weight column for training only; evaluation always counts rows."""
-    if kind == "random_forest" and parameters["class_weight"] is not None:
-        return df.withColumn(WEIGHT, weight_column("label", class_weights(df, "label")))
-    if kind == "gbt":
-        return df.withColumn(WEIGHT, weight_column("label", {1: parameters["scale_pos_weight"]}))
-    return df.withColumn(WEIGHT, F.lit(1.0))
+    if p.get("n_estimators", 1) < 1:
+        raise ValueError("n_estimators must be positive.")
+    if kind == "svm" and p["kernel"] not in kernels.KERNELS:
+        raise ValueError(f"kernel must be one of {kernels.KERNELS}.")
+    return p
 
 
 @dataclass
 class TrainedModel:
-    """Fitted pipeline with the ordered features it expects."""
+    """A fitted classifier with the ordered features it expects."""
 
     kind: str
     features: tuple[str, ...]
-    pipeline: PipelineModel
+    fitted: trees.Ensemble | kernels.Machine
 
     @property
-    def classifier(self):
-        return self.pipeline.stages[1]
+    def has_importances(self) -> bool:
+        return isinstance(self.fitted, trees.Ensemble)
+
+
+def _fit_trees(kind: str, blocks: DataFrame, edges: list, fits: Mapping) -> dict[int, trees.Ensemble]:
+    return (trees.fit_forest if kind == "random_forest" else trees.fit_boosted)(blocks, edges, fits)
 
 
 def train(df: DataFrame, features: Sequence[str], kind: str = "random_forest", parameters: Mapping | None = None) -> TrainedModel:
     """Fit a classifier on the 0/1 column ``label``; one-class data is refused."""
-    p = resolve_parameters(kind, parameters)
-    counts = check_trainable(df, "label")
-    data = df.select(*[quoted(f).cast("double").alias(f"{INPUT}{i}") for i, f in enumerate(features)], "label")
-    weighted = row_weights(data, kind, p)
-    assembler = VectorAssembler(
-        inputCols=[f"{INPUT}{i}" for i in range(len(features))], outputCol=VECTOR, handleInvalid="keep"
-    )
-    stages = [assembler, *build_stages(kind, p, sum(counts.values()))]
-    return TrainedModel(kind, tuple(features), Pipeline(stages=stages).fit(weighted))
+    p = check_parameters(kind, parameters)
+    check_trainable(df, "label")
+    if kind == "svm":
+        return TrainedModel(kind, tuple(features), kernels.fit_machine(df, features, "label", p))
+    edges = trees.fit_bins(df, features)
+    return TrainedModel(kind, tuple(features), _fit_trees(kind, trees.binned(df, features, "label", edges), edges, {0: (p, 0)})[0])
 
 
 def attack_probability(df: DataFrame, model: TrainedModel, name: str = "probability") -> DataFrame:
     """Add the probability of class 1; every input column stays as it was."""
-    if getattr(model.classifier, "numClasses", 2) != 2:
-        raise ValueError("Threshold-based scoring requires a binary classifier with classes 0 and 1.")
     missing = [f for f in model.features if f not in df.columns]
     if missing:
-        raise ValueError(f"Inference schema is missing required training columns: {missing}")
-    kept = df.columns
-    numbered = df.withColumns({f"{INPUT}{i}": quoted(f).cast("double") for i, f in enumerate(model.features)})
-    scored = model.pipeline.transform(numbered)
-    return scored.select(
-        *[quoted(c) for c in kept if c != name], vector_to_array("_probability")[1].alias(name)
-    )
+        raise ValueError(f"Columns the model was trained on are missing: missing required {missing}")
+    columns = [quoted(f).cast("double") for f in model.features]
+    spark = df.sparkSession
+    if model.has_importances:
+        score = trees.probability(spark, model.fitted, model.kind == "gbt", columns)
+    else:
+        score = kernels.probability(spark, model.fitted, columns)
+    return df.select(*[quoted(c) for c in df.columns if c != name], score.alias(name))
 
 
 def predict(df: DataFrame, model: TrainedModel, threshold: float = 0.5) -> DataFrame:
@@ -188,10 +127,10 @@ def accuracy(df: DataFrame, model: TrainedModel, label: str = "label") -> float:
 
 def feature_importance(df_or_session, model: TrainedModel) -> DataFrame:
     """(feature, importance) of a tree model, normalised over its trees."""
-    if not hasattr(model.classifier, "featureImportances"):
-        raise ValueError("This model type has no impurity importance.")
+    if not model.has_importances:
+        raise ValueError("Only tree models have importances of their own.")
     spark = getattr(df_or_session, "sparkSession", df_or_session)
-    values = model.classifier.featureImportances.toArray()
+    values = trees.importances(model.fitted, len(model.features), model.kind == "gbt")
     return local_table(spark, [(f, float(v)) for f, v in zip(model.features, values)], "feature string, importance double")
 
 
@@ -286,38 +225,50 @@ def randomized_search(
 ) -> tuple[dict, DataFrame]:
     """Rank sampled candidates by average precision over stratified folds.
 
-    Folds and fold-local min-max scaling are prepared once and cached; every fit is
-    a distributed job, so candidates run one after the other on all executors.
+    Rows get their fold once and are stored as blocks of codes; all fits of all candidates then run beside one another
+    in one job, and one more job scores every row by the models that left its fold out.  Scaling would not change a
+    tree, which only compares values of one feature, so none is fitted.
     """
     if iterations < 1 or folds < 2:
-        raise ValueError("iterations must be positive and folds must be at least 2.")
+        raise ValueError("A search needs a candidate and two folds at least.")
     from flowspark.operators.clean import clear_non_finite
 
     check_labels(df, label, allow_missing=True)
+    candidates = [check_parameters(kind, c) for c in sample_parameters(kind, dict(base or {}), iterations, seed, space)]
+    given = sample_parameters(kind, dict(base or {}), iterations, seed, space)
     clean = clear_non_finite(
         df.select(quoted(row_id).alias("_id"), *[quoted(f) for f in features], quoted(label).alias("label")), features
     ).na.drop("any")
-    folded = stratified_folds(clean, "label", "_id", folds, seed).persist()
-    parts = []
-    for fold in range(1, folds + 1):
-        inside = folded.where(F.col("fold") != fold)
-        scaler = fit_scaler(inside, features, "minmax")
-        parts.append((apply_scaler(inside, scaler).persist(), apply_scaler(folded.where(F.col("fold") == fold), scaler)))
-    results = []
-    try:
-        for number, parameters in enumerate(sample_parameters(kind, dict(base or {}), iterations, seed, space), start=1):
-            scores = []
-            for inside, outside in parts:
-                model = train(inside, features, kind, parameters)
-                scored = attack_probability(outside, model)
-                scores.append(ranking_scores(scored, "label", "probability").first()["pr_auc"])
-            results.append(
-                (number, float(np.mean(scores)), float(np.std(scores)), json.dumps(parameters, sort_keys=True))
-            )
-    finally:
-        for inside, _ in parts:
-            inside.unpersist()
-        folded.unpersist()
+    folded = materialize(stratified_folds(clean, "label", "_id", folds, seed), "search-folds")
+    check_trainable(folded, "label")
+    edges = trees.fit_bins(folded, features)
+    blocks = trees.binned(folded, features, "label", edges, F.col("fold"))
+    fits = {c * folds + f: (p, f + 1) for c, p in enumerate(candidates) for f in range(folds)}
+    models = _fit_trees(kind, blocks, edges, fits)
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+
+    def left_out(batches):
+        for b in batches:
+            x = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(features))], axis=1)
+            fold = b.column(len(features)).to_numpy(zero_copy_only=False)
+            for c in range(len(candidates)):
+                score = np.zeros(len(x))
+                for f in range(folds):
+                    own = fold == f + 1
+                    model = shared.value[c * folds + f]
+                    total = model.total(x[own])
+                    score[own] = 1 / (1 + np.exp(-model.base - total)) if kind == "gbt" else total / len(model.roots)
+                number = pa.array(np.full(len(x), c + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([number, b.column(len(features)), b.column(len(features) + 1), pa.array(score)], ["candidate", "fold", "label", "score"])
+
+    rows = folded.select(*[quoted(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.col("fold").cast("int"), F.col("label").cast("int"))
+    scored = materialize(rows.mapInArrow(left_out, "candidate int, fold int, label int, score double"), "search-scores")
+    shared.destroy()
+    found: dict[int, list[float]] = {}
+    for r in ranking_scores(scored, "label", "score", ["candidate", "fold"]).select("candidate", "fold", "pr_auc").collect():
+        found.setdefault(r.candidate, []).append(r.pr_auc)
+    results = [(c, float(np.mean(v)), float(np.std(v)), json.dumps(given[c - 1], sort_keys=True)) for c, v in found.items()]
     results.sort(key=lambda r: (-r[1], r[0]))
     schema = "candidate int, mean_average_precision double, std_average_precision double, parameters string"
-    return json.loads(results[0][3]), local_table(df.sparkSession, results, schema)
+    return json.loads(results[0][3]), local_table(spark, results, schema)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,9 @@ from flowspark.session import localise, materialize
 from flowspark.sources.files import StagedOutput, refuse_existing, save_data, union_files, write_text
 
 
+CONCURRENT_FOLDS = 5
+
+
 @dataclass(frozen=True)
 class Settings:
     """Choices of a run; nothing here is learned."""
@@ -188,10 +193,11 @@ def cross_validate(
     validation part and the frozen default.
     """
     check_labels(df, label)
-    folded = stratified_folds(df, label, row_id, folds, settings.seed)
-    scores, importances = [], []
+    folded = materialize(stratified_folds(df, label, row_id, folds, settings.seed), "folds")
     frozen = settings.frozen_threshold or settings.default_threshold
-    for fold in range(1, folds + 1):
+
+    @inheritable_thread_target(df.sparkSession)
+    def one_fold(fold: int) -> tuple[DataFrame, DataFrame | None]:
         inner = inner_split(folded, label, row_id, fold, settings.train, settings.val, settings.seed, "_split")
         fitted = fit_parts(
             inner.where("_split = 'train'"), inner.where("_split = 'val'"), features, label, row_id, settings,
@@ -200,9 +206,13 @@ def cross_validate(
         outer = fitted.prepare(folded.where(F.col("fold") == fold)).select(
             row_id, "label", "probability", F.lit(fold).alias("fold"), F.lit(fitted.artifact.threshold).alias("threshold")
         )
-        scores.append(materialize(outer, "outer_scores"))
-        if hasattr(fitted.artifact.model.classifier, "featureImportances"):
-            importances.append(feature_importance(df, fitted.artifact.model).withColumn("fold", F.lit(fold)))
+        own = feature_importance(df, fitted.artifact.model).withColumn("fold", F.lit(fold)) if fitted.artifact.model.has_importances else None
+        return materialize(outer, "outer_scores"), own
+
+    # A fold's jobs are many and short, so folds run beside one another on the same executors.
+    with ThreadPoolExecutor(min(folds, CONCURRENT_FOLDS)) as pool:
+        done = list(pool.map(one_fold, range(1, folds + 1)))
+    scores, importances = [s for s, _ in done], [i for _, i in done if i is not None]
 
     def stack(tables):
         combined = tables[0]

@@ -36,10 +36,10 @@ def test_unknown_parameters(data):
         models.train(data, NAMES, "random_forest", {"scale_pos_weight": 1.1})
     with pytest.raises(ValueError, match="Unknown model type"):
         models.train(data, NAMES, "other")
-    with pytest.raises(ValueError, match="linear kernel"):
-        models.train(data, NAMES, "svm", {"kernel": "rbf"})
-    with pytest.warns(UserWarning, match="reg_lambda"):
-        models.build_stages("gbt", {"reg_lambda": 2.0})
+    with pytest.raises(ValueError, match="kernel"):
+        models.train(data, NAMES, "svm", {"kernel": "poly"})
+    with pytest.raises(ValueError, match="max_depth"):
+        models.train(data, NAMES, "gbt", {"max_depth": 31})
 
 
 def test_training_contract(spark):
@@ -49,11 +49,13 @@ def test_training_contract(spark):
         models.train(spark.createDataFrame([(0.0, 1), (1.0, 2)], "a double, label int"), ["a"])
 
 
-def test_weights_do_not_reach_evaluation(data):
-    plain = models.resolve_parameters("gbt", {"scale_pos_weight": 5.0})
-    weighted = models.row_weights(data, "gbt", plain)
-    assert {(r.label, r["_weight"]) for r in weighted.select("label", "_weight").distinct().collect()} == {(0, 1.0), (1, 5.0)}
-    assert models.WEIGHT not in models.predict(data, models.train(data, NAMES, "gbt", SMALL["gbt"])).columns
+def test_positive_weight_raises_probabilities(data):
+    noisy = data.withColumn("label", F.when(F.col("id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    means = [
+        models.predict(noisy, models.train(noisy, ["noise"], "gbt", {**SMALL["gbt"], "scale_pos_weight": w})).agg(F.avg("probability")).first()[0]
+        for w in (1.0, 5.0)
+    ]
+    assert means[1] > means[0] + 0.2
 
 
 def test_importances(data):
