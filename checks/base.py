@@ -54,7 +54,7 @@ DIRTY_SQL = (
 )
 # Numbers of the dirty view after lenient coercion.
 NUMERIC_SQL = (
-    DIRTY_SQL + ", num AS (SELECT row_id, copy, quantity, CASE WHEN isfinite(TRY_CAST(trim(price_text) AS DOUBLE)) "
+    DIRTY_SQL + ", num AS MATERIALIZED (SELECT row_id, copy, quantity, CASE WHEN isfinite(TRY_CAST(trim(price_text) AS DOUBLE)) "
     "THEN TRY_CAST(trim(price_text) AS DOUBLE) END AS price, discount, label FROM dirty)"
 )
 NET_SQL = f"net AS (SELECT {', '.join(NET)} FROM lineitem)"

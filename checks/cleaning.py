@@ -76,9 +76,8 @@ def drop_missing(spark, folder):
     return clean.handle_missing(numeric(spark, folder), NUMS, "drop")
 
 
-@query("impute_mean", f"""WITH {NUMERIC_SQL} SELECT row_id, copy, quantity, label,
-    round(coalesce(price, (SELECT avg(price) FROM num)), 6) AS price,
-    round(coalesce(discount, (SELECT avg(discount) FROM num)), 6) AS discount FROM num""")
+@query("impute_mean", f"""WITH {NUMERIC_SQL}, m AS (SELECT avg(price) AS mp, avg(discount) AS md FROM num)
+    SELECT row_id, copy, quantity, label, round(coalesce(price, mp), 6) AS price, round(coalesce(discount, md), 6) AS discount FROM num, m""")
 def impute_mean(spark, folder):
     return rounded(clean.handle_missing(numeric(spark, folder), NUMS, "mean"))
 

@@ -1,7 +1,9 @@
 """Training, scoring, importance, search and cross-validation on the whole flow view."""
 
+from pyspark.sql import functions as F
 
-from checks.base import FEATURES, flow, query
+from checks.base import FEATURES, FLOW_SQL, flow, query, rounded
+from checks.splits import ranked, shares
 from flowspark.operators import models
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.plans.training import Settings, cross_validate, train_pipeline
@@ -70,3 +72,80 @@ def smote(spark, folder):
     rows = flow(spark, folder).select("row_id", "label", *FEATURES)
     scaled = apply_scaler(rows, fit_scaler(rows, FEATURES))
     return balanced(scaled, FEATURES, "label", "row_id")
+
+
+# A planted rule: what a model must find is known, so that SQL can state its answers.
+PLANTED = "CAST(CASE WHEN l_quantity > 25 AND l_discount > 45e-3 THEN 1 ELSE 0 END AS INT)"
+PLANTED_SQL = f"{FLOW_SQL}, planted AS (SELECT * EXCLUDE (label), {PLANTED} AS label FROM flow)"
+RULE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def planted(spark, folder):
+    return flow(spark, folder).withColumn("label", F.expr(PLANTED))
+
+
+def _ruled(spark, folder, kind, rows=None, features=FEATURES):
+    rows = planted(spark, folder) if rows is None else rows
+    model = models.train(rows, features, kind)
+    return models.predict(rows, model).select("row_id", "label", "prediction")
+
+
+@query("rf_rule", f"WITH {PLANTED_SQL} SELECT row_id, label, label AS prediction FROM planted")
+def rf_rule(spark, folder):
+    return _ruled(spark, folder, "random_forest")
+
+
+@query("gbt_rule", f"WITH {PLANTED_SQL} SELECT row_id, label, label AS prediction FROM planted")
+def gbt_rule(spark, folder):
+    return _ruled(spark, folder, "gbt")
+
+
+RING = "power((l_quantity - 25) / 25, 2) + power((l_discount - 5e-2) / 5e-2, 2)"
+
+
+@query("svc_rule", f"""WITH {FLOW_SQL}, ring AS (SELECT row_id, {RING} AS r FROM flow)
+    SELECT row_id, CAST(CASE WHEN r < 4e-1 THEN 1 ELSE 0 END AS INT) AS label, CAST(CASE WHEN r < 4e-1 THEN 1 ELSE 0 END AS INT) AS prediction
+    FROM ring WHERE r < 4e-1 OR r > 8e-1""")
+def svc_rule(spark, folder):
+    """Class 1 lies inside a ring of class 0, with an empty band between them."""
+    rows = flow(spark, folder).withColumn("r", F.expr(RING)).where("r < 4e-1 OR r > 8e-1")
+    rows = rows.withColumn("label", F.expr("CAST(CASE WHEN r < 4e-1 THEN 1 ELSE 0 END AS INT)"))
+    return _ruled(spark, folder, "svm", rows, ["l_quantity", "l_discount"])
+
+
+@query("importance_rule", f"""WITH {PLANTED_SQL} SELECT f AS feature, true AS impurity, true AS permutation
+    FROM (SELECT unnest(['l_quantity', 'l_discount']) AS f) WHERE (SELECT count(*) FROM planted) > 0""")
+def importance_rule(spark, folder):
+    """The features of the rule stand out in both kinds of importance."""
+    rows = planted(spark, folder)
+    model = models.train(rows, RULE, "random_forest")
+    impurity = models.feature_importance(rows, model)
+    permuted = models.permutation_importance(rows, model, "label", "row_id", repeats=5)
+    both = impurity.join(permuted, "feature").select("feature", (F.col("importance") > 0.2).alias("impurity"), (F.col("importance_mean") > 0.1).alias("permutation"))
+    return both.where("impurity OR permutation")
+
+
+@query("train_rule", f"""WITH {PLANTED_SQL}, {ranked('planted', 42)}, c AS (SELECT label, count(*) AS n FROM planted GROUP BY label),
+    t AS (SELECT CAST(sum(n) - ceil(15e-2 * sum(n)) AS BIGINT) AS rest FROM c), {shares('c', '(SELECT rest FROM t)', 'a')},
+    m AS (SELECT sum(CASE WHEN label = 0 THEN n - s ELSE 0 END) AS tn, sum(CASE WHEN label = 1 THEN n - s ELSE 0 END) AS tp FROM a)
+    SELECT CAST(tn AS BIGINT) AS tn, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp,
+      1e0 AS accuracy, 1e0 AS recall, 0e0 AS fpr, 1e0 AS roc_auc, 1e0 AS pr_auc FROM m""")
+def train_rule(spark, folder):
+    _, reports = train_pipeline(planted(spark, folder), FEATURES, "label", "row_id", SETTINGS)
+    return rounded(reports["metrics"].select("tn", "fp", "fn", "tp", "accuracy", "recall", "fpr", "roc_auc", "pr_auc"))
+
+
+@query("cv_rule", f"""WITH {PLANTED_SQL},
+    fd AS (SELECT label, CAST(ntile(5) OVER (PARTITION BY label ORDER BY md5('42|' || row_id)) AS INT) AS fold FROM planted)
+    SELECT fold, count(*) FILTER (label = 0) AS tn, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, count(*) FILTER (label = 1) AS tp,
+      1e0 AS recall, 0e0 AS fpr, 1e0 AS roc_auc, 1e0 AS pr_auc FROM fd GROUP BY fold""")
+def cv_rule(spark, folder):
+    report = cross_validate(planted(spark, folder), FEATURES, "label", "row_id", SETTINGS, folds=5)["fold_metrics"]
+    return rounded(report.select("fold", "tn", "fp", "fn", "tp", "recall", "fpr", "roc_auc", "pr_auc"))
+
+
+@query("search_rule", f"""WITH {PLANTED_SQL} SELECT CAST(k AS INT) AS candidate, 1e0 AS mean_average_precision, 0e0 AS std_average_precision
+    FROM (SELECT unnest(range(1, 11)) AS k) WHERE (SELECT count(*) FROM planted) > 0""")
+def search_rule(spark, folder):
+    _, report = models.randomized_search(planted(spark, folder), RULE, "label", "row_id", "gbt")
+    return rounded(report.drop("parameters"))
