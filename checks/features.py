@@ -4,8 +4,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from checks.base import FEATURES, FLOW_SQL, NET_SQL, flow, net, query, rounded, table
+from checks.base import FEATURES, FLOW_SQL, NET_SQL, NUMERIC_SQL, flow, net, numeric, query, rounded, table
 from flowspark.operators import features, selection
+from flowspark.operators.neighbours import digamma, neighbour_mutual_information
 from flowspark.session import local_table
 
 WINDOW = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
@@ -134,6 +135,40 @@ def binned_mi(spark, folder):
     return rounded(selection.binned_mutual_information(flow(spark, folder), FEATURES, "label"), 9)
 
 
+MI_CELLS = f"""v AS (UNPIVOT (SELECT label, {', '.join(FEATURES)} FROM flow) ON {', '.join(FEATURES)} INTO NAME feature VALUE x),
+    ce AS (SELECT feature, label AS y, x, count(*) AS c FROM v GROUP BY ALL),
+    ny AS (SELECT *, sum(c) OVER (PARTITION BY feature, y) AS ny,
+      list({{'x': x, 'c': c}}) OVER (PARTITION BY feature, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM ce),
+    re AS (SELECT *, CASE WHEN c - 1 >= 3 THEN 0 ELSE list_sort(flatten(list_transform(list_filter(near, lambda s: s.x <> x),
+      lambda s: list_transform(range(least(s.c, 3)), lambda i: abs(s.x - x)))))[3 - (c - 1)] END AS r FROM ny),
+    pt AS (SELECT feature, x, sum(c) AS n FROM ce GROUP BY feature, x),
+    cu AS (SELECT feature, x, n, sum(n) OVER (PARTITION BY feature ORDER BY x) AS upto FROM pt),
+    hi AS (SELECT re.*, re.x - r AS low, h.upto AS high FROM re ASOF LEFT JOIN cu AS h ON re.feature = h.feature AND re.x + r > h.x),
+    bo AS (SELECT hi.feature, hi.x, hi.y, hi.c, hi.ny, hi.r, coalesce(hi.high, 0) - coalesce(l.upto, 0) AS between
+      FROM hi ASOF LEFT JOIN cu AS l ON hi.feature = l.feature AND hi.low >= l.x),
+    mm AS (SELECT bo.*, CASE WHEN r = 0 THEN pt.n ELSE between END AS m, CASE WHEN r = 0 THEN c - 1 ELSE 3 END AS k
+      FROM bo JOIN pt ON bo.feature = pt.feature AND bo.x = pt.x)"""
+
+
+@query("neighbour_mi", f"""WITH {FLOW_SQL}, {MI_CELLS},
+    places AS (SELECT unnest({FEATURES!r}) AS f, unnest(range({len(FEATURES)})) AS position),
+    sc AS (SELECT feature, sum(c) AS n, sum(c * ({digamma('k')} - {digamma('ny')} - {digamma('m')})) AS s FROM mm GROUP BY feature)
+    SELECT feature, CAST(position AS INT) AS position, round(greatest(0, {digamma('n')} + s / n), 9) AS score FROM sc JOIN places ON f = feature""")
+def neighbour_mi(spark, folder):
+    return rounded(neighbour_mutual_information(flow(spark, folder), FEATURES, "label"), 9)
+
+
+GAPPED = ["price", "discount", "quantity", "label"]
+
+
+@query("corr_gaps", f"WITH {NUMERIC_SQL} " + " UNION ALL ".join(
+    f"SELECT '{b}' AS later, '{a}' AS earlier, round(corr({a}, {b}), 9) AS correlation FROM num" for a, b in combinations(GAPPED, 2)))
+def corr_gaps(spark, folder):
+    """Every pair over the rows that hold both of its values."""
+    found = selection.correlations(numeric(spark, folder), GAPPED)
+    return local_table(spark, [(b, a, round(r, 9)) for (a, b), r in found.items()], "later string, earlier string, correlation double")
+
+
 @query("importance_stability", f"""WITH {FLOW_SQL}, w AS (SELECT l_linenumber AS fold, avg(l_quantity) AS l_quantity,
     avg(l_tax) AS l_tax, avg(l_discount) AS l_discount FROM flow GROUP BY l_linenumber),
     i AS (UNPIVOT w ON l_quantity, l_tax, l_discount INTO NAME feature VALUE importance)

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +15,10 @@ from flowspark.functions.expr import edges_passed, quoted
 from flowspark.functions.quantiles import column_quantiles
 from flowspark.operators.clean import wide_aggregate
 from flowspark.operators.features import interactions
+from flowspark.operators.neighbours import SCORE_SCHEMA, neighbour_mutual_information
 from flowspark.session import local_table
 
-PAIRWISE_COLUMNS = 12
-SCORE_METHODS = ("f_classif", "mutual_info")
-SCORE_SCHEMA = "feature string, position int, score double"
+SCORE_METHODS = ("f_classif", "mutual_info", "binned_mutual_info")
 PAIR_SCHEMA = "later string, earlier string, correlation double"
 
 
@@ -60,8 +59,7 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 def binned_mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) between each feature, cut at its quantiles, and the label.
 
-    A plug-in estimate from bin counts; it replaces the nearest-neighbour estimator,
-    which needs all rows in one place, and gives different values.
+    A plug-in estimate from bin counts, cheaper than the nearest-neighbour estimate and with other values.
     """
     if bins < 2:
         raise ValueError("bins must be at least 2")
@@ -85,8 +83,9 @@ def binned_mutual_information(df: DataFrame, features: Sequence[str], label: str
 
 def feature_scores(df: DataFrame, features: Sequence[str], label: str, method: str = "f_classif") -> DataFrame:
     if method not in SCORE_METHODS:
-        raise ValueError("Unknown selection method. Valid options: f_classif, mutual_info")
-    return (anova_f if method == "f_classif" else binned_mutual_information)(df, features, label)
+        raise ValueError(f"A feature score must be one of {SCORE_METHODS}, not {method!r}.")
+    scores = {"f_classif": anova_f, "mutual_info": neighbour_mutual_information, "binned_mutual_info": binned_mutual_information}
+    return scores[method](df, features, label)
 
 
 def top_features(
@@ -116,29 +115,40 @@ def low_variance(df: DataFrame, features: Sequence[str], threshold: float = 0.01
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> dict[tuple[str, str], float]:
-    """Pearson correlation of every (earlier, later) pair; undefined ones are absent.
+    """Pearson correlation of every (earlier, later) pair over the rows that have both; undefined ones are absent.
 
-    Few columns: one aggregate over complete pairs.  Many columns: one Gram matrix
-    pass when no value is missing, else the pair aggregates in bounded batches.
+    One scan for any number of columns, with or without gaps: with m the mask of what is there and x the values less
+    their means, 0 where missing, the products m'm, x'm, x'x and (x x)'m hold the counts, sums, cross sums and
+    squares of all pairs.  A task adds them up and hands out one row a pair.
     """
-    pairs = list(combinations(features, 2))
-
-    def pairwise():
-        return wide_aggregate(df, {(a, b): F.corr(quoted(a).cast("double"), quoted(b).cast("double")) for a, b in pairs})
-
-    if len(features) <= PAIRWISE_COLUMNS:
-        found = pairwise()
-    else:
-        gaps = wide_aggregate(df, {(f,): F.count(F.when(quoted(f).isNull(), 1)) for f in features})
-        if any(gaps.values()):
-            found = pairwise()
-        else:
-            numbered = df.select(*[quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-            vectors = VectorAssembler(inputCols=numbered.columns, outputCol="v").transform(numbered)
-            matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-            place = {f: i for i, f in enumerate(features)}
-            found = {(a, b): float(matrix[place[a], place[b]]) for a, b in pairs}
-    return {pair: r for pair, r in found.items() if r is not None and r == r}
+    centre = wide_aggregate(df, {(f, k): fold(quoted(f).cast("double")) for f in features for k, fold in (("mean", F.avg), ("low", F.min), ("high", F.max))})
+    # A constant column is moved to exactly 0.
+    shift = np.array([(centre[f, "low"] if centre[f, "low"] == centre[f, "high"] else centre[f, "mean"]) or 0.0 for f in features])
+    shift = np.where(np.isfinite(shift), shift, 0.0)
+    width = len(features)
+
+    def products(batches):
+        total = np.zeros((4, width, width))
+        for b in batches:
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns]).astype(float)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in b.columns]) - shift[:, None]
+            x = np.where(there > 0, x, 0.0)
+            total += np.stack([there @ there.T, x @ there.T, x @ x.T, (x * x) @ there.T])
+        i, j = np.indices((width, width)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i, j, *total.reshape(4, -1))], ["i", "j", "n", "s", "p", "q"])
+
+    columns = [quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
+    parts = df.select(*columns).mapInArrow(products, "i long, j long, n double, s double, p double, q double")
+    summed = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nspq"]).toArrow()
+    n, s, p, q = (np.zeros((width, width)) for _ in range(4))
+    place = summed.column("i").to_numpy(), summed.column("j").to_numpy()
+    for name, m in zip("nspq", (n, s, p, q)):
+        m[place] = summed.column(name).to_numpy()
+    spread = n * q - s * s  # of the row's feature over the rows that the pair shares
+    spread = np.where(spread > 1e-13 * n * q, spread, np.nan)
+    with np.errstate(invalid="ignore"):
+        r = (n * p - s * s.T) / np.sqrt(spread * spread.T)
+    return {(a, b): float(r[i, j]) for (i, a), (j, b) in combinations(enumerate(features), 2) if np.isfinite(r[i, j])}
 
 
 def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> DataFrame:

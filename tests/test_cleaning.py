@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.expr import edges_passed, finite, normalise_header, to_number
 from flowspark.functions.quantiles import column_quantiles, group_quantiles
 from flowspark.functions.sequence import with_sequence
-from flowspark.operators import clean, features, labels, scale, selection
+from flowspark.operators import clean, features, labels, neighbours, scale, selection
 
 
 def test_lenient_numbers(spark):
@@ -200,7 +201,7 @@ def test_scores_one_per_feature(spark):
     df = spark.createDataFrame(rows, "first double, second double, y int")
     for method in selection.SCORE_METHODS:
         assert {r.feature for r in selection.feature_scores(df, ["first", "second"], "y", method).collect()} == {"first", "second"}
-    with pytest.raises(ValueError, match="Unknown selection"):
+    with pytest.raises(ValueError, match="must be one of"):
         selection.feature_scores(df, ["first"], "y", "other")
     with pytest.raises(ValueError, match="positive integer"):
         selection.top_features(df, ["first"], "y", 0)
@@ -212,14 +213,54 @@ def test_correlated_removal_is_not_greedy(spark):
     assert selection.correlated_features(df, ["a", "b", "c", "d"]) == ["b", "c"]
 
 
-def test_gram_matrix_path_equals_pairwise(spark, monkeypatch):
-    rows = [(float(i), float((i * i) % 17), float((i * 7) % 5)) for i in range(60)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    pairwise = selection.correlations(df, ["a", "b", "c"])
-    monkeypatch.setattr(selection, "PAIRWISE_COLUMNS", 1)
-    gram = selection.correlations(df, ["a", "b", "c"])
-    assert gram.keys() == pairwise.keys()
-    assert all(gram[p] == pytest.approx(pairwise[p]) for p in gram)
+def test_correlations_with_gaps_in_one_scan(spark):
+    """80 columns, each with its own gaps, a constant one and one that is empty, against the built-in aggregate."""
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(80)] for _ in range(300)]
+    rows = [[None if rng.random() < 0.2 else 1e6 + v + 0.7 * r[0] for v in r] for r in base]
+    for r in rows:
+        r[78], r[79] = 0.1, None
+    names = [f"c{i}" for i in range(80)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    found = selection.correlations(df, names)
+    assert len(found) == 78 * 77 // 2
+    some = [(names[i], names[j]) for i, j in [(0, 1), (0, 77), (3, 4), (40, 60)]]
+    expected = df.agg(*[F.corr(a, b) for a, b in some]).first()
+    assert [found[p] for p in some] == pytest.approx(list(expected), rel=1e-9)
+
+
+def slow_information(values, k):
+    """The nearest-neighbour estimate by comparing all pairs; ``values``: (x, class)."""
+    psi = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    sizes = {y: sum(c == y for _, c in values) for _, y in values}
+    values = [(x, y) for x, y in values if sizes[y] > 1]
+    total = 0.0
+    for i, (x, y) in enumerate(values):
+        gaps = sorted(abs(x - v) for j, (v, c) in enumerate(values) if c == y and j != i)
+        own = min(k, sizes[y] - 1)
+        r = gaps[own - 1]
+        if r == 0:
+            own, m = gaps.count(0.0), sum(v == x for v, _ in values)
+        else:
+            m = sum(x - r < v < x + r for v, _ in values)
+        total += psi(own) - psi(sizes[y]) - psi(m)
+    return max(0.0, psi(len(values)) + total / len(values))
+
+
+def test_neighbour_information_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(220):
+        y = rng.choice([0, 0, 1])
+        rows.append((i, rng.gauss(2 * y, 1), float(rng.choice([0, 0, 1, 2]) + y), rng.random(), None if i % 9 == 0 else rng.choice([0.5, rng.random()]), y))
+    rows += [(900, 1.0, 1.0, 0.3, 0.2, 7), (901, float("nan"), None, None, None, 0), (902, 3.0, 1.0, 0.1, 0.1, 8), (903, 4.0, 1.0, 0.2, 0.1, 8)]
+    df = spark.createDataFrame(rows, "id int, normal double, lattice double, noise double, mixed double, y int")
+    for chunk in (200_000, 23):
+        got = {r.feature: r.score for r in neighbours.neighbour_mutual_information(df, ["normal", "lattice", "noise", "mixed"], "y", chunk_rows=chunk).collect()}
+        for at, name in enumerate(["normal", "lattice", "noise", "mixed"], start=1):
+            own = [(r[at], r[5]) for r in rows if r[at] is not None and r[at] == r[at]]
+            assert got[name] == pytest.approx(slow_information(own, 3), abs=1e-9), (chunk, name)
+    assert got["normal"] > got["noise"] + 0.1
 
 
 def test_network_features_only_when_present(spark):
