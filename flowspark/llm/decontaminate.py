@@ -2,7 +2,7 @@
 
 Texts become words; in the typed reading numbers, names and units turn into placeholders, in the plain reading words
 stand as they are, in lower case.  Where capitals do not tell names (at the start of a sentence, in texts without or
-full of them), a third reading types every word that is no ordinary lower-case word.  Windows of eight words are hash-joined with those of the benchmark.  Windows on
+full of them), a third reading types every word that the benchmark does not use as a lower-case word.  Windows of eight words are hash-joined with those of the benchmark.  Windows on
 one diagonal that follow one another form a passage, within a reading and over all; its placeholders must map
 one-to-one from the benchmark's values to the document's, which finds re-parameterised questions and lets chance
 agreement go.
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.base import GOLDEN, U64, batch, mix, prepare, query, slices, table, texts_of, written
+from flowspark.llm.base import GOLDEN, U64, batch, mix, numbers_of, prepare, query, slices, table, texts_of, written
 
 WINDOW = 8
 LITERALS = 4  # words of a window that must not be placeholders
@@ -27,9 +27,6 @@ PASSAGE = 13  # words that a passage must cover, or the whole item if it is shor
 HASHES_EACH = 4_000_000  # benchmark windows that one pass over the documents looks for (32 MB)
 CHUNK = 4_000_000
 REMEMBERED = 300_000
-#: Bounds of the list of ordinary words: documents by hash that it is learned from besides the benchmark, and words.
-SAMPLE_ROWS = 20_000
-ORDINARY = 300_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 WORD, NUMBER, STOP = range(3)
 PLAIN, TYPED, DOUBTFUL = range(3)
@@ -48,10 +45,10 @@ PLACEHOLDERS = {"number": 1, "name": 2, "unit": 3}
 class Vocabulary:
     """Code, kind, capital, unit mark and doubt of tokens, remembered up to a bound.
 
-    Doubtful is a word that is not ``ordinary`` (hashes of lower-case words): it may be a name.
+    Doubtful is a word that is not ``ordinary`` (sorted hashes of lower-case words): it may be a name.
     """
 
-    def __init__(self, ordinary: frozenset[int] = frozenset()):
+    def __init__(self, ordinary: np.ndarray = np.zeros(0, U64)):
         self.ordinary = ordinary
         self.known: dict[str, int] = {}
         self.marks = np.zeros(1024, [("code", U64), ("kind", np.int8), ("capital", np.bool_), ("unit", np.bool_), ("doubt", np.bool_)])
@@ -64,15 +61,24 @@ class Vocabulary:
         need = len(known) + len(new)
         if need > len(self.marks):
             self.marks = np.concatenate((self.marks, np.zeros(2 * need - len(self.marks), self.marks.dtype)))
+        start = len(known)
         for t in new:
             low = t.lower()
             kind = STOP if t in ".!?\n" else NUMBER if t[0].isdigit() else WORD
-            code = xxhash.xxh3_64_intdigest(low.encode())
-            self.marks[len(known)] = (code, kind, t[0].isupper(), low in UNITS, kind == WORD and code not in self.ordinary)
+            self.marks[len(known)] = (xxhash.xxh3_64_intdigest(low.encode()), kind, t[0].isupper(), low in UNITS, kind == WORD)
             known[t] = len(known)
+        if new:
+            fresh = self.marks[start:need]
+            fresh["doubt"] &= ~among(fresh["code"], self.ordinary)
         return self.marks[np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))]
 
 
+def among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which hashes occur in a sorted array."""
+    at = np.searchsorted(wanted, hashes)
+    return np.append(wanted, U64(0))[at] == np.where(at < len(wanted), hashes, U64(1))
+
+
 @dataclass
 class Words:
     """The words of several texts, one after another."""
@@ -185,19 +191,18 @@ def _cases(batches):
             inside = {b for a, b in zip(tokens, tokens[1:]) if a not in ".!?\n"}
             for w in {t for t in words if not t[0].isupper()} | {t for t in inside if t[0].isupper()}:
                 held.setdefault(w.lower(), [0, 0])[w[0].isupper()] += 1
-        yield batch(word=pa.array(list(held), pa.string()), lower=pa.array([v[0] for v in held.values()], pa.int64()), upper=pa.array([v[1] for v in held.values()], pa.int64()))
+        codes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in held], U64)
+        yield batch(code=codes.view(np.int64), lower=pa.array([v[0] for v in held.values()], pa.int64()), upper=pa.array([v[1] for v in held.values()], pa.int64()))
 
 
-def ordinary_words(docs: DataFrame, items: DataFrame) -> frozenset[int]:
-    """Hashes of words that texts write in lower case more often than with a capital inside a sentence.
+def ordinary_words(items: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that benchmark items write in lower case more often than with a capital inside a sentence.
 
-    They are counted over the benchmark and a bounded sample of documents; the most frequent ``ORDINARY`` count.
+    Only these can be literal in a window of the benchmark, so no word of a document needs to be counted.  They take
+    eight bytes a distinct word of the benchmark on the driver.
     """
-    share = max(1, docs.count() // SAMPLE_ROWS)
-    texts = items.select("text").unionByName(docs.where(F.pmod("uid", F.lit(share)) == 0).select("text"))
-    seen = texts.mapInArrow(_cases, "word string, lower long, upper long").groupBy("word").agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"))
-    rows = seen.where("lower > upper").orderBy(F.desc("lower"), "word").limit(ORDINARY).collect()
-    return frozenset(xxhash.xxh3_64_intdigest(r.word.encode()) for r in rows)
+    seen = items.select("text").mapInArrow(_cases, "code long, lower long, upper long").groupBy("code").agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"))
+    return np.sort(numbers_of(seen.where("lower > upper").select("code").toArrow().column(0)).view(U64))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -215,7 +220,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = prepare(documents, "doc_id", "text").select("doc_id", uid, "text")
     items = prepare(benchmark, "item_id", "text").where("item_id IS NOT NULL")
     context = docs.sparkSession.sparkContext
-    ordinary = context.broadcast(ordinary_words(docs, items))
+    ordinary = context.broadcast(ordinary_words(items))
+    sent = [ordinary]
     lengths = written(items.mapInArrow(_word_count, "item_id long, words long").where("words > 0"), "item-words")
     short = sorted(r.words for r in lengths.where(F.col("words") < WINDOW).select("words").distinct().collect())
     sizes = [*short, WINDOW]
@@ -228,12 +234,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     passes = max(1, -(-distinct.count() // HASHES_EACH))
     hits = None
     for k in range(passes):
-        rows = distinct.where(F.pmod("hash", F.lit(passes)) == k).toPandas()["hash"].to_numpy(np.int64)
-        found = docs.mapInArrow(_hits(context.broadcast(np.sort(rows.view(U64))), sizes, ordinary), HIT)
+        rows = numbers_of(distinct.where(F.pmod("hash", F.lit(passes)) == k).toArrow().column(0))
+        sent.append(context.broadcast(np.sort(rows.view(U64))))
+        found = docs.mapInArrow(_hits(sent[-1], sizes, ordinary), HIT)
         hits = found if hits is None else hits.unionByName(found)
     joined = hits.join(asked, ["reading", "hash", "size"]).withColumn("diagonal", F.col("place") - F.col("item_place"))
     own = ["doc_id", "uid", "item_id", "reading", "size", "diagonal"]
     joined = written(joined.dropDuplicates([*own, "item_place"]), "window-hits")
+    for shared in sent:  # no later step looks words up
+        shared.destroy()
     # A window without a placeholder agrees in the plain reading alone, so passages also form over all readings.
     joined = joined.withColumn("reading", F.explode(F.array("reading", F.lit(UNITED))))
     order = Window.partitionBy(*own).orderBy("item_place")

@@ -24,6 +24,22 @@ def test_stages(spark):
     assert docs.where("n_tokens != size(ids)").isEmpty()
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_bear_odd_rows(spark, documents_of, odd_rows, rows):
+    """Nulls, empty and long texts, repeats, clashing columns and an empty table pass through every stage."""
+    docs = documents_of(odd_rows if rows == "odd" else []).drop("kept")
+    docs = docs.selectExpr("doc_id", "text", "'en' AS lang", "uid AS source", "n AS n_chars", "key", "label", "id", "rank")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, FOLDER), f"odd-{name}")
+        if name != "bpe":
+            assert docs.columns == before.columns
+    if rows == "none":
+        assert docs.isEmpty()
+    else:
+        # 54 repeats the line of 53; the rows with one id stay together; nothing else is taken for a copy.
+        assert {r.doc_id for r in docs.collect()} >= {None, 50, 51, 52, 53, 55, 56, 57, 58}
+
+
 def test_near_duplicates_from_80_percent(spark):
     words = [f"w{k}" for k in range(104)]
     other = words[:52] + ["new"] * 2 + words[54:]  # 94 of 106 shingles are shared
