@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,14 @@ def forms(word: str) -> list[str]:
     return [word + " ", *(word[:n] for n in range(min(LONGEST, len(word)), SHORTEST - 1, -1))]
 
 
+def _code(form: str) -> int:
+    return xxhash.xxh3_64_intdigest(form.encode())
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    scores: dict[str, float]  # by form
+    codes: np.ndarray  # hashes of the forms
+    scores: np.ndarray  # of each form
     gumbel: tuple[float, float, float]  # location, scale, and what a unit of log length adds
     curve: tuple[float, ...]  # intercept and slopes of the logistic curve
 
@@ -51,14 +57,15 @@ class ToxicityModel:
 class WordScores(dict):
     """Score of each word as written, remembered."""
 
-    def __init__(self, scores: dict[str, float]):
+    def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.scores = scores
+        self.scores = dict(zip(model.codes.tolist(), model.scores.tolist()))
 
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = next((self.scores[f] for f in forms(word.lower()) if f in self.scores), 0.0) - DRIFT
+        found = (self.scores.get(_code(f)) for f in forms(word.lower()))
+        value = next((s for s in found if s is not None), 0.0) - DRIFT
         self[word] = value
         return value
 
@@ -230,39 +237,44 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from at most ``rows`` labelled documents, by hash order; three quarters give counts, the rest calibrates.
 
-    Rows with crc32(id) mod 3 = 1 are never learned from.  Labels are 0 or 1; others and nulls are left out.
+    Rows with crc32(id) mod 3 = 1 are never learned from.  Labels are 0 or 1; others and nulls are left out.  Of the
+    counted rows' forms those in three toxic texts or twenty texts at least have a score, at most the ``MAX_FORMS`` most frequent.
     """
     spark = documents.sparkSession
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     own = own.where("pmod(crc32(cast(doc_id AS string)), 3) != 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = own.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(rows).collect()
     if not drawn:
-        return ToxicityModel({}, (0.0, 1.0, 0.0), (-5.0, 0.0, 0.0, 0.0, 0.0))
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), (0.0, 1.0, 0.0), (-5.0, 0.0, 0.0, 0.0, 0.0))
     part = spark.createDataFrame([(r.doc_id, r.toxic, int(k % 4 == 3)) for k, r in enumerate(drawn)], "doc_id long, toxic int, calibrates int")
     # At most `rows` rows of three numbers.
     learned = documents.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("text", "toxic", "calibrates")
     counting = learned.where("calibrates = 0").select("text", "toxic")
     counted = counting.mapInArrow(_count_forms, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = counted.where("toxic >= 3 OR clean + toxic >= 20").orderBy(F.desc(F.col("clean") + F.col("toxic")), "form").limit(MAX_FORMS).collect()
+    counted = counted.where("toxic >= 3 OR clean + toxic >= 20").orderBy(F.desc(F.col("clean") + F.col("toxic")), "form").limit(MAX_FORMS).toArrow()
     totals = {r.toxic: r["count"] for r in counting.groupBy("toxic").count().collect()}
-    scores = form_scores({r.form: (r.clean, r.toxic) for r in counted}, totals.get(0, 0), totals.get(1, 0))
-    shared = spark.sparkContext.broadcast(scores)
+    names, clean, toxic = (counted.column(k).to_pylist() for k in range(3))
+    found = form_scores(dict(zip(names, zip(clean, toxic))), totals.get(0, 0), totals.get(1, 0))
+    words = np.array([_code(f) for f in found], np.uint64), np.array(list(found.values()))
+    del counted, names, clean, toxic, found
+    shared = spark.sparkContext.broadcast(ToxicityModel(*words, (0.0, 1.0, 0.0), ()))
     seen = learned.where("calibrates = 1").select("text", "toxic").mapInArrow(_segment_rows(shared), "words long, segments array<double>, toxic int, distinct double")
     # Segments stay in a written table; the driver gets a few numbers a text.
     seen = written(seen, "calibration")
+    shared.destroy()
     best = seen.select("words", "toxic", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("best")).collect()
     clean = sorted((r.words, r.best) for r in best if r.toxic == 0)
     gumbel = fit_gumbel(np.array([b for _, b in clean]), np.array([w for w, _ in clean]))
     if len({r.toxic for r in best}) < 2:
-        return ToxicityModel(scores, gumbel, (-5.0, 1.0, 0.0, 0.0, 0.0))
+        return ToxicityModel(*words, gumbel, (-5.0, 1.0, 0.0, 0.0, 0.0))
     weighed = sorted(seen.mapInArrow(_feature_rows(gumbel), "x array<double>, toxic int").collect())
     curve = fit_curve(np.array([r.x for r in weighed]), np.array([float(r.toxic) for r in weighed]))
-    return ToxicityModel(scores, gumbel, tuple(float(c) for c in curve))
+    return ToxicityModel(*words, gumbel, tuple(float(c) for c in curve))
 
 
 def _scorer(shared):
     model = shared.value
-    return model, WordScores(model.scores)
+    return model, WordScores(model)
 
 
 def _score(shared):
@@ -295,7 +307,7 @@ def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 def _keep(shared):
     def run(batches):
         model, known = _scorer(shared)
-        for b in batches:
+        for b in slices(batches, "text", CHUNK):
             at = b.schema.get_field_index("text")
             keep = [score_text(model, known, t)[0] < THRESHOLD for t in texts_of(b.column(at))]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -194,7 +194,7 @@ def test_toxicity_is_fitted_on_all_segments(spark, documents_of, monkeypatch):
     fitted = []
     monkeypatch.setattr(toxicity, "fit_curve", lambda x, y, fit=toxicity.fit_curve: fitted.append((x, y)) or fit(x, y))
     model = toxicity.fit(documents_of(rows), labels)
-    known = toxicity.WordScores(model.scores)
+    known = toxicity.WordScores(model)
     words = toxicity.WORD.findall(rows[-1][1])
     segments = [s for _, _, s in toxicity.maximal_segments(np.array([known[w] for w in words]))]
     assert len(segments) > 200
