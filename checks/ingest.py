@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import DIRTY_SQL, FLOW_SQL, NUMERIC_SQL, ROW_ID, dirty, flow, query, rounded, table
+from flowspark.functions.quantiles import group_quantile_table
 from flowspark.plans import scoring
 from flowspark.session import scratch_path
 from flowspark.sources import files, flowcsv
@@ -61,6 +62,19 @@ def ingest_manifest(spark, folder):
     return scoring.ingest_counts(_scored(spark, folder))
 
 
+@query("scored_files", f"""WITH {SCORED_SQL}, t AS (SELECT count(*) AS rows_read, count(*) FILTER (score_status = 'scored') AS rows_scored,
+      count(*) FILTER (score_status = 'invalid_input') AS rows_invalid_input, count(*) FILTER (is_alert) AS alerts FROM res)
+    SELECT prediction, is_alert, score_status, count(*) AS "rows", round(sum(probability), 3) AS probabilities, max(t.rows_read) AS rows_read, max(t.rows_scored) AS rows_scored,
+    max(t.rows_invalid_input) AS rows_invalid_input, max(t.alerts) AS alerts FROM res, t GROUP BY prediction, is_alert, score_status""")
+def scored_files(spark, folder):
+    """The published table of a scoring run beside the counts of its manifest."""
+    _, paths = export_csv(old_style(spark, folder), "scored")
+    output = scratch_path(spark, "scores")
+    done = scoring.score_flow_files(spark, paths, output, CURRENT, scoring.expression_scorer(pseudo_score()), 0.5, "v1", format="parquet")
+    groups = spark.read.parquet(output).groupBy("prediction", "is_alert", "score_status").agg(F.count("*").alias("rows"), F.round(F.sum("probability"), 3).alias("probabilities"))
+    return groups.withColumns({c: F.lit(done[c]).cast("bigint") for c in ("rows_read", "rows_scored", "rows_invalid_input", "alerts")})
+
+
 @query("source_rows", f"SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM (SELECT {ROW_ID} FROM lineitem)")
 def source_rows(spark, folder):
     """Row numbers inside sorted exports, put together to the position in the whole."""
@@ -203,3 +217,10 @@ def batch_size_hist(spark, folder):
     FROM events GROUP BY event_type""")
 def latency_percentiles(spark, folder):
     return rounded(panels.latency_percentiles(table(spark, folder, "events"), "event_type", "value"))
+
+
+@query("latency_many_keys", """SELECT user_id, event_type, round(quantile_cont(value, 5e-1), 6) AS q0, round(quantile_cont(value, 9e-1), 6) AS q1
+    FROM events GROUP BY user_id, event_type""")
+def latency_many_keys(spark, folder):
+    """A group for every user and kind of event: as many as there are, none of them held in one place."""
+    return rounded(group_quantile_table(table(spark, folder, "events"), ["user_id", "event_type"], "value", [0.5, 0.9]))

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import edges_passed, quoted
-from flowspark.session import collect_bounded, local_table
+from flowspark.functions.sequence import CHUNK_ROWS, running_total, with_sequence
+from flowspark.session import collect_bounded, local_table, materialize
 
 SKETCH_SIZE = 4096
 # Four times the rank error that a sketch of this size has with 99 % confidence.
@@ -247,3 +248,31 @@ def group_quantiles(
         return joined.select("_k", "_v", passed.alias("_code"))
 
     return _solve(sizes, brackets, listed, code, key_type)
+
+
+def group_quantile_table(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """One row a group with ``q0``, ``q1``, ... for the probabilities in the order given; the groups may be any number.
+
+    Distinct values are sorted by group and value as one sequence with running counts, so a group's ranks are places in
+    it and a large group lies in many chunks.  Linearly interpolated; rows without a key or a value do not count.
+    """
+    _checked(probabilities)
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[quoted(k).alias(n) for k, n in zip(keys, names)], quoted(value).cast("double").alias("_v")).na.drop("any")
+    cells = rows.groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    counted = materialize(running_total(with_sequence(cells, [*names, "_v"]), "_c", "_upto", chunk_rows=chunk_rows), "ranked")
+    sizes = counted.groupBy(*names).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_base"))
+    joined = counted.join(sizes, names)
+    found = []
+    for i, q in enumerate(probabilities):
+        place = F.lit(float(q)) * (F.col("_n") - 1)
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            at = F.col("_base") + rank
+            here = (F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)
+            found.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
+        found.append(F.max(place - F.floor(place)).alias(f"_part{i}"))
+    result = joined.groupBy(*names).agg(*found)
+    between = [(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(f"q{i}") for i in range(len(probabilities))]
+    return result.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *between)

@@ -124,6 +124,17 @@ def fill_gaps(
     return filled.select(*sequenced.columns)
 
 
+def running_total(sequenced: DataFrame, column: str, name: str, seq: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add the sum of ``column`` over all rows up to and including each one; one number a chunk crosses borders."""
+    chunked = materialize(sequenced.withColumn("_chunk", F.floor(F.col(seq) / chunk_rows)), "chunks")
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # over one row a chunk
+    totals = chunked.groupBy("_chunk").agg(F.sum(column).alias("_sum"))
+    offsets = totals.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    joined = chunked.join(offsets, "_chunk").withColumn(name, F.col("_before") + F.sum(column).over(inside))
+    return joined.drop("_chunk", "_before")
+
+
 def quantile_edges(
     df: DataFrame, value: str, rows_per_bucket: int = CHUNK_ROWS, max_buckets: int = 16_384
 ) -> list[float]:

@@ -89,7 +89,7 @@ def handle_missing(
 ) -> DataFrame:
     """Drop, impute or carry values over gaps in ``columns``; NaN and infinities are gaps like NULL."""
     if strategy not in MISSING_STRATEGIES:
-        raise ValueError(f"Unknown strategy: {strategy}. Valid options: {list(MISSING_STRATEGIES)}")
+        raise ValueError(f"Missing values are handled by one of {list(MISSING_STRATEGIES)}, not by {strategy!r}.")
     df = clear_non_finite(df, columns)
     if strategy == "drop":
         return df.na.drop("any", subset=list(columns))
@@ -117,7 +117,7 @@ def fit_outliers(
     constant column gets no range because nothing in it can be an outlier.
     """
     if method not in OUTLIER_DEFAULTS:
-        raise ValueError(f"Unknown method: {method}. Valid options: {list(OUTLIER_DEFAULTS)}")
+        raise ValueError(f"Outliers are found by one of {list(OUTLIER_DEFAULTS)}, not by {method!r}.")
     limit = OUTLIER_DEFAULTS[method] if threshold is None else float(threshold)
     ranges: dict[str, tuple[float, float]] = {}
     df = clear_non_finite(df, columns)
@@ -265,7 +265,7 @@ def clean_holdout(
     """
     missing = [c for c in plan.features if c not in df.columns]
     if missing:
-        raise ValueError(f"Holdout data is missing training columns: {missing}")
+        raise ValueError(f"Columns known from training are not in the holdout: {missing}")
     present = [c for c in all_features if c in df.columns]
     data = clear_non_finite(df, present)
     if plan.strategy in ("mean", "median"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +97,7 @@ def quality_gate(
 
 def valid_model_hash(text: str | None) -> bool:
     """64 hexadecimal digits."""
-    return isinstance(text, str) and len(text) == 64 and all(c in "0123456789abcdefABCDEF" for c in text)
+    return isinstance(text, str) and re.fullmatch("[0-9A-Fa-f]{64}", text) is not None
 
 
 def require_gate(gate: DataFrame, model_hash: str | None) -> dict:
@@ -110,5 +111,5 @@ def require_gate(gate: DataFrame, model_hash: str | None) -> dict:
     if not valid_model_hash(model_hash):
         failures.append("model hash is not a 64-character hexadecimal SHA-256")
     if failures:
-        raise ValueError("Release quality gate failed: " + "; ".join(failures))
+        raise ValueError("The release does not pass: " + "; ".join(failures))
     return {"passed": True, "rules": [r.asDict() for r in rows]}

@@ -40,7 +40,7 @@ def standardize_labels(df: DataFrame) -> DataFrame:
 def external_label_column(columns: list[str]) -> str:
     found = [c for c in columns if c.lower() == LABEL]
     if len(found) != 1:
-        raise ValueError("External data must contain exactly one label column.")
+        raise ValueError("One label column is needed in external data, neither none nor several.")
     return found[0]
 
 
@@ -69,7 +69,7 @@ def check_labels(df: DataFrame, label: str = LABEL, allow_missing: bool = False)
     Training ignores missing labels; release validation does not.
     """
     if label not in df.columns:
-        raise ValueError(f"Label column {label!r} not found.")
+        raise ValueError(f"There is no label column {label!r}.")
     row = label_summary(df, label).first()
     if not row["contract_holds"] or (row["missing_rows"] and not allow_missing):
         raise ValueError("Labels must be encoded exactly as 0 (benign) and 1 (attack).")
@@ -82,7 +82,7 @@ def check_trainable(df: DataFrame, label: str = LABEL) -> dict[int, int]:
     row = df.agg(*[F.count(F.when(c, 1)) for c in (value == 0, value == 1, other)]).first()
     counts = {k: n for k, n in zip((0, 1, "other"), row) if n}
     if len(counts) < 2:
-        raise ValueError(f"Training data contains only one class after preprocessing: {counts}.")
+        raise ValueError(f"A classifier needs rows of both classes; what is left has {counts}.")
     check_labels(df, label, allow_missing=True)
     return counts
 
@@ -90,8 +90,8 @@ def check_trainable(df: DataFrame, label: str = LABEL) -> dict[int, int]:
 def single_source(df: DataFrame) -> DataFrame:
     """Accept a standardised table only when both classes occur."""
     if LABEL not in df.columns:
-        raise ValueError("The standardized dataset must contain a 'label' column.")
+        raise ValueError("A single source needs the column 'label'.")
     row = label_summary(df).first()
     if not (row["has_benign"] and row["has_attack"]) or row["other_rows"]:
-        raise ValueError("The source dataset must contain both benign and attack labels.")
+        raise ValueError("A single source needs benign rows and attacks.")
     return df

@@ -245,7 +245,7 @@ def threshold_sweep(
     """
     points = sorted({float(c) for c in candidates})
     if not points or any(not 0.0 < c < 1.0 for c in points):
-        raise ValueError("Threshold candidates must be non-empty values between 0 and 1.")
+        raise ValueError("Give at least one threshold to try, each from 0 to 1.")
     scored = df.select(*keys, quoted(label).alias("_y"), quoted(score).cast("double").alias("_p"))
     # A row without a score is neither an alert nor none.
     noted = add_bucket(scored.where(F.col("_p").isNotNull() & ~F.isnan("_p")), "_p", points, "_reached")

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import decide, quoted
 from flowspark.functions.hashing import row_hash
+from flowspark.functions.sequence import with_sequence
 from flowspark.operators import kernels, trees
 from flowspark.operators.labels import check_labels, check_trainable
 from flowspark.operators.metrics import ranking_scores
@@ -49,16 +50,14 @@ SEARCH_SPACE = {
     },
 }
 
-DONOR_BUCKET_ROWS = 20_000
-
 
 def resolve_parameters(kind: str, given: Mapping | None = None) -> dict:
     """Defaults overridden by the given values; a parameter of another algorithm is refused."""
     if kind not in DEFAULTS:
-        raise ValueError(f"Unknown model type: {kind}. Valid options: {sorted(DEFAULTS)}")
+        raise ValueError(f"A model is one of {sorted(DEFAULTS)}, not {kind!r}.")
     unknown = sorted(set(given or {}) - set(DEFAULTS[kind]))
     if unknown:
-        raise TypeError(f"Unsupported {kind} hyperparameters: {unknown}")
+        raise TypeError(f"A {kind} has no parameters {unknown}.")
     return {**DEFAULTS[kind], **(given or {})}
 
 
@@ -134,21 +133,16 @@ def feature_importance(df_or_session, model: TrainedModel) -> DataFrame:
     return local_table(spark, [(f, float(v)) for f, v in zip(model.features, values)], "feature string, importance double")
 
 
-def shuffled_donor(df: DataFrame, features: Sequence[str], row_id: str, seed: int, buckets: int) -> DataFrame:
-    """Give every row the feature values of another row: one random permutation.
+def shuffled_donor(df: DataFrame, features: Sequence[str], row_id: str, seed: int) -> DataFrame:
+    """Give every row the feature values of another row: one random cycle over the table.
 
-    Rows fall into hash buckets, as many as keep each one small; inside a bucket each row takes the
-    values of its successor in hash order and the last row those of the first.  The
-    buckets are random subsets, so this is a permutation of all rows that needs one
-    shuffle and no global order.
+    Rows are numbered in the order of a seeded hash; each takes the values of its successor, the last those of the
+    first.  The order is one range shuffle, so no task sees more than its range.
     """
-    hashed = df.withColumn("_h", row_hash(quoted(row_id), seed))
-    placed = hashed.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
-    ring = Window.partitionBy("_b").orderBy("_h")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = F.struct(*[quoted(f) for f in features])
-    donor = F.coalesce(F.lead(values).over(ring), F.first(values).over(whole))
-    return placed.withColumn("_donor", donor).drop("_h", "_b")
+    ordered = with_sequence(df.withColumn("_h", row_hash(quoted(row_id), seed)), ["_h", row_id], "_turn").drop("_h")
+    rows = ordered.count()
+    donors = ordered.select(F.pmod(F.col("_turn") - 1, F.lit(max(rows, 1))).alias("_turn"), F.struct(*[quoted(f) for f in features]).alias("_donor"))
+    return ordered.join(donors, "_turn").drop("_turn")
 
 
 def permutation_importance(
@@ -161,16 +155,15 @@ def permutation_importance(
     the shuffle and all variants are scored and ranked in one pass.
     """
     if repeats < 1:
-        raise ValueError("Explainability requires repeats >= 1.")
+        raise ValueError("repeats must be at least 1.")
     check_labels(df, label)
     features = list(model.features)
     base = df.select(quoted(row_id).alias("_id"), quoted(label).alias("_y"), *[quoted(f) for f in features])
     base = materialize(base, "permuted")
-    buckets = max(1, base.count() // DONOR_BUCKET_ROWS)
     baseline = ranking_scores(attack_probability(base, model), "_y", "probability").first()["pr_auc"]
     variants = None
     for k in range(repeats):
-        donated = shuffled_donor(base, features, "_id", seed + k, buckets)
+        donated = shuffled_donor(base, features, "_id", seed + k)
         changed = donated.withColumn("_repeat", F.lit(k)).withColumn(
             "_feature", F.explode(F.array(*[F.lit(f) for f in features]))
         )
@@ -200,7 +193,7 @@ def sample_parameters(kind: str, base: Mapping, iterations: int, seed: int, spac
     """Distinct random candidates; no more than the space holds."""
     space = space or SEARCH_SPACE.get(kind)
     if not space:
-        raise ValueError(f"Random search is supported for {sorted(SEARCH_SPACE)}.")
+        raise ValueError(f"Only {sorted(SEARCH_SPACE)} can be searched.")
     sizes = [len(v) for v in space.values()]
     total = int(np.prod(sizes))
     picks = np.random.default_rng(seed).choice(total, size=min(iterations, total), replace=False)

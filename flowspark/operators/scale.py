@@ -52,7 +52,7 @@ def check_columns(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"Input is missing features: {absent}")
     text = [c for c in features if not isinstance(df.schema[c].dataType, T.NumericType)]
     if text:
-        raise ValueError(f"All model features must be numeric. Non-numeric columns: {text}")
+        raise ValueError(f"Columns of text cannot be scaled: {text}")
 
 
 def _extent(features: Sequence[str]) -> dict:
@@ -68,11 +68,11 @@ def _extent(features: Sequence[str]) -> dict:
 def _check_extent(found: dict, features: Sequence[str]) -> None:
     """Complete columns whose ends are finite hold finite values only (NaN sorts last)."""
     if not found[None, "rows"]:
-        raise ValueError("Features must not be empty.")
+        raise ValueError("There is no row to fit a scaler to.")
     for c in features:
         whole = found[c, "n"] == found[None, "rows"]
         if not whole or not math.isfinite(found[c, "min"]) or not math.isfinite(found[c, "max"]):
-            raise ValueError("Features contain missing or infinite values; clean them before scaling.")
+            raise ValueError("A scaler cannot be fitted to missing or infinite values.")
 
 
 def validate_features(df: DataFrame, features: Sequence[str]) -> None:
@@ -87,7 +87,7 @@ def fit_scaler(df: DataFrame, features: Sequence[str], method: str = "minmax") -
     Validation rides on the same aggregate as the statistics.
     """
     if method not in METHODS:
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"There is no scaling by {method!r}.")
     check_columns(df, features)
     wanted = _extent(features)
     if method == "zscore":
@@ -111,7 +111,7 @@ def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     """Scale in place; new data may leave the fitted range and is not clipped."""
     missing = [c for c in scaler.features if c not in df.columns]
     if missing:
-        raise ValueError(f"Inference schema is missing required training columns: {missing}")
+        raise ValueError(f"Columns the scaler was fitted on are missing: {missing}")
     return df.withColumns(
         {
             c: (quoted(c).cast("double") - F.lit(a)) / F.lit(b)
@@ -124,4 +124,4 @@ def require_schema(df: DataFrame, features: Sequence[str], other: Sequence[str]
     """Exact ordered equality of the feature columns."""
     actual = [c for c in df.columns if c not in set(other)]
     if actual != list(features):
-        raise ValueError(f"Feature columns do not match the fitted schema. Expected {list(features)}, got {actual}.")
+        raise ValueError(f"The scaler was fitted on {list(features)}; these columns are others: {actual}.")

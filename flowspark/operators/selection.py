@@ -62,7 +62,7 @@ def binned_mutual_information(df: DataFrame, features: Sequence[str], label: str
     A plug-in estimate from bin counts, cheaper than the nearest-neighbour estimate and with other values.
     """
     if bins < 2:
-        raise ValueError("bins must be at least 2")
+        raise ValueError("Mutual information needs two bins or more.")
     inner = [i / bins for i in range(1, bins)]
     edges = {f: set(found.values()) for f, found in column_quantiles(df, features, inner).items()}
     coded = df.select(
@@ -93,7 +93,7 @@ def top_features(
 ) -> list[str]:
     """The k best scored features in their original order."""
     if not isinstance(k, int) or k < 1:
-        raise ValueError("n_features must be a positive integer")
+        raise ValueError("The number of features to select must be a whole number above 0.")
     scores = feature_scores(df, features, label, method)
     best = scores.orderBy(F.desc_nulls_last("score"), "position").limit(k)
     return [r["feature"] for r in best.orderBy("position").collect()]

@@ -131,9 +131,9 @@ def with_part(
 
 def check_sizes(train: float, test: float, val: float) -> None:
     if not 0 < train < 1 or not 0 < test < 1 or not 0 <= val < 1:
-        raise ValueError("train_size and test_size must be in (0, 1); val_size must be in [0, 1).")
+        raise ValueError("Training and test parts must be shares between 0 and 1; the validation part may also be 0.")
     if not math.isclose(train + test + val, 1.0, rel_tol=1e-5, abs_tol=1e-8):
-        raise ValueError(f"train_size + test_size + val_size must equal 1.0; got {train + test + val:.3f}.")
+        raise ValueError(f"The shares of the parts add up to {train + test + val:.3f}, not to 1.")
 
 
 def stratified_split(
@@ -154,7 +154,7 @@ def stratified_split(
     order = HashOrder(df, label, row_id, seed)
     counts = order.counts
     if len(counts) < 2:
-        raise ValueError("At least two target classes are required for a stratified split.")
+        raise ValueError("A stratified split of one class has nothing to stratify.")
     total = sum(counts.values())
     rest = total - math.ceil(test * total)
     in_rest = allocate(counts, rest)
@@ -182,11 +182,11 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold`` 1..k with every class spread as evenly as its size allows."""
     if folds < 2:
-        raise ValueError("folds must be at least 2.")
+        raise ValueError("Fewer than two folds cannot be made.")
     order = HashOrder(df, label, row_id, seed)
     counts = order.counts
     if min(counts.values()) < folds:
-        raise ValueError("Each class must contain at least as many samples as the number of folds.")
+        raise ValueError("A class has fewer rows than there are folds.")
     ranks = {c: [i * (n // folds) + min(i, n % folds) for i in range(1, folds)] for c, n in counts.items()}
     parts = with_part(df, label, row_id, seed, order.cuts(ranks), name)
     return parts.withColumn(name, F.col(name) + 1)
@@ -291,4 +291,4 @@ def balance(
         from flowspark.operators.smote import smote
 
         return smote(df, features, label, row_id, seed=seed)
-    raise ValueError(f"Unknown strategy: {strategy}")
+    raise ValueError(f"There is no balancing by {strategy!r}.")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import INVALID_INPUT, SCORED, all_present, decide, finite, quoted
@@ -62,15 +62,18 @@ def score_rows(
     )
 
 
-def ingest_counts(results: DataFrame) -> DataFrame:
-    """Rows read, scored and invalid, alerts, and the number of (version, threshold) pairs."""
-    return results.agg(
+def _row_counts() -> list[Column]:
+    return [
         F.count("*").alias("rows_read"),
         F.count(F.when(F.col("score_status") == SCORED, 1)).alias("rows_scored"),
         F.count(F.when(F.col("score_status") == INVALID_INPUT, 1)).alias("rows_invalid_input"),
         F.count(F.when(F.col("is_alert"), 1)).alias("alerts"),
-        F.count_distinct("model_version", "threshold").alias("operating_points"),
-    )
+    ]
+
+
+def ingest_counts(results: DataFrame) -> DataFrame:
+    """Rows read, scored and invalid, alerts, and the number of (version, threshold) pairs."""
+    return results.agg(*_row_counts(), F.count_distinct("model_version", "threshold").alias("operating_points"))
 
 
 def score_flow_files(
@@ -88,8 +91,8 @@ def score_flow_files(
 ) -> dict:
     """Score exports into one published table with a manifest beside it.
 
-    The counts are taken from the finished staging output, so they describe what is
-    published; a failure leaves an earlier output as it was.
+    The rows are counted as the writing tasks see them, so nothing is read again; a failure leaves an earlier output
+    as it was.
     """
     refuse_existing(spark, [output], overwrite)
     flows = number_rows(read_flows(spark, list(paths), features))
@@ -97,16 +100,17 @@ def score_flow_files(
     if ordered:
         order = ["source_file", "source_row"]
         results = results.repartitionByRange(*order).sortWithinPartitions(*order)
+    seen = Observation("ingested")
+    point = F.struct("model_version", "threshold")
+    observed = results.observe(seen, *_row_counts(), F.min(point).alias("lowest"), F.max(point).alias("highest"))
     with StagedOutput(spark, output) as staging:
-        writer = results.write.format(format)
+        writer = observed.write.format(format)
         (writer.option("header", True) if format == "csv" else writer).save(staging)
-        reader = spark.read.schema(results.schema)
-        written = (reader.option("header", True) if format == "csv" else reader).format(format).load(staging)
-        counts = ingest_counts(written).first().asDict()
+        counts = dict(seen.get)
         if not counts["rows_read"]:
-            raise ValueError("Input CSV contained no flow records")
-        if counts.pop("operating_points") != 1:
-            raise RuntimeError("Model version or threshold changed during ingestion; refusing mixed output")
+            raise ValueError("The exports hold no flow records")
+        if counts.pop("lowest") != counts.pop("highest"):
+            raise RuntimeError("The output would mix operating points; it is not published.")
     manifest = {
         "input_paths": list(paths),
         "output_path": output,
@@ -127,7 +131,7 @@ def predict_table(df: DataFrame, artifact: Artifact, probabilities: bool = True,
     """
     missing = [f for f in artifact.features if f not in df.columns]
     if missing:
-        raise ValueError(f"Inference schema is missing required training columns: {missing}")
+        raise ValueError(f"The table is missing required features of the model: {missing}")
     needed = df.select(*[quoted(c) for c in dict.fromkeys([*keep, *artifact.features])])
     whole = all_present([finite(quoted(f).cast("double")) for f in artifact.features])
     refusal = F.raise_error(F.lit("A row to predict has missing or infinite features.")).cast("double")

@@ -267,7 +267,7 @@ def create_holdout(
 ) -> dict:
     """Split once into development and final holdout, written side by side with a manifest."""
     if not 0.0 < size < 1.0:
-        raise ValueError("holdout_size must be between 0 and 1.")
+        raise ValueError("The holdout must be a share between 0 and 1.")
     check_labels(df, label)
     spark = df.sparkSession
     refuse_existing(spark, [output], overwrite)
@@ -292,7 +292,7 @@ def evaluate_frozen(
     Missing or non-finite features are refused: no model output would mean anything for such rows.
     """
     if expected_threshold is not None and expected_threshold != artifact.threshold:
-        raise ValueError("Artifact threshold does not match the frozen release profile.")
+        raise ValueError("The run was saved with another threshold than the one expected.")
     check_labels(df, label)
     needed = df.select(*[quoted(f) for f in artifact.features], quoted(label).alias("label"))
     validate_features(needed, artifact.features)
@@ -313,7 +313,7 @@ def prepare_for_training(
 ) -> tuple[DataFrame, DataFrame]:
     """Split, then clean on the training rows only; outliers stay, they may be attacks."""
     if not 0 < test < 1:
-        raise ValueError("test_split must be between 0 and 1.")
+        raise ValueError("The test part must be a share between 0 and 1.")
     parts = stratified_split(df, label, row_id, 1.0 - test, test, 0.0, seed, name="_split")
     renamed = parts.withColumnRenamed(label, "label") if label != "label" else parts
     training, cleaning = clean_training(

@@ -96,10 +96,10 @@ def load_data(spark: SparkSession, path: str, format: str | None = None, schema=
     exploration tool needs; pipelines pass a schema or use ``flowcsv``.
     """
     if not exists(spark, path):
-        raise FileNotFoundError(f"Data file not found: {path}")
+        raise FileNotFoundError(f"There is nothing to load at {path}.")
     kind = (format or posixpath.splitext(path)[1].lstrip(".")).lower()
     if kind not in FORMATS:
-        raise ValueError(f"Unsupported format: {kind}")
+        raise ValueError(f"Files of the kind {kind!r} are not read.")
     reader = spark.read
     if kind == "csv":
         reader = reader.option("header", True)
@@ -109,14 +109,14 @@ def load_data(spark: SparkSession, path: str, format: str | None = None, schema=
     try:
         return reader.format(kind).load(path)
     except (PySparkException, Py4JJavaError) as error:
-        raise OSError(f"Failed to load {kind} data from {path}: {error}") from error
+        raise OSError(f"{path} does not open as {kind}: {error}") from error
 
 
 def refuse_existing(spark: SparkSession, paths: Iterable[str], overwrite: bool = False) -> None:
     """Stop before any work when an output is already there."""
     taken = [p for p in paths if exists(spark, p)]
     if taken and not overwrite:
-        raise FileExistsError(f"Refusing to overwrite existing output: {', '.join(taken)}")
+        raise FileExistsError(f"Already there, and not to be replaced: {', '.join(taken)}")
 
 
 def save_data(
@@ -128,7 +128,7 @@ def save_data(
     """
     kind = format.lower()
     if kind not in FORMATS:
-        raise ValueError(f"Unsupported format: {format}")
+        raise ValueError(f"Files of the kind {format!r} are not written.")
     spark = df.sparkSession
     refuse_existing(spark, [path], overwrite)
     with StagedOutput(spark, path) as staging:
@@ -280,7 +280,7 @@ def preflight_folder(spark: SparkSession, folder: str, required: Sequence[str])
     """Header report for every CSV of a folder."""
     files = [p for p, _, _ in list_files(spark, folder, ".csv")]
     if not files:
-        raise FileNotFoundError(f"No CSV files found in {folder}")
+        raise FileNotFoundError(f"The folder {folder} holds no CSV file.")
     return inspect_headers(csv_headers(spark, files), required)
 
 
@@ -330,7 +330,7 @@ def union_files(
     raw = f"{folder.rstrip('/')}/raw"
     files = [p for p, _, _ in list_files(spark, raw if exists(spark, raw) else folder, ".parquet")]
     if not files:
-        raise FileNotFoundError(f"No parquet files found in {folder}.")
+        raise FileNotFoundError(f"The folder {folder} holds no Parquet file.")
     footers = _path_table(spark, files).mapInPandas(
         _schema_batches, "path string, columns array<string>, kind string"
     )

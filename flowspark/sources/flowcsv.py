@@ -24,10 +24,10 @@ def check_header(columns: Sequence[str], required: Sequence[str]) -> list[str]:
     """Normalised names of a header, or an error naming what is wrong with it."""
     names = [normalise_header(c) for c in columns]
     if repeated_names(names):
-        raise ValueError(f"Normalized input schema has duplicate columns: {repeated_names(names)}")
+        raise ValueError(f"Headers fall together under one name: {repeated_names(names)}")
     missing = [f for f in required if f not in names]
     if missing:
-        raise ValueError("Input CSV is missing features required by the loaded model: " + ", ".join(missing))
+        raise ValueError("The model needs columns that the export does not have: " + ", ".join(missing))
     return names
 
 
@@ -35,7 +35,7 @@ def normalise_headers(df: DataFrame) -> DataFrame:
     """Rename the columns of a table to their normalised names."""
     names = [normalise_header(c) for c in df.columns]
     if repeated_names(names):
-        raise ValueError(f"Normalized input schema has duplicate columns: {repeated_names(names)}")
+        raise ValueError(f"Headers fall together under one name: {repeated_names(names)}")
     return df.toDF(*names)
 
 
@@ -148,16 +148,16 @@ def prepare_external_folder(
 ) -> dict:
     """Standardise every CSV of a folder into one labelled table, published at once."""
     if not features:
-        raise ValueError("External preparation requires a fixed feature list.")
+        raise ValueError("The features to prepare external data for must be named.")
     files = [p for p, _, _ in list_files(spark, folder, ".csv")]
     if not files:
-        raise FileNotFoundError(f"No CSV files found in {folder}")
+        raise FileNotFoundError(f"The folder {folder} holds no CSV file.")
     refuse_existing(spark, [output])
     stored = materialize(read_flows(spark, files, features, label=True), "external")
     prepared, counts = prepare_external(stored, features)
     totals = counts.first().asDict()
     if not totals["rows_written"]:
-        raise ValueError("External preparation produced no valid labeled rows.")
+        raise ValueError("Not one row of the external data has a label and all features.")
     save_data(prepared, output, format)
     manifest = {
         "source_files": files,

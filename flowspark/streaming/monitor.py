@@ -39,7 +39,7 @@ class Stager:
 
     def __post_init__(self) -> None:
         if self.checks < 2:
-            raise ValueError("checks must be at least 2 to avoid reading an actively written file")
+            raise ValueError("A file must be seen twice or more before it counts as written.")
         make_folder(self.spark, self.incoming)
         make_folder(self.spark, self.watched)
 

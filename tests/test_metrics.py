@@ -133,7 +133,7 @@ def test_calibration_and_brier(spark):
     assert drift.brier_score(df, "y", "p").first()[0] == pytest.approx(0.025)
     assert drift.calibration_table(df, "y", "p").count() > 0
     assert drift.calibration_summary(df, "y", "p").first().average_precision == 1.0
-    with pytest.raises(ValueError, match="at least 2"):
+    with pytest.raises(ValueError, match="two bins"):
         drift.calibration_table(df, "y", "p", 1)
     with pytest.raises(ValueError):
         drift.calibration_table(df.where("y = 1"), "y", "p")
@@ -162,11 +162,11 @@ def test_drift_of_missing_and_empty_features(spark):
     assert rows["b"].status == "missing" and rows["b"].psi is None
     empty = drift.drift_report(df.where("a > 9"), baseline).collect()
     assert all(r.finite_rows == 0 for r in empty)
-    with pytest.raises(ValueError, match="positive"):
+    with pytest.raises(ValueError, match="above 0"):
         drift.drift_report(df, baseline, 0)
-    with pytest.raises(ValueError, match="Missing feature"):
+    with pytest.raises(ValueError, match="not there"):
         drift.drift_baseline(df, ["z"])
-    with pytest.raises(ValueError, match="no finite"):
+    with pytest.raises(ValueError, match="not one value"):
         drift.drift_baseline(spark.createDataFrame([(float("inf"),)], "a double"), ["a"])
 
 

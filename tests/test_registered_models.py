@@ -1,43 +1,39 @@
-"""The model queries run the operators with the library's own parameters."""
+"""The model queries end with the library's own parameters, and find a planted rule."""
+
+import time
 
 import pytest
 
 from checks import models as registered
+from checks.base import ORACLES, QUERIES
+from tools.compare import connect, plain, rows_of
 
-
-@pytest.fixture
-def calls(monkeypatch):
-    seen = {}
-
-    class Result(dict):
-        def select(self, *columns):
-            return self
-
-        def __missing__(self, key):
-            return None
-
-    def note(name):
-        def call(*given, **named):
-            seen[name] = (given, named)
-            return (None, Result()) if name == "randomized_search" else Result()
-
-        return call
-
-    for name in ("train", "predict", "feature_importance", "randomized_search", "permutation_importance"):
-        monkeypatch.setattr(registered.models, name, note(name))
-    for name in ("flow", "fit_scaler", "apply_scaler", "cross_validate"):
-        monkeypatch.setattr(registered, name, note(name))
-    return seen
+FOLDER = "/root/testdata/sf0.001"
+SECONDS = 240  # for one query on 6,000 rows, on a slow machine
 
 
-def test_production_parameters(calls):
+def test_production_parameters():
     assert dict(registered.SETTINGS.parameters) == {}
-    for query in (registered.rf_score, registered.gbt_score, registered.svc_score, registered.tree_importance, registered.perm_importance):
-        query(None, "")
-        given, named = calls["train"]
-        assert len(given) == 3 and not named
-    assert calls["permutation_importance"][1] == {"repeats": 5}
-    registered.cv_report(None, "")
-    assert calls["cross_validate"][1] == {"folds": 5}
-    registered.search_report(None, "")
-    assert len(calls["randomized_search"][0]) == 5 and not calls["randomized_search"][1]
+    full = registered.models.DEFAULTS
+    assert full["random_forest"]["n_estimators"] == full["gbt"]["n_estimators"] == 100
+    assert (full["random_forest"]["max_depth"], full["svm"]["kernel"]) == (20, "rbf")
+
+
+@pytest.mark.parametrize("name, rows", [("rf_score", None), ("tree_importance", 5), ("search_report", 10), ("cv_report", 5)])
+def test_queries_end(spark, name, rows):
+    started = time.monotonic()
+    found = QUERIES[name](spark, FOLDER).collect()
+    assert time.monotonic() - started < SECONDS
+    assert len(found) == (rows or spark.read.parquet(f"{FOLDER}/lineitem.parquet").count())
+    if name == "rf_score":
+        assert all(0 <= r.probability <= 1 for r in found)
+    if name == "search_report":
+        assert all(0 < r.mean_average_precision <= 1 for r in found)
+
+
+@pytest.mark.parametrize("name", ["gbt_rule", "rf_rule", "search_rule"])
+def test_a_planted_rule_is_found(spark, name):
+    cursor = connect(FOLDER).execute(ORACLES[name])
+    expected = rows_of([d[0] for d in cursor.description], cursor.fetchall())
+    result = QUERIES[name](spark, FOLDER)
+    assert rows_of(result.columns, [tuple(map(plain, r)) for r in result.collect()]) == expected

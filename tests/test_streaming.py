@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowspark.plans import scoring
 from flowspark.streaming import panels
@@ -54,7 +55,7 @@ def test_vanished_file_is_forgotten(spark, tmp_path):
 
 
 def test_too_few_checks(spark, tmp_path):
-    with pytest.raises(ValueError, match="at least 2"):
+    with pytest.raises(ValueError, match="twice"):
         Stager(spark, str(tmp_path / "in"), str(tmp_path / "out"), checks=1)
 
 
@@ -181,3 +182,17 @@ def test_batch_size_buckets(spark):
     df = spark.sql("SELECT CASE WHEN id = 0 THEN 'one' ELSE 'many' END AS b FROM range(51)")
     got = {r.le: r.batches for r in panels.batch_size_histogram(df, "b").collect()}
     assert got == {"1": 1, "10": 1, "100": 2, "1000": 2, "10000": 2, "+Inf": 2}
+
+
+def test_latency_panel_is_close_to_exact(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("CAST(ts AS timestamp) AS ts", "event_type", "value")
+    panel = panels.latency_panel(events, "ts", "event_type", "value", "365 days")
+    for r in panel.collect():
+        own = events.where((F.col("event_type") == r.event_type) & (F.window("ts", "365 days")["start"] == r.window_start))
+        values = sorted(x.value for x in own.select("value").collect())
+        assert len(values) == r.requests
+        for q, v in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            low, high = max(0, int((q - 0.03) * len(values)) - 1), min(len(values) - 1, int((q + 0.03) * len(values)) + 1)
+            assert values[low] <= v <= values[high]
+    empty = panels.latency_panel(events.withColumn("value", F.lit(None).cast("double")), "ts", "event_type", "value")
+    assert all(r.p50 is None and r.requests == 0 for r in empty.collect())
