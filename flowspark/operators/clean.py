@@ -109,18 +109,19 @@ def forward_fill(
 
 
 def fit_outliers(
-    df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float | None = None
+    df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float | None = None, guarded: bool = False
 ) -> dict[str, tuple[float, float]]:
     """Allowed closed range per column.
 
     ``iqr`` uses exact quartiles.  ``zscore`` uses the population deviation; a
-    constant column gets no range because nothing in it can be an outlier.
+    constant column gets no range because nothing in it can be an outlier.  ``guarded`` says that no value is
+    NaN or infinite, so that none is looked for.
     """
     if method not in OUTLIER_DEFAULTS:
         raise ValueError(f"Outliers are found by one of {list(OUTLIER_DEFAULTS)}, not by {method!r}.")
     limit = OUTLIER_DEFAULTS[method] if threshold is None else float(threshold)
     ranges: dict[str, tuple[float, float]] = {}
-    df = clear_non_finite(df, columns)
+    df = df if guarded else clear_non_finite(df, columns)
     if method == "iqr":
         for column, found in column_quantiles(df, columns, [0.25, 0.75]).items():
             spread = found[0.75] - found[0.25]
@@ -140,20 +141,20 @@ def fit_outliers(
     return ranges
 
 
-def outlier_flag(ranges: Mapping[str, tuple[float, float]]) -> Column:
+def outlier_flag(ranges: Mapping[str, tuple[float, float]], guarded: bool = False) -> Column:
     """True when any column lies outside its range; missing values never do."""
     flag = F.lit(False)
     for column, (low, high) in ranges.items():
-        value = finite(quoted(column).cast("double"))
+        value = quoted(column).cast("double") if guarded else finite(quoted(column).cast("double"))
         outside = (value < F.lit(low)) | (value > F.lit(high))
         flag = flag | F.coalesce(outside, F.lit(False))
     return flag
 
 
 def remove_outliers(
-    df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float | None = None
+    df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold: float | None = None, guarded: bool = False
 ) -> DataFrame:
-    return df.where(~outlier_flag(fit_outliers(df, columns, method, threshold)))
+    return df.where(~outlier_flag(fit_outliers(df, columns, method, threshold, guarded), guarded))
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -191,6 +192,23 @@ def quasi_constant_columns(df: DataFrame, columns: Sequence[str], threshold: flo
     return {c: shares[c] for c in columns if shares.get(c, 0.0) > threshold}
 
 
+def uninformative_columns(df: DataFrame, columns: Sequence[str], threshold: float) -> tuple[list[str], list[str]]:
+    """Constant columns and, of the others, those with a dominant value, of rows without NaN and infinities.
+
+    Extremes and medians come from one scan, the medians' shares from a second.
+    """
+    folds = {"min": F.min, "max": F.max} | ({"median": lambda c: F.percentile_approx(c.cast("double"), 0.5, 1000)} if threshold >= 0.55 else {})
+    found = wide_aggregate(df, {(c, k): fold(quoted(c)) for c in columns for k, fold in folds.items()})
+    constant = [c for c in columns if found[c, "min"] is not None and found[c, "min"] == found[c, "max"]]
+    rest = [c for c in columns if c not in constant]
+    if threshold < 0.55 or not rest:
+        return constant, list(quasi_constant_columns(df, rest, threshold)) if rest else []
+    known = [c for c in rest if found[c, "median"] is not None]
+    makers = {(c,): F.count(F.when(quoted(c).cast("double") == F.lit(found[c, "median"]), 1)) for c in known}
+    hits = wide_aggregate(df, {**makers, (None,): F.count(F.lit(1))})
+    return constant, [c for c in known if hits[c,] / hits[None,] > threshold]
+
+
 @dataclass
 class CleaningPlan:
     """What the training data taught the cleaning step; reusable on other data."""
@@ -236,17 +254,17 @@ def clean_training(
     if strategy in ("mean", "median"):
         plan.fill = fit_fill(data, features, strategy) if deduplicate else plan.holdout_fill
         data = apply_fill(data, plan.fill)
+    elif strategy == "drop":
+        data = data.na.drop("any", subset=features)
     else:
         data = handle_missing(data, features, strategy, order)
-    # The passes below read the deduplicated rows several times; write them once.
+    # The passes below read the deduplicated rows several times; they are written once, without NaN and infinities.
     data = materialize(data, "cleaned")
     if outliers:
-        data = remove_outliers(data, features, outliers, outlier_threshold)
+        data = remove_outliers(data, features, outliers, outlier_threshold, guarded=True)
     if drop_constant:
-        plan.constant = constant_columns(data, features)
-        rest = [c for c in features if c not in plan.constant]
-        plan.quasi_constant = list(quasi_constant_columns(data, rest, quasi_threshold)) if rest else []
-        plan.features = [c for c in rest if c not in plan.quasi_constant]
+        plan.constant, plan.quasi_constant = uninformative_columns(data, features, quasi_threshold)
+        plan.features = [c for c in features if c not in {*plan.constant, *plan.quasi_constant}]
     return data.select(*[quoted(c) for c in [*plan.features, *carried, *order]]), plan
 
 
