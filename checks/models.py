@@ -3,10 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.base import FEATURES, FLOW_SQL, flow, query, rounded
+from checks.ingest import export_csv
 from checks.splits import ranked, shares
 from flowspark.operators import models
 from flowspark.operators.scale import apply_scaler, fit_scaler
-from flowspark.plans.training import Settings, cross_validate, train_pipeline
+from flowspark.plans.artifact import load_artifact
+from flowspark.plans.scoring import batch_predict, predict_table
+from flowspark.plans.training import Settings, create_holdout, cross_validate, evaluate_frozen, train_pipeline
+from flowspark.session import scratch_path
 
 # All parameters are the library's defaults.
 SETTINGS = Settings(kind="gbt", min_recall=0.5, max_fpr=1.0)
@@ -149,3 +153,35 @@ def cv_rule(spark, folder):
 def search_rule(spark, folder):
     _, report = models.randomized_search(planted(spark, folder), RULE, "label", "row_id", "gbt")
     return rounded(report.drop("parameters"))
+
+
+@query("release_rule", f"""WITH {PLANTED_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS attacks FROM planted)
+    SELECT unnest(['batch', 'frozen', 'table']) AS step, n AS "rows", attacks, n AS "right" FROM c""")
+def release_rule(spark, folder):
+    """A saved run, loaded again: it scores a table and exports, and is judged on labelled rows."""
+    rows, path = planted(spark, folder), scratch_path(spark, "release")
+    train_pipeline(rows, FEATURES, "label", "row_id", SETTINGS, "release", path)
+    artifact = load_artifact(spark, path)
+    scored = predict_table(rows, artifact, keep=["label"])
+    judged = evaluate_frozen(rows, artifact, "label")
+    seen = judged["identity"].first()["rows"]
+    frozen = judged["metrics"].select(F.lit("frozen").alias("step"), F.lit(seen).cast("bigint").alias("rows"), (F.col("tp") + F.col("fp")).alias("attacks"), (F.col("tp") + F.col("tn")).alias("right"))
+    _, paths = export_csv(rows.select(*FEATURES), "release-exports")
+    batch = batch_predict(spark, artifact, paths, scratch_path(spark, "release-scores"))
+    attacks = F.sum(F.col("prediction").cast("bigint")).alias("attacks")
+    table = scored.agg(F.count("*").alias("rows"), attacks, F.count_if(F.col("label") == F.col("prediction")).alias("right"))
+    # Exports carry no label; as many attacks as the rule has are right.
+    exported = batch.agg(F.count("*").alias("rows"), attacks, F.count("prediction").alias("right"))
+    named = lambda df, step: df.select(F.lit(step).alias("step"), "rows", "attacks", "right")
+    return named(table, "table").unionByName(frozen).unionByName(named(exported, "batch"))
+
+
+@query("created_holdout", f"""WITH {FLOW_SQL}, {ranked('flow', 42)}, c AS (SELECT label, count(*) AS n FROM flow GROUP BY label),
+    t AS (SELECT CAST(sum(n) - ceil(15e-2 * sum(n)) AS BIGINT) AS rest FROM c), {shares('c', '(SELECT rest FROM t)', 'a')}
+    SELECT row_id, h.label, CASE WHEN r <= a.n - a.s THEN 'final_holdout' ELSE 'development' END AS part FROM h JOIN a ON h.label = a.label""")
+def created_holdout(spark, folder):
+    """Both published parts of the final holdout."""
+    path = scratch_path(spark, "holdout")
+    create_holdout(flow(spark, folder).select("row_id", "l_quantity", "label"), "label", "row_id", path)
+    parts = [spark.read.parquet(f"{path}/{name}").select("row_id", "label", F.lit(name).alias("part")) for name in ("development", "final_holdout")]
+    return parts[0].unionByName(parts[1])

@@ -67,11 +67,14 @@ def dataset_manifest(df: DataFrame, path: str | None = None, label: str = LABEL)
 
 
 def quality_gate(
-    validation: DataFrame, test: DataFrame, min_recall: float, max_fpr: float, threshold: float, candidates: Sequence[float]
+    validation: DataFrame, test: DataFrame, min_recall: float, max_fpr: float, threshold: float, candidates: Sequence[float],
+    complied: bool | None = None,
 ) -> DataFrame:
     """One row per release rule with what was seen, what is asked for and the verdict.
 
-    ``validation`` and ``test`` are one-row metric tables with ``recall`` and ``fpr``.
+    ``validation`` and ``test`` are one-row metric tables with ``recall`` and ``fpr``; a missing one does not pass.
+    ``complied`` says whether the threshold kept to the policy when it was chosen on the validation part, which then
+    is a rule as well.
     """
 
     def limits(metrics: DataFrame, part: str) -> DataFrame:
@@ -89,9 +92,10 @@ def quality_gate(
         return metrics.select(F.explode(rules).alias("r")).select("r.*")
 
     known = any(float(threshold) == float(c) for c in candidates)
-    listed = local_table(
-        validation.sparkSession, [("threshold_is_candidate", float(threshold), None, known)], GATE_SCHEMA
-    )
+    chosen = [("threshold_is_candidate", float(threshold), None, known)]
+    if complied is not None:
+        chosen.append(("validation_choice_complied", float(complied), 1.0, bool(complied)))
+    listed = local_table(validation.sparkSession, chosen, GATE_SCHEMA)
     return limits(validation, "validation").unionByName(limits(test, "test")).unionByName(listed)
 
 
@@ -104,7 +108,8 @@ def require_gate(gate: DataFrame, model_hash: str | None) -> dict:
     """Raise with every failed rule at once; return the report otherwise."""
     rows = gate.collect()
     failures = [
-        f"{r['rule']} is {r['observed']:.6f}" + (f", required {r['required']:.6f}" if r["required"] is not None else "")
+        f"{r['rule']} is " + ("missing" if r["observed"] is None else f"{r['observed']:.6f}")
+        + (f", required {r['required']:.6f}" if r["required"] is not None else "")
         for r in rows
         if not r["passed"]
     ]

@@ -21,12 +21,12 @@ from flowspark.operators.metrics import (
     MAX_FPR, MIN_RECALL, THRESHOLD_CANDIDATES, all_compliant, binary_metrics, error_summary, evaluate,
     fold_summary, policy_flags, ranking_scores, select_threshold, with_outcome,
 )
-from flowspark.operators.models import attack_probability, feature_importance, train
+from flowspark.operators.models import attack_probability, feature_importance, resolve_parameters, train
 from flowspark.operators.scale import apply_scaler, fit_scaler, validate_features
 from flowspark.operators.selection import FeaturePlan, apply_features, fit_features, importance_stability
 from flowspark.operators.split import inner_split, stratified_folds, stratified_split
-from flowspark.plans.artifact import Artifact, save_artifact
-from flowspark.session import localise, materialize
+from flowspark.plans.artifact import Artifact, model_hash, save_artifact
+from flowspark.session import local_table, localise, materialize
 from flowspark.sources.files import StagedOutput, refuse_existing, save_data, union_files, write_text
 
 
@@ -162,6 +162,15 @@ def train_pipeline(
     fitted = fit_parts(
         parts.where("_split = 'train'"), parts.where("_split = 'val'"), features, label, row_id, settings, version
     )
+    chosen = fitted.threshold_table.where(F.col("threshold") == fitted.artifact.threshold).first()
+    fitted.artifact.run = {
+        "rows": {r["_split"]: r["count"] for r in parts.groupBy("_split").count().collect()},
+        "parameters": resolve_parameters(settings.kind, settings.parameters),
+        "seed": settings.seed,
+        "scaling": settings.scaling,
+        # A frozen threshold need not be among the candidates, and then nothing was seen of it.
+        "validation": None if chosen is None else {"recall": chosen["recall"], "fpr": chosen["fpr"], "complied": chosen["meets_targets"]},
+    }
     tested = materialize(
         fitted.prepare(parts.where("_split = 'test'"))
         .select(row_id, "label", "probability")
@@ -289,6 +298,7 @@ def evaluate_frozen(
 ) -> dict[str, DataFrame]:
     """Judge a frozen artifact on independent labelled rows; nothing is tuned.
 
+    ``identity`` tells which model was judged on which rows.
     Missing or non-finite features are refused: no model output would mean anything for such rows.
     """
     if expected_threshold is not None and expected_threshold != artifact.threshold:
@@ -305,6 +315,11 @@ def evaluate_frozen(
     report["calibration_summary"] = calibration_summary(judged, "label", "probability")
     if artifact.baseline is not None:
         report["drift"] = drift_report(needed, artifact.baseline, psi_alert)
+    seen = dataset_manifest(needed, None, "label")
+    identity = (artifact.version, model_hash(artifact.model), artifact.threshold, seen["rows"], seen["schema_sha256"], json.dumps(seen["content"]), json.dumps(seen["label_counts"]))
+    report["identity"] = local_table(
+        df.sparkSession, [identity], "model_version string, model_sha256 string, threshold double, rows bigint, schema_sha256 string, content string, label_counts string"
+    )
     return report
 
 

@@ -181,6 +181,12 @@ def test_gate(spark):
         governance.require_gate(governance.quality_gate(good, good, 0.92, 0.005, 0.26, [0.3]), digest)
     with pytest.raises(ValueError, match="hash"):
         governance.require_gate(governance.quality_gate(good, good, 0.92, 0.005, 0.26, [0.26]), "xyz")
+    with pytest.raises(ValueError, match="validation_choice_complied"):
+        governance.require_gate(governance.quality_gate(good, good, 0.92, 0.005, 0.26, [0.26], complied=False), digest)
+    assert governance.require_gate(governance.quality_gate(good, good, 0.92, 0.005, 0.26, [0.26], complied=True), digest)["passed"]
+    gap = spark.createDataFrame([(None, 0.004)], "recall double, fpr double")
+    with pytest.raises(ValueError, match="test_recall is missing"):
+        governance.require_gate(governance.quality_gate(good, gap, 0.92, 0.005, 0.26, [0.26]), digest)
 
 
 def test_fingerprint_ignores_order(spark):

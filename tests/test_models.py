@@ -122,6 +122,8 @@ def test_pipeline_artifact_and_scoring(spark, data, tmp_path):
 
     loaded = load_artifact(spark, output)
     assert loaded.threshold == artifact.threshold and loaded.features == artifact.features
+    assert loaded.run == artifact.run and sum(loaded.run["rows"].values()) == 200
+    assert loaded.run["parameters"]["n_estimators"] == 4 and loaded.run["validation"]["recall"] > 0.5
     extra = data.withColumn("unused", F.lit("x"))
     scored = scoring.predict_table(extra, loaded)
     assert scored.columns == ["prediction", "probability"] and scored.count() == 200
@@ -139,6 +141,8 @@ def test_pipeline_artifact_and_scoring(spark, data, tmp_path):
     report = training.evaluate_frozen(data, loaded, "label", expected_threshold=artifact.threshold)
     assert {"metrics", "calibration", "drift", "roc_curve"} <= set(report)
     assert report["drift"].where("status = 'ok'").count() == 2
+    identity = report["identity"].first()
+    assert (identity.model_version, identity.rows) == ("run_1", 200) and len(identity.model_sha256) == 64
     with pytest.raises(ValueError, match="another threshold"):
         training.evaluate_frozen(data, loaded, "label", expected_threshold=0.123)
     with pytest.raises(FileNotFoundError):
