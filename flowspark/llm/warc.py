@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.base import ORACLES, prepare, query, table
+from flowspark.llm.base import ORACLES, prepare, query, table, written
 from flowspark.session import scratch_path
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name-based identifiers of URLs
@@ -240,16 +240,21 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     first = captures.where("response.type = 'response'").select(
         F.col("record_id").alias("first_id"), F.col("response.payload_bytes").alias("first_bytes"), F.col("metadata").alias("referred")
     )
-    joined = captures.join(first, captures["response.refers_to"] == F.col("first_id"), "left")
+    # What refers to nothing needs no partner: joined too, all of it would meet in one task.
+    refers = F.col("response.refers_to").isNotNull()
+    alone = captures.where(~refers).withColumn("first_bytes", F.lit(None).cast("long")).withColumn("referred", F.lit(None).cast(captures.schema["metadata"].dataType))
+    joined = captures.where(refers).join(first, captures["response.refers_to"] == F.col("first_id"), "left").drop("first_id")
     size = F.when(F.col("response.type") == "revisit", F.col("first_bytes")).otherwise(F.col("response.payload_bytes"))
-    return joined.withColumn("payload_bytes", size).drop("first_id", "first_bytes")
+    return joined.unionByName(alone).withColumn("payload_bytes", size).drop("first_bytes")
 
 
 @query("op2_warc_captures")
 def warc_query(spark, folder: str) -> DataFrame:
     path = scratch_path(spark, "llm-warc")
     write_warc(table(spark, folder, "pages"), path)
-    captures = resolve_revisits(assemble_captures(read_warc(spark, path, with_payload=False)))
+    # The archives are parsed once, and written captures let a join split those that refer to one popular payload.
+    records = written(read_warc(spark, path, with_payload=False), "warc-records")
+    captures = resolve_revisits(written(assemble_captures(records), "captures"))
     page = lambda name: F.col(name)[0]["fields"]["page-id"].cast("long")
     return captures.select(
         page("metadata").alias("page_id"), "payload_bytes", F.col("response.payload_digest").alias("payload_digest"),
