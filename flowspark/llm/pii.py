@@ -6,10 +6,17 @@ pointwise mutual information of word and entity as a share of the entity's infor
 documents.  Counts are smoothed: an entity's prior is the rate of its group (an email's domain, else its kind), the
 group's is the word's rate in the corpus, so that an entity of one document gets an estimate too.  From a first share
 on a revealing word is generalised, from a second on it is removed.
+
+Rarity alone is no disclosure: in a large corpus any rare word beside an entity has a high share.  So a word counts only
+if chance would hardly do the same.  With b the documents that both share, words as rare or rarer than this one would
+meet that entity in b documents or more about (u / N) ** b / b! * sum(f ** b) times, summed over those words' document
+frequencies f, where u is the entity's documents, each weighed by its number of distinct words against the mean.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}{3,}"
 PRIOR = 1.0  # documents that a prior counts as
 GENERALISE, REMOVE = 0.6, 0.9
+BY_CHANCE = 0.05  # words that chance may tie to an entity
+MEETINGS = 4  # shared documents that are told apart; more count as four
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[WORD]", "remove": ""}
 
 MATCH = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -128,26 +137,42 @@ def disclosure(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(``entity``, ``term``) -> ``share``: mutual information as a share of the entity's information content.
 
     All counts are of documents (rows), whole, over the whole corpus; terms are those of documents with the entity.
+    Terms that chance would tie to the entity as well are left out.
     """
-    total = documents.agg(F.count("*").alias("total"))
+    total = F.lit(documents.count())
     terms = documents.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("saying"))
+    terms = written(terms, "terms")
+    # Sums over all terms up to a document frequency; there are few frequencies, about the root of the corpus's words.
+    tiers = terms.groupBy("saying").agg(F.count("*").cast("double").alias("terms"))
+    upto = Window.orderBy("saying").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    powers = [F.sum(F.col("terms") * F.pow(F.col("saying").cast("double"), F.lit(b))).over(upto).alias(f"m{b}") for b in range(1, MEETINGS + 1)]
+    terms = terms.join(tiers.select("saying", *powers), "saying")
+    said = F.lit(tiers.agg(F.sum(F.col("terms") * F.col("saying"))).first()[0] or 0.0)
     every = F.concat(*[each(k, lambda m, _: F.struct(m["entity"].alias("entity"), m["group"].alias("group"))) for k in KINDS])
     held = found.where(F.col("text").isNotNull()).select("text", F.array_distinct(every).alias("held"))
+    held = written(held.select("held", words_of(F.col("text")).alias("words")), "entity-words")
 
     def counted(name: str) -> tuple[DataFrame, DataFrame]:
         """Documents of each key, and of each key and term."""
-        keys = held.select("text", F.explode(F.array_distinct(F.transform("held", lambda h: h[name]))).alias(name))
-        both = keys.select(name, F.explode(words_of(F.col("text"))).alias("term")).groupBy(name, "term").agg(F.count("*").alias(f"{name}_both"))
-        return keys.groupBy(name).agg(F.count("*").alias(f"{name}_holding")), both
+        keys = held.select("words", F.explode(F.array_distinct(F.transform("held", lambda h: h[name]))).alias(name))
+        both = keys.select(name, F.explode("words").alias("term")).groupBy(name, "term").agg(F.count("*").alias(f"{name}_both"))
+        return keys.groupBy(name).agg(F.count("*").alias(f"{name}_holding"), F.sum(F.size("words").cast("double")).alias(f"{name}_words")), both
 
     (entities, pairs), (groups, grouped) = counted("entity"), counted("group")
     of = held.select(F.explode("held").alias("h")).select("h.entity", "h.group").distinct()
     pairs = pairs.join(of.join(entities, "entity").join(groups, "group"), "entity")
-    joined = pairs.join(grouped, ["group", "term"]).join(terms, "term").join(F.broadcast(total))  # one row
-    rate = F.col("saying") / F.col("total")
+    joined = pairs.join(grouped, ["group", "term"]).join(terms, "term")
+    rate = F.col("saying") / total
     smooth = lambda name, prior: (F.col(f"{name}_both") + PRIOR * prior) / (F.col(f"{name}_holding") + PRIOR)
     mutual = F.log(smooth("entity", smooth("group", rate)) / rate)
-    content = F.log(F.col("total") / F.col("entity_holding"))
+    content = F.log(total / F.col("entity_holding"))
+    # The entity's documents, weighed by length, are entity_words / (said / total) of total: the total cancels out.
+    part = F.col("entity_words") / said
+    chance = F.lit(None).cast("double")
+    for b in range(MEETINGS, 0, -1):
+        tied = F.pow(part, F.lit(b)) / math.factorial(b) * F.col(f"m{b}")
+        chance = F.when(F.col("entity_both") >= b, tied) if b == MEETINGS else chance.when(F.col("entity_both") >= b, tied)
+    joined = joined.where(chance <= BY_CHANCE)
     return joined.select("entity", "term", F.when(content > 0, mutual / content).otherwise(0.0).alias("share"))
 
 

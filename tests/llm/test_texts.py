@@ -105,6 +105,27 @@ def test_revealing_words_of_rare_entities(documents_of):
     assert found == {1: ["Winterbottom"], 2: ["Oleander"]}
 
 
+@pytest.mark.parametrize("count", [600, 2400, 9600])
+def test_disclosure_is_not_rarity(documents_of, count):
+    """Planted names among words that are as rare but unrelated, at three sizes of the corpus: found, and little else is."""
+    rng = random.Random(count)
+    code = lambda n: "".join("abcdefghij"[int(c)] for c in f"{n:06d}")
+    rows, names = [], {}
+    for k in range(count):
+        words = ["the", "people", "write", "today"] + ["rare" + code(rng.randrange(count)) for _ in range(10)]
+        if k % 25 < 3:  # an address in three documents, each time beside its owner's name
+            owner = k // 25
+            names[k] = "name" + code(owner)
+            words += [names[k], f"{owner}@host{owner % 3}.example"]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    texts = dict(rows)
+    marked = {r.doc_id: {texts[r.doc_id][t.start : t.end] for t in r.terms} for r in find_personal_data(documents_of(rows)).collect()}
+    right = sum(names[k] in marked[k] for k in names)
+    wrong = sum(len(marked[k] - {names.get(k)}) for k in marked)
+    assert right / len(names) > 0.95 and wrong / (right + wrong) < 0.05
+
+
 def test_personal_data_of_empty_table(documents_of):
     assert find_personal_data(documents_of([])).collect() == []
 
