@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.base import query, table, written
+from flowspark.llm.base import buckets_for, query, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java patterns of the kinds.  Possessive repeats and a start that is either a run's first character or the end of
@@ -38,6 +38,7 @@ TERM = r"\p{L}{3,}"
 PRIOR = 1.0  # documents that a prior counts as
 GENERALISE, REMOVE = 0.6, 0.9
 BY_CHANCE = 0.05  # words that chance may tie to an entity
+CROWDED, BUCKET = 32, 8_000_000  # document frequencies that many terms have, and bytes of terms in a bucket
 MEETINGS = 4  # shared documents that are told apart; more count as four
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[WORD]", "remove": ""}
 
@@ -146,7 +147,13 @@ def disclosure(documents: DataFrame, found: DataFrame) -> DataFrame:
     tiers = terms.groupBy("saying").agg(F.count("*").cast("double").alias("terms"))
     upto = Window.orderBy("saying").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     powers = [F.sum(F.col("terms") * F.pow(F.col("saying").cast("double"), F.lit(b))).over(upto).alias(f"m{b}") for b in range(1, MEETINGS + 1)]
-    terms = terms.join(tiers.select("saying", *powers), "saying")
+    # Most terms have the smallest frequencies, so these meet their sums in as many tasks as there are buckets.
+    buckets = buckets_for(terms, BUCKET)
+    rare = F.col("saying") <= CROWDED
+    dealt = F.when(rare, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    tiers_dealt = tiers.select("saying", *powers).withColumn("bucket", F.explode(dealt))
+    bucket = F.when(rare, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).otherwise(0)
+    terms = terms.withColumn("bucket", bucket).join(tiers_dealt, ["saying", "bucket"]).drop("bucket")
     said = F.lit(tiers.agg(F.sum(F.col("terms") * F.col("saying"))).first()[0] or 0.0)
     every = F.concat(*[each(k, lambda m, _: F.struct(m["entity"].alias("entity"), m["group"].alias("group"))) for k in KINDS])
     held = found.where(F.col("text").isNotNull()).select("text", F.array_distinct(every).alias("held"))
