@@ -7,18 +7,20 @@ import io
 import json
 import posixpath
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.expr import HEADER_ALIASES, quoted, strip
-from flowspark.session import collect_bounded, local_table, ship_package
+from flowspark.session import local_table
 
 FORMATS = ("csv", "parquet")
+OPEN_FILES = 32  # headers and footers read at a time
+HEADER_BYTES = 16 << 20  # longest header line
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -173,25 +175,36 @@ class StagedOutput:
         return False
 
 
-def _open(path: str):
-    from pyarrow import fs
+def _read_each(paths: Sequence[str], read) -> list:
+    """``read`` of every path, in order, a bounded number of files open at a time."""
+    if not paths:
+        return []
+    with ThreadPool(min(OPEN_FILES, len(paths))) as pool:
+        return pool.map(read, paths, chunksize=1)
 
-    if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system, inner
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """First line of a text file, decompressed as its suffix says.
 
-def _first_line(path: str, block: int = 1 << 16) -> str:
-    system, inner = _open(path)
-    with system.open_input_stream(inner) as stream:
-        data = b""
-        while b"\n" not in data:
-            more = stream.read(block)
-            if not more:
-                break
-            data += more
-    return data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+    The file is opened by the file system that Hadoop has for its scheme, with the
+    session's credentials, and closed after one buffer or as many as the line needs.
+    """
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    try:
+        fs, target = _hadoop(spark, path)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(target)
+        stream = fs.open(target)
+        try:
+            plain = stream if codec is None else codec.createInputStream(stream)
+            line = jvm.org.apache.hadoop.io.Text()
+            jvm.org.apache.hadoop.util.LineReader(plain, 1 << 16).readLine(line, HEADER_BYTES, HEADER_BYTES)
+        finally:
+            stream.close()
+    except Py4JJavaError as error:
+        raise OSError(f"The header of {path} cannot be read: {error.java_exception}") from error
+    if line.getLength() >= HEADER_BYTES:
+        raise ValueError(f"The first line of {path} does not end within {HEADER_BYTES} bytes.")
+    return line.toString().removeprefix("\ufeff")
 
 
 def number_repeats(names: Sequence[str]) -> list[str]:
@@ -212,37 +225,46 @@ def number_repeats(names: Sequence[str]) -> list[str]:
     return result
 
 
-def _header_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        lines = [_first_line(p) for p in batch["path"]]
-        columns = [number_repeats(next(csv.reader(io.StringIO(line)), [])) for line in lines]
-        yield pd.DataFrame({"path": batch["path"], "columns": columns})
-
+def csv_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, columns) from the first line of each file; an empty file has no columns."""
+    lines = _read_each(paths, lambda path: _first_line(spark, path))
+    parsed = {line: number_repeats(next(csv.reader(io.StringIO(line)), [])) for line in set(lines)}
+    rows = [(path, parsed[line]) for path, line in zip(paths, lines)]
+    return local_table(spark, rows, "path string, columns array<string>")
 
-def _schema_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.parquet as pq
 
-    for batch in batches:
-        columns, kinds = [], []
-        for path in batch["path"]:
-            system, inner = _open(path)
-            schema = pq.read_schema(inner, filesystem=system)
-            columns.append(list(schema.names))
-            kinds.append(str(schema.remove_metadata()))
-        yield pd.DataFrame({"path": batch["path"], "columns": columns, "kind": kinds})
+def parquet_schema(spark: SparkSession, path: str):
+    """The schema in a Parquet file's footer; the row groups that it lists are not looked at."""
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    parquet = jvm.org.apache.parquet
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        source = parquet.hadoop.util.HadoopInputFile.fromPath(target, settings)
+        no_groups = parquet.format.converter.ParquetMetadataConverter.SKIP_ROW_GROUPS
+        options = parquet.HadoopReadOptions.builder(settings).withMetadataFilter(no_groups).build()
+        reader = parquet.hadoop.ParquetFileReader.open(source, options)
+        try:
+            return reader.getFileMetaData().getSchema()
+        finally:
+            reader.close()
+    except Py4JJavaError as error:
+        raise OSError(f"The footer of {path} cannot be read: {error.java_exception}") from error
 
 
-def _path_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Paths for the workers to open; they get the package first."""
-    ship_package(spark)
-    table = local_table(spark, [(p,) for p in paths], "path string")
-    slices = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
-    return table.repartition(slices)
+def schema_groups(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, paths) of the Parquet files with equal columns, by first path."""
 
+    def described(path: str) -> tuple[str, object]:
+        schema = parquet_schema(spark, path)
+        # The first line names the writer's message, not a column.
+        return schema.toString().split("\n", 1)[1], schema
 
-def csv_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, columns) from the first line of each file; tasks stop reading there."""
-    return _path_table(spark, paths).mapInPandas(_header_batches, "path string, columns array<string>")
+    groups: dict[str, tuple[list[str], list[str]]] = {}
+    for path, (kind, schema) in zip(paths, _read_each(paths, described)):
+        if kind not in groups:
+            groups[kind] = ([field.getName() for field in schema.getFields()], [])
+        groups[kind][1].append(path)
+    return list(groups.values())
 
 
 def normalised_columns(columns="columns"):
@@ -331,16 +353,9 @@ def union_files(
     files = [p for p, _, _ in list_files(spark, raw if exists(spark, raw) else folder, ".parquet")]
     if not files:
         raise FileNotFoundError(f"The folder {folder} holds no Parquet file.")
-    footers = _path_table(spark, files).mapInPandas(
-        _schema_batches, "path string, columns array<string>, kind string"
-    )
-    groups: dict[str, list] = {}
-    for row in collect_bounded(footers, "File list", bound=2_000_000):
-        groups.setdefault(row["kind"], []).append(row)
     combined = None
-    for members in groups.values():
-        names = members[0]["columns"]
-        part = spark.read.parquet(*sorted(m["path"] for m in members))
+    for names, members in schema_groups(spark, files):
+        part = spark.read.parquet(*members)
         extra = {}
         if not {"Label", "label"} & set(names):
             extra["Label"] = attack_name()

@@ -204,6 +204,49 @@ def test_preflight_report_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "schema_preflight")).count() == 1
 
 
+def test_headers_come_through_the_registered_file_system(spark, tmp_path):
+    import gzip
+
+    conf = spark._jsc.hadoopConfiguration()
+    # A scheme that only Hadoop knows: a view of this folder.
+    conf.set("fs.viewfs.impl", "org.apache.hadoop.fs.viewfs.ViewFileSystem")
+    conf.set("fs.viewfs.mounttable.flows.link./exports", f"file://{tmp_path}")
+    try:
+        (tmp_path / "bom.csv").write_bytes("\ufeffa,\"b,c\",a\r\n1,2,3\r\n".encode())
+        (tmp_path / "empty.csv").write_bytes(b"")
+        (tmp_path / "no end.csv").write_bytes(b"x,y")
+        (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"p,q\n1,2\n"))
+        root = "viewfs://flows/exports"
+        names = ["bom.csv", "empty.csv", "no end.csv", "packed.csv.gz"]
+        found = {r.path: list(r["columns"]) for r in files.csv_headers(spark, [f"{root}/{n}" for n in names]).collect()}
+        assert found == {
+            f"{root}/bom.csv": ["a", "b,c", "a.1"], f"{root}/empty.csv": [],
+            f"{root}/no end.csv": ["x", "y"], f"{root}/packed.csv.gz": ["p", "q"],
+        }
+        put(spark.range(3).coalesce(1), str(tmp_path), "DDoS_1.parquet")
+        put(spark.range(2).selectExpr("cast(id as int) as id", "'x' as Label").coalesce(1), str(tmp_path), "Bot_1.parquet")
+        made = files.union_files(spark, root, "source").orderBy("Label", "id").collect()
+        assert [(r.id, r.Label, r.source) for r in made] == [
+            (0, "DDoS", "DDoS"), (1, "DDoS", "DDoS"), (2, "DDoS", "DDoS"), (0, "x", "Bot"), (1, "x", "Bot"),
+        ]
+    finally:
+        conf.unset("fs.viewfs.mounttable.flows.link./exports")
+        conf.unset("fs.viewfs.impl")
+
+
+def test_header_faults_name_the_file(spark, tmp_path, monkeypatch):
+    with pytest.raises(OSError, match="gone.csv"):
+        files.csv_headers(spark, [str(tmp_path / "gone.csv")])
+    (tmp_path / "damaged.parquet").write_bytes(b"no footer here")
+    with pytest.raises(OSError, match="damaged.parquet"):
+        files.union_files(spark, str(tmp_path))
+    monkeypatch.setattr(files, "HEADER_BYTES", 64)
+    (tmp_path / "long.csv").write_text("a" * 100)
+    with pytest.raises(ValueError, match="does not end"):
+        files.csv_headers(spark, [str(tmp_path / "long.csv")])
+    assert files.csv_headers(spark, []).count() == 0
+
+
 def test_workers_find_the_package_from_any_folder(tmp_path):
     (tmp_path / "flows.csv").write_text("flow,label\n1,x\n")
     script = f"""
