@@ -115,6 +115,24 @@ def schema_preflight(spark, folder):
     return files.inspect_headers(files.csv_headers(spark, good + poor), CURRENT)
 
 
+# What the header report must say of exports that have all features and of those that lack them.
+FEATURES_SQL = ", ".join(f"'{c}'" for c in sorted(CURRENT))
+
+
+@query("preflight_report", f"""WITH {FLOW_SQL}, k AS (SELECT label IS NOT NULL AS labelled, list_sort([{FEATURES_SQL}]) AS needed FROM flow LIMIT 1)
+    SELECT len(needed) + 3 AS columns_found, -- row_id, copy, Label
+      labelled AS label_column_present, '' AS missing_required_features, 0 AS missing_feature_count,
+      '' AS duplicate_normalized_columns, labelled AS schema_compatible FROM k
+    UNION ALL SELECT 3, labelled, array_to_string(needed, '; '), len(needed), '', false FROM k""")
+def preflight_report(spark, folder):
+    """The distinct reports of two folders of exports, read from their headers."""
+    reports = []
+    for rows in (old_style(spark, folder), flow(spark, folder).select("row_id", "l_quantity", "label")):
+        _, paths = export_csv(rows, "preflight")
+        reports.append(files.inspect_headers(files.csv_headers(spark, paths), CURRENT))
+    return reports[0].unionByName(reports[1]).drop("file").distinct()
+
+
 def export_parquet(df, target, prefix):
     """Parquet files ``<prefix>_<n>.parquet`` in one folder."""
     spark = df.sparkSession
