@@ -120,9 +120,9 @@ FEATURES_SQL = ", ".join(f"'{c}'" for c in sorted(CURRENT))
 
 
 @query("preflight_report", f"""WITH {FLOW_SQL}, k AS (SELECT label IS NOT NULL AS labelled, list_sort([{FEATURES_SQL}]) AS needed FROM flow LIMIT 1)
-    SELECT len(needed) + 3 AS columns_found, labelled AS label_column_present, '' AS missing_required_features, 0 AS missing_feature_count,
+    SELECT CAST(len(needed) + 3 AS INT) AS columns_found, labelled AS label_column_present, '' AS missing_required_features, 0 AS missing_feature_count,
       '' AS duplicate_normalized_columns, labelled AS schema_compatible FROM k
-    UNION ALL SELECT 3, labelled, array_to_string(needed, '; '), len(needed), '', false FROM k""")
+    UNION ALL SELECT 3, labelled, array_to_string(needed, '; '), CAST(len(needed) AS INT), '', false FROM k""")
 def preflight_report(spark, folder):
     """The distinct reports of two folders of exports, read from their headers."""
     reports = []
