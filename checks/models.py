@@ -1,5 +1,7 @@
 """Training, scoring, importance, search and cross-validation on the whole flow view."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from checks.base import FEATURES, FLOW_SQL, flow, query, rounded
@@ -78,6 +80,23 @@ def smote(spark, folder):
     return balanced(scaled, FEATURES, "label", "row_id")
 
 
+@query("smote_counts", f"""WITH {FLOW_SQL}, k AS (SELECT label, count(*) AS n FROM flow GROUP BY label), most AS (SELECT max(n) AS m FROM k)
+    SELECT label, false AS synthetic, n AS made, n AS with_id, CAST(0 AS BIGINT) AS outside FROM k
+    UNION ALL SELECT label, true, m - n, 0, 0 FROM k, most WHERE m > n""")
+def smote_counts(spark, folder):
+    """Rows of each class after balancing, those with an id, and those outside the box of their class."""
+    made = smote(spark, folder)
+    box = made.where("NOT synthetic").groupBy("label").agg(
+        *[f(c).alias(f"{f.__name__}_{c}") for c in FEATURES for f in (F.min, F.max)]
+    )
+    # A hair of slack for the last digit of the interpolation.
+    inside = [F.col(c).between(F.col(f"min_{c}") - 1e-12, F.col(f"max_{c}") + 1e-12) for c in FEATURES]
+    outside = F.count_if(~functools.reduce(lambda a, b: a & b, inside))
+    return made.join(box, "label").groupBy("label", "synthetic").agg(
+        F.count("*").alias("made"), F.count("row_id").alias("with_id"), outside.alias("outside")
+    )
+
+
 # A planted rule: what a model must find is known, so that SQL can state its answers.
 PLANTED = "CAST(CASE WHEN l_quantity > 25 AND l_discount > 45e-3 THEN 1 ELSE 0 END AS INT)"
 PLANTED_SQL = f"{FLOW_SQL}, planted AS (SELECT * EXCLUDE (label), {PLANTED} AS label FROM flow)"
