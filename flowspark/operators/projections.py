@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.session import materialize, ship_package
+from flowspark.session import materialize, scratch_path, ship_package
+from flowspark.sources.files import delete
 
 TREES = 8  # grown at a time
 MAX_TREES = 64
@@ -140,11 +141,14 @@ def pairs(ids: np.ndarray, queries: np.ndarray, points: pd.DataFrame, x: np.ndar
     return made[made["_m"] > 0]
 
 
-def _grow(flagged: DataFrame, sample: np.ndarray, cells: int, first: int, k: int) -> DataFrame:
-    """Pairs of queries and points that meet in a leaf of the trees ``first``, ``first + 1``, ..."""
-    context = flagged.sparkSession.sparkContext
+def _grow(flagged: DataFrame, sample: np.ndarray, cells: int, first: int, k: int, path: str) -> DataFrame:
+    """Pairs of queries and points that meet in a leaf of the trees ``first``, ``first + 1``, ...
+
+    ``path`` is where the points are written under their cells; the pairs are computed from there.
+    """
+    spark = flagged.sparkSession
     trees = [fit_tree(sample, cells, np.random.default_rng(first + t)) for t in range(TREES)]
-    shared = context.broadcast(trees)
+    shared = spark.sparkContext.broadcast(trees)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,8 +158,9 @@ def _grow(flagged: DataFrame, sample: np.ndarray, cells: int, first: int, k: int
                     yield batch.assign(_tree=first + number, _cell=cell_of(tree, x))
 
     schema = "_pid bigint, _x array<double>, _m bigint, _q boolean, _tree bigint, _cell bigint"
-    placed = materialize(flagged.mapInPandas(assign, schema), "leaves")
+    flagged.mapInPandas(assign, schema).write.parquet(path)
     shared.destroy()
+    placed = spark.read.schema(schema).parquet(path)
     # A cell that outgrows a task is dealt out: that costs recall, which is measured, and no rows.
     lots = placed.groupBy("_tree", "_cell").agg(F.ceil(F.count("*") / CELL_POINTS).alias("_lots"))
     dealt = placed.join(lots, ["_tree", "_cell"]).withColumn("_lot", F.pmod(F.xxhash64("_pid", "_tree"), F.col("_lots")))
@@ -237,10 +242,16 @@ def forest_neighbours(points: DataFrame, queries: DataFrame, k: int) -> DataFram
         sample = flagged.select("_x").limit(1).toPandas()
     checked = flagged.where("_q").orderBy(F.xxhash64("_pid"), "_pid").select("_pid", "_x").limit(CHECKED).toPandas()
     radius = true_radius(flagged, checked, k)
-    best = None
+    best, kept = None, None
     for first in range(0, MAX_TREES, TREES):
-        found = _grow(flagged, matrix(sample["_x"]), cells, first, k)
-        best = materialize(_best(found if best is None else best.unionByName(found), k), "nearest")
+        leaves, written = scratch_path(spark, "leaves"), scratch_path(spark, "nearest")
+        found = _grow(flagged, matrix(sample["_x"]), cells, first, k, leaves)
+        _best(found if best is None else best.unionByName(found), k).write.parquet(written)
+        best = spark.read.schema(FOUND).parquet(written)
+        # What the new table was made of is not needed again.
+        for path in filter(None, (leaves, kept)):
+            delete(spark, path)
+        kept = written
         if recall_of(best, radius, k) >= RECALL:
             vectors = flagged.select(F.col("_pid").alias("_n"), F.col("_x").alias("_v"))
             near = F.array_sort(F.collect_list(F.struct("_d", "_n", "_v", "_m")))
