@@ -118,3 +118,36 @@ def test_random_cosines_stand_for_the_kernel():
         z = kernels.mapped(x, np.zeros(5), np.ones(5), np.sqrt(2 * gamma) * rng.normal(size=(5, components)), rng.uniform(0, 2 * np.pi, components))
         errors.append(np.sqrt(np.mean((z @ z.T - exact) ** 2)))
     assert all(e < 1.5 / np.sqrt(c) for e, c in zip(errors, (128, 512, 2048)))
+
+
+def test_equal_rows_are_one_row_with_a_count(wavy):
+    twice = wavy.unionByName(wavy).unionByName(wavy.where("id % 2 = 0"))
+    edges = trees.fit_bins(wavy, ["a", "b", "c"])
+    once, more = (trees.binned(df, ["a", "b", "c"], "label", edges) for df in (wavy, twice))
+    assert sum(r.n for r in more.collect()) == sum(r.n for r in once.collect())
+    assert trees._class_counts(more)[0] == {(0, y): n for y, n in ((r.label, r["count"]) for r in twice.groupBy("label").count().collect())}
+    p = models.resolve_parameters("gbt", {"n_estimators": 5, "subsample": 1.0, "colsample_bytree": 1.0})
+    weights = [m.weight[m.roots[0]] for m in (trees.fit_boosted(b, edges, {0: (p, 0)})[0] for b in (once, more))]
+    zeros, ones = (twice.where(f"label = {y}").count() for y in (0, 1))
+    assert weights[1] > 2 * weights[0] and weights[1] == pytest.approx(zeros * ones / (zeros + ones))
+
+
+def test_a_written_forest_scores_as_one_in_memory(wavy, monkeypatch):
+    p = {"n_estimators": 9, "max_depth": 8}
+    held = models.train(wavy, ["a", "b", "c"], "random_forest", p)
+    monkeypatch.setattr(trees, "HELD_NODES", 10)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 1 << 12)
+    written = models.train(wavy, ["a", "b", "c"], "random_forest", p)
+    assert isinstance(written.fitted, trees.Stored)
+    a, b = scores(wavy, held), scores(wavy, written)
+    assert len(a) == len(b) == 3000 and max(abs(a[k] - b[k]) for k in a) < 1e-9
+    assert np.allclose(trees.importances(held.fitted, 3, False), trees.importances(written.fitted, 3, False))
+
+
+def test_left_out_rows_are_scored_with_their_numbers(wavy, monkeypatch):
+    twice = wavy.unionByName(wavy.withColumn("id", wavy.id + 5000))
+    _, report = models.randomized_search(twice, ["a", "b", "c"], "label", "id", "random_forest", iterations=1, space={"n_estimators": [5], "max_depth": [6]})
+    monkeypatch.setattr(trees, "HELD_NODES", 10)
+    _, again = models.randomized_search(twice, ["a", "b", "c"], "label", "id", "random_forest", iterations=1, space={"n_estimators": [5], "max_depth": [6]})
+    a, b = (r.first().mean_average_precision for r in (report, again))
+    assert 0.85 < a < 1 and a == pytest.approx(b, abs=1e-9)
