@@ -151,3 +151,11 @@ def test_left_out_rows_are_scored_with_their_numbers(wavy, monkeypatch):
     _, again = models.randomized_search(twice, ["a", "b", "c"], "label", "id", "random_forest", iterations=1, space={"n_estimators": [5], "max_depth": [6]})
     a, b = (r.first().mean_average_precision for r in (report, again))
     assert 0.85 < a < 1 and a == pytest.approx(b, abs=1e-9)
+
+
+def test_a_machine_sees_each_distinct_row_once(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id", "cast(id % 10 as double) AS a", "cast(id % 7 as double) AS b", "cast(id % 10 > 4 as int) AS label")
+    seen = []
+    monkeypatch.setattr(kernels, "materialize", lambda table, name: seen.append((name, table.count())) or table.cache())
+    model = models.train(df, ["a", "b"], "svm")
+    assert seen == [("machine-rows", 70), ("margins", 70)] and models.accuracy(df, model) == 1.0
