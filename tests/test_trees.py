@@ -159,3 +159,14 @@ def test_a_machine_sees_each_distinct_row_once(spark, monkeypatch):
     monkeypatch.setattr(kernels, "materialize", lambda table, name: seen.append((name, table.count())) or table.cache())
     model = models.train(df, ["a", "b"], "svm")
     assert seen == [("machine-rows", 70), ("margins", 70)] and models.accuracy(df, model) == 1.0
+
+
+def test_a_written_forest_is_saved_and_loaded(wavy, monkeypatch, tmp_path):
+    from flowspark.operators.scale import fit_scaler
+    from flowspark.plans.artifact import Artifact, load_artifact, save_artifact
+
+    monkeypatch.setattr(trees, "HELD_NODES", 10)
+    model = models.train(wavy, ["a", "b", "c"], "random_forest", {"n_estimators": 3, "max_depth": 4})
+    artifact = Artifact(model, fit_scaler(wavy, ["a", "b", "c"]), ("a", "b", "c"), 0.5, "v")
+    again = load_artifact(wavy.sparkSession, save_artifact(wavy.sparkSession, artifact, str(tmp_path / "run"))).model
+    assert isinstance(again.fitted, trees.Stored) and scores(wavy, again) == pytest.approx(scores(wavy, model))
