@@ -112,6 +112,45 @@ def test_smote_neighbours_are_exact(spark, monkeypatch):
         assert np.allclose(np.sort(((found[i] - p) ** 2).sum(axis=1)), nearest)
 
 
+def test_smote_finds_touched_cells_from_the_top_down(monkeypatch):
+    import numpy as np
+
+    from flowspark.operators import smote
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((3000, 3)), 2)
+    nodes = smote._split_cells(x, 150)
+    cell = smote._cell_of(nodes, x)
+    low, high = (np.array([f(x[cell == c], axis=0) if (cell == c).any() else np.full(3, np.inf) for c in range(len(nodes))]) for f in (np.min, np.max))
+    limit = rng.random(3000) ** 4
+    limit[5] = np.inf
+    gap = np.maximum(np.maximum(low[None] - x[:, None], x[:, None] - high[None]), 0.0)
+    gap[:, np.isinf(low).any(axis=1)] = np.inf
+    with np.errstate(invalid="ignore"):
+        expected = {(r, c) for r, c in zip(*np.nonzero((gap**2).sum(axis=2) <= limit[:, None])) if np.isfinite(low[c]).all()}
+    monkeypatch.setattr(smote, "MAX_FRONTIER", 4000)
+    rows, cells = smote._touched([np.array(part) for part in zip(*nodes)], low, high, x, limit)
+    assert {(r, c) for r, c in zip(rows.tolist(), cells.tolist()) if np.isfinite(low[c]).all()} == expected
+    assert len(rows) == len(set(zip(rows.tolist(), cells.tolist())))
+
+
+def test_smote_distances_far_from_the_origin_are_exact():
+    import numpy as np
+
+    from flowspark.operators import smote
+
+    # Neighbours 1e-3 apart, clusters 1e6 apart: a product of matrices alone would round them away.
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 1e-3 * rng.random((60, 2)) for c in (-1e6, 0.0, 1e6)])
+    ids, ones = np.arange(len(x)), np.ones(len(x), np.int64)
+    squared = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    limit = smote._bounds(ids, x, ids, x, ones, 5)
+    assert (limit >= np.sort(squared, axis=1)[:, 5]).all()
+    own, hit, found = smote._within(x, x, limit, 12)
+    for i in range(len(x)):
+        assert np.array_equal(np.sort(found[own == i])[:6], np.sort(squared[i])[:6])
+
+
 def test_smote_balances_between_minority_rows(spark):
     from flowspark.operators.split import balance
 
