@@ -170,3 +170,45 @@ def test_a_written_forest_is_saved_and_loaded(wavy, monkeypatch, tmp_path):
     artifact = Artifact(model, fit_scaler(wavy, ["a", "b", "c"]), ("a", "b", "c"), 0.5, "v")
     again = load_artifact(wavy.sparkSession, save_artifact(wavy.sparkSession, artifact, str(tmp_path / "run"))).model
     assert isinstance(again.fitted, trees.Stored) and scores(wavy, again) == pytest.approx(scores(wavy, model))
+
+
+def _coded(rows=4000, seed=3):
+    rng = np.random.default_rng(seed)
+    bins = [40, 256, 9, 3]
+    codes = np.stack([rng.integers(0, b, rows).astype(np.uint8) for b in bins])
+    label = (rng.random(rows) < 0.1 + 0.5 * (codes[0] > 20) * (codes[2] > 4) + 0.001 * codes[1]).astype(np.uint8)
+    return bins, trees.Block(codes, label, np.zeros(rows, np.uint8), rng.integers(1, 4, rows).astype(np.uint32))
+
+
+@pytest.mark.parametrize("depth", [1, 5, 8])
+def test_smaller_children_give_the_same_boosted_trees(monkeypatch, depth):
+    bins, block = _coded()
+    p = models.check_parameters("gbt", {"n_estimators": 5, "max_depth": depth})
+    summed = []
+    whole = trees._grow_boosted
+    monkeypatch.setattr(trees, "_grow_boosted", lambda *a: summed.append(1) or whole(*a))
+    quick = trees.boost([(0, block)], bins, p, -1.0)
+    assert len(summed) == 5
+    monkeypatch.setattr(trees, "MOST_SUMS", 0)
+    for a, b in zip(quick, trees.boost([(0, block)], bins, p, -1.0)):
+        assert a.feature == b.feature and a.cut == b.cut and a.low == b.low and a.high == b.high
+        assert np.allclose(a.value, b.value) and np.allclose(a.weight, b.weight)
+    assert len(summed) == 5
+
+
+@pytest.mark.parametrize("depth", [5, 9])
+def test_scorer_scores_as_the_walk_does(depth):
+    bins, block = _coded()
+    p = models.check_parameters("gbt", {"n_estimators": 5, "max_depth": depth})
+    grown = trees.boost([(0, block)], bins, p, -1.0)
+    edges = [np.arange(b - 1.0) for b in bins]
+    model = trees._ensemble([trees._node_rows(0, t, range(len(x.feature)), x) for t, x in enumerate(grown)], edges, -1.0)[0]
+    scorer = trees.Scorer(model)
+    assert (len(scorer.walked) == 0) == (depth == 5)
+    x = block.codes.T.astype(float)
+    x[::7, 1], x[3, 0], x[4, 0] = np.nan, np.inf, -np.inf
+    for rows in (x[:1000], x, x[::-1]):
+        assert np.allclose(scorer.total(rows), model.total(rows), rtol=0, atol=1e-12)
+    # Rows whose codes were met before are not walked again.
+    scorer.model = None
+    assert depth == 5 or len(scorer.total(x)) == len(x)
