@@ -310,3 +310,18 @@ def test_nan_and_infinity_are_gaps(spark):
     assert filled[30] == filled[31] == filled[32] == 2.0
     carried = {r.k: r.v for r in clean.handle_missing(df, ["v"], "forward_fill", order_by=["k"]).collect()}
     assert carried[30] == carried[31] == carried[32] == 4.0
+
+
+def test_rows_are_not_dealt_by_their_category(spark):
+    from flowspark.operators.features import network_features
+
+    rows = spark.createDataFrame([(i, "b" if i % 10 else "a" if i % 20 else None) for i in range(100)], "id int, protocol string")
+    # What a cluster sees whose tables have no known size: only a local list may be sent to the rows.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = network_features(rows, ["id"])
+        assert "Exchange hashpartitioning" not in coded._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.protocol for r in coded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: 1 if i % 10 else 0 if i % 20 else -1 for i in range(100)}
