@@ -307,3 +307,16 @@ def test_missing_label_texts_are_dropped(spark, tmp_path):
     prepared, counts = flowcsv.prepare_external(flows, ["Packet Length Max"])
     assert sorted(tuple(r) for r in prepared.collect()) == [(2.0, 0), (5.0, 1)]
     assert counts.first().rows_dropped == 3
+
+
+def test_sorted_output_is_cut_into_bounded_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many.csv")
+    with open(path, "w") as f:
+        f.write(",".join(NEEDED) + "\n" + "".join(",".join([str(i)] * len(NEEDED)) + "\n" for i in range(1000)))
+    monkeypatch.setattr(scoring, "RANGE_ROWS", 100)
+    output = str(tmp_path / "out")
+    done = scoring.score_flow_files(spark, [path], output, NEEDED, SCORER, 0.26, "v", format="parquet")
+    assert done["rows_read"] == 1000
+    parts = [spark.read.parquet(p).select("source_row").collect() for p in sorted(str(p) for p in (tmp_path / "out").glob("part-*.parquet"))]
+    assert len(parts) >= 8 and max(len(p) for p in parts) <= 250
+    assert [r[0] for p in parts for r in p] == list(range(1000))
