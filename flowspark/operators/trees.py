@@ -766,7 +766,8 @@ def fit_forest(blocks: DataFrame, edges: list[np.ndarray], fits: Mapping[int, tu
     """Random forests of several fits at once: number -> (parameters, fold left out, 0 for none).
 
     Every tree draws rows with replacement (Poisson counts by tree and block).  The top of a tree, down to nodes of
-    ``LOCAL_ROWS`` rows, is split by summed histograms; then each node's rows go to one task, which grows the rest.
+    ``LOCAL_ROWS`` distinct rows, is split by summed histograms of the features drawn; then each node's rows go to one task,
+    which grows the rest.  Nodes of the top that cannot be split any more are done there.
     """
     bins, starts = [len(e) + 1 for e in edges], np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])])
     classes, rows = _class_counts(blocks)
@@ -790,55 +791,73 @@ def fit_forest(blocks: DataFrame, edges: list[np.ndarray], fits: Mapping[int, tu
         own = np.flatnonzero(count)
         return own, _walk(b.codes[:, own], top), count[own]
 
+    settled: dict[tuple[int, int], set[int]] = {x: set() for x in trees}  # leaves of the tops: their rows go nowhere
+    others: set[tuple[tuple[int, int], int]] = set()  # nodes that the features drawn for them did not split
+
+    def tried(x: tuple[int, int], node: int, others=others) -> np.ndarray:
+        allowed = _drawer(fits[x[0]][0], len(bins), (x[1], node))(1)[0]
+        return np.flatnonzero(~allowed if (x, node) in others else allowed)
+
     while large:
         asked = {x: {node: i for i, node in enumerate(nodes)} for x, nodes in large.items()}
         now = {x: tops[x] for x in asked}
+        use = {(x, i): tried(x, node) for x, nodes in large.items() for i, node in enumerate(nodes)}
 
-        def histograms(row, asked=asked, now=now):
+        def histograms(row, asked=asked, now=now, use=use):
+            """For every node asked for and each bin: rows of class 0, of class 1, and distinct ones."""
             b, out = _block(row.n, row.codes, row.label, row.fold, row.count_), []
             for x, slots in asked.items():
                 own, at, count = placed(b, row.block, x, now[x])
                 names = np.full(len(now[x].feature), -1)
                 names[list(slots)] = list(slots.values())
-                inside = np.flatnonzero(names[at] >= 0)
-                slot, w = names[at[inside]], count[inside] * np.array(weights[x[0]])[b.label[own[inside]]]
-                for s in np.unique(slot).tolist():
-                    mine = slot == s
+                slot = names[at]
+                for s in np.unique(slot[slot >= 0]).tolist():
+                    mine = slice(None) if len(names) == 1 else slot == s
+                    rows, n = own[mine], count[mine].astype(float)
+                    label = b.label[rows].astype(np.int64)
                     sums = np.zeros((3, starts[-1]))
-                    for f in range(len(bins)):
-                        key = starts[f] + b.codes[f][own[inside[mine]]].astype(np.int64)
-                        for i, v in enumerate((w * b.label[own[inside]], w, count[inside].astype(float))):
-                            sums[i] += np.bincount(key, v[mine], starts[-1])
+                    for f in use[x, s]:
+                        key, place = 2 * b.codes[f][rows].astype(np.int64) + label, slice(starts[f], starts[f + 1])
+                        sums[:2, place] = np.bincount(key, n, 2 * bins[f]).reshape(-1, 2).T
+                        sums[2, place] = np.bincount(key, None, 2 * bins[f]).reshape(-1, 2).sum(axis=1)
                     out.append(((x, s), sums))
             return out
 
-        def chosen(item, asked=asked):
+        def chosen(item, asked=asked, use=use):
             (x, s), sums = item
-            p, node = fits[x[0]][0], list(asked[x])[s]
-            totals = [v[: starts[1]].sum(keepdims=True) for v in sums]
-            allowed, best = _drawer(p, len(bins), (x[1], node))(1)[0], _nothing(1)
-            for f in np.argsort(~allowed, kind="stable"):
-                if not allowed[f] and best.feature[0] >= 0:
-                    break
-                parts = [v[starts[f] : starts[f + 1]] for v in sums]
-                at = np.flatnonzero(parts[1] > 0)
-                better_splits(best, int(f), bins[f], at, [v[at] for v in parts], totals, _forest_rules(p))
+            (zero, one), node, best = weights[x[0]], list(asked[x])[s], _nothing(1)
+            whole = sums[:, starts[use[x, s][0]] : starts[use[x, s][0] + 1]].sum(axis=1)
+            weighed = lambda c: [one * c[1], zero * c[0] + one * c[1], c[0] + c[1]]
+            for f in use[x, s]:
+                parts = sums[:, starts[f] : starts[f + 1]]
+                at = np.flatnonzero(parts[2] > 0)
+                better_splits(best, int(f), bins[f], at, weighed(parts[:, at]), weighed(whole[:, None]), _forest_rules(fits[x[0]][0]))
             f, cut = int(best.feature[0]), int(best.cut[0])
-            low = float(sums[2, starts[f] : starts[f] + cut + 1].sum()) if f >= 0 else 0.0
-            return x, node, [float(v[0]) for v in totals], f, cut, float(best.gain[0]), low
+            low = sums[:, starts[f] : starts[f] + cut + 1].sum(axis=1) if f >= 0 else np.zeros(3)
+            return x, node, whole.tolist(), f, cut, float(best.gain[0]), low.tolist()
 
         found, large = blocks.withColumnRenamed("count", "count_").rdd.flatMap(histograms).reduceByKey(np.add).map(chosen).collect(), {}
-        for x, node, (g, h, count), feature, cut, gain, low in sorted(found, key=lambda r: (r[0], r[1])):
-            top, p = tops[x], fits[x[0]][0]
-            top.value[node], top.weight[node] = _share(g, h), h
+        for x, node, whole, feature, cut, gain, low in sorted(found, key=lambda r: (r[0], r[1])):
+            top, p, (zero, one) = tops[x], fits[x[0]][0], weights[x[0]]
+            top.weight[node] = zero * whole[0] + one * whole[1]
+            top.value[node] = _share(one * whole[1], top.weight[node])
             depth = depths[x][node]
+            if feature < 0 and (x, node) not in others and depth < p["max_depth"] and whole[0] and whole[1] and _per_node(p, len(bins)) < len(bins):
+                others.add((x, node))
+                large.setdefault(x, []).append(node)
+                continue
             if feature < 0 or depth >= p["max_depth"]:
+                settled[x].add(node)
                 continue
             pair = [top.add(0.0, 0.0), top.add(0.0, 0.0)]
             top.split(node, feature, cut, gain, *pair)
-            for child, n in zip(pair, (low, count - low)):
+            for child, (n0, n1, distinct) in zip(pair, (low, [w - n for w, n in zip(whole, low)])):
                 depths[x][child] = depth + 1
-                if n > LOCAL_ROWS:
+                if not n0 or not n1 or depth + 1 >= p["max_depth"] or n0 + n1 < p["min_samples_split"]:
+                    top.weight[child] = zero * n0 + one * n1
+                    top.value[child] = _share(one * n1, top.weight[child])
+                    settled[x].add(child)
+                elif distinct > LOCAL_ROWS:
                     large.setdefault(x, []).append(child)
 
     def pieces(batches):
@@ -847,8 +866,10 @@ def fit_forest(blocks: DataFrame, edges: list[np.ndarray], fits: Mapping[int, tu
                 b = _block(r["n"], r["codes"], r["label"], r["fold"], r["count"])
                 out = []
                 for x in trees:
+                    if 0 in settled[x]:
+                        continue
                     own, at, count = placed(b, r["block"], x, tops[x])
-                    for node in np.unique(at).tolist():
+                    for node in sorted(set(np.unique(at).tolist()) - settled[x]):
                         mine = own[at == node]
                         out.append((x[0], x[1], node, r["block"], len(mine), b.codes[:, mine].tobytes(), b.label[mine].tobytes(), count[at == node].tobytes()))
                     if len(out) >= 16:
@@ -877,10 +898,10 @@ def fit_forest(blocks: DataFrame, edges: list[np.ndarray], fits: Mapping[int, tu
     nodes = blocks.mapInArrow(pieces, PIECES).groupBy("fit", "tree", "node").applyInArrow(below, NODES)
     upper = []
     for (k, t), top in tops.items():
-        inner = [i for i in range(len(top.feature)) if top.low[i] != i]
-        if inner:
+        ready = [i for i in range(len(top.feature)) if top.low[i] != i or i in settled[k, t]]
+        if ready:
             part = _node_rows(k, t, range(len(top.feature)), top)
-            upper.append(part.take(pa.array(inner)))
+            upper.append(part.take(pa.array(ready)))
     if upper:
         nodes = nodes.unionByName(blocks.sparkSession.createDataFrame(pa.Table.from_batches(upper)))
     nodes = materialize(nodes, "forest")

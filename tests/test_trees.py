@@ -212,3 +212,17 @@ def test_scorer_scores_as_the_walk_does(depth):
     # Rows whose codes were met before are not walked again.
     scorer.model = None
     assert depth == 5 or len(scorer.total(x)) == len(x)
+
+
+def test_repeated_rows_do_not_deepen_the_top_of_a_forest(spark, monkeypatch):
+    from pyspark import RDD
+
+    rounds, summed = [], RDD.reduceByKey
+    monkeypatch.setattr(RDD, "reduceByKey", lambda *a, **k: rounds.append(1) or summed(*a, **k))
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 30)
+    cells = [(float(a), float(b), int(a > 2 and b > 4)) for a in range(6) for b in range(8)]
+    df = spark.createDataFrame(cells * 200, "a double, b double, label int")
+    model = models.train(df, ["a", "b"], "random_forest", {"n_estimators": 4})
+    # 48 distinct rows are halved once or twice; each is drawn 200 times, so counting draws would go on to single cells.
+    assert len(rounds) <= 3
+    assert models.accuracy(df, model) == 1.0
