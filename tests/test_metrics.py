@@ -193,3 +193,24 @@ def test_fingerprint_ignores_order(spark):
     df = spark.range(100).selectExpr("id", "id * 2 AS v")
     assert governance.fingerprint(df).first() == governance.fingerprint(df.repartition(7).orderBy("v")).first()
     assert governance.fingerprint(df).first() != governance.fingerprint(df.where("id < 99")).first()
+
+
+def test_quantiles_of_groups_do_not_deal_rows_by_their_group(spark, monkeypatch):
+    from flowspark.functions import quantiles
+
+    plans, solve = [], quantiles._solve
+
+    def spy(sizes, brackets, listed, code, key_type):
+        plans.append(code(brackets)._jdf.queryExecution().executedPlan().toString())
+        return solve(sizes, brackets, listed, code, key_type)
+
+    monkeypatch.setattr(quantiles, "_solve", spy)
+    df = spark.range(1000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(id AS DOUBLE) AS v")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quantiles.group_quantiles(df, "g", "v", [0.5])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {"0": {0.5: 499.0}, "1": {0.5: 500.0}}
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
