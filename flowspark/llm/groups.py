@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.base import U64, batch, mix, numbers_of, written
 
+UNITED = 1 << 19  # links that a task unites at a time
+
 
 def _stars(batches):
     """Sorted (key, id) rows -> the members of every bucket with two distinct ids or more.
@@ -46,8 +48,8 @@ def bucket_members(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "key long, id long")
 
 
-def central_first(members: DataFrame) -> DataFrame:
-    """``rank`` of each member in its bucket: those with the most company over all buckets come first.
+def ranked_members(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members with their sketches and their ``rank`` in the bucket: those with the most company over all buckets come first.
 
     The text that others were made from agrees with each of them more often than they do among themselves, so
     it comes first in its buckets and links them in one round.
@@ -55,36 +57,76 @@ def central_first(members: DataFrame) -> DataFrame:
     company = members.groupBy("key").agg(F.count("*").alias("size"))
     weight = members.join(company, "key").groupBy("id").agg(F.sum("size").alias("weight"))
     order = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-    return members.join(weight, "id").withColumn("rank", F.row_number().over(order).cast("long")).select("key", "id", "rank")
+    known = members.join(weight, "id").join(sketches.select("id", *SKETCH_NAMES), "id")
+    return known.withColumn("rank", F.row_number().over(order).cast("long")).drop("weight")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links -> (id, smallest id that these links reach from it) of every id that is not the smallest itself."""
+    ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    place, root = place.reshape(2, -1), np.arange(len(ids))
+    while True:
+        low, high = np.sort(root[place], axis=0)
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[below], ids[root[below]]
+
+
+def _united(batches):
+    """Links as the stars of what ``UNITED`` of them connect at a time: they connect the same ids."""
+    held, rows = [], 0
+
+    def stars():
+        a, b = _forest(*(np.concatenate(side) for side in zip(*held)))
+        return batch(a=a, b=b)
+
+    for b in batches:
+        held.append((numbers_of(b.column(0)), numbers_of(b.column(1))))
+        rows += b.num_rows
+        if rows >= UNITED:
+            yield stars()
+            held, rows = [], 0
+    if held:
+        yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """Union-find by alternating stars: (``a``, ``b``) -> (``id``, ``label``), label the smallest id reachable.
 
-    Every round ties each id's neighbours to the smallest of them; a round moves at most as many rows as there
-    are links and combines minima before the shuffle.  Ids that no link names are absent.
+    Tasks unite the links they hold before and after every round, which leaves few rounds.  A round ties each id's
+    neighbours to the smallest of them; it moves at most as many rows as there are links and combines minima before the
+    shuffle.  Small tables are written as few files.  Ids that no link names are absent.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
-    seen = _print(edges)
-    while True:
+    edges = written(links.select("a", "b").where("a != b").mapInArrow(_united, "a long, b long"), "links")
+    while rows := _unsettled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "large-star")
+        large = written(_in_few(large, rows), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = written(small.select("e.a", "e.b").where("a != b").distinct(), "small-star")
-        before, seen, edges = seen, _print(after), after
-        if seen == before:
-            break
+        small = small.select("e.a", "e.b").where("a != b").distinct()
+        edges = written(_in_few(small, rows).mapInArrow(_united, "a long, b long"), "small-star")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(
-        edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
-    )
+        edges.select(F.col("b").alias("id"), F.col("b").alias("label"))
+    ).distinct()
+
+
+def _unsettled(edges: DataFrame) -> int:
+    """Number of the links, 0 if each id is tied to one label that is tied to none."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("label")), F.struct(F.col("b").alias("id"), F.col("b").alias("label"))))
+    each = edges.select(ends.alias("e")).groupBy("e.id").agg(F.count("*").alias("n"), F.min("e.label").alias("lo"), F.max("e.label").alias("hi"))
+    row = each.agg(F.sum("n").alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("open")).first()
+    return row.n // 2 if row.open else 0
 
 
-def _print(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row.n, row.s
+def _in_few(links: DataFrame, rows: int) -> DataFrame:
+    """As many partitions as so many links are worth."""
+    return links.coalesce(-(-rows // UNITED))
 
 
 def sketch_columns(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
@@ -130,7 +172,7 @@ def linked_components(members: DataFrame, sketches: DataFrame, percent: int, con
     """
     done, ahead, links, labels = 0, 1, None, None
     own = ["key", "id", "rank", *SKETCH_NAMES]
-    rest = written(central_first(members).join(sketches.select("id", *SKETCH_NAMES), "id").select(*own), "ranked-members").withColumn("label", F.col("id"))
+    rest = written(ranked_members(members, sketches).select(*own), "ranked-members").withColumn("label", F.col("id"))
     while True:
         pivots = rest.where((F.col("rank") > done) & (F.col("rank") <= ahead)).select(
             "key", F.col("id").alias("p"), F.col("rank").alias("p_rank"), F.col("label").alias("p_label"),
@@ -138,7 +180,7 @@ def linked_components(members: DataFrame, sketches: DataFrame, percent: int, con
         )
         both = rest.join(pivots, "key").where((F.col("rank") > F.col("p_rank")) & (F.col("label") != F.col("p_label")) & _may_be_similar(percent))
         pairs = both.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        found = written(confirm(written(pairs.distinct(), "pairs")), "confirmed")
+        found = written(confirm(pairs.distinct()), "confirmed")
         links = found if links is None else links.unionByName(found)
         if labels is None:
             labels = written(components(found), "labels")

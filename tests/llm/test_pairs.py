@@ -122,3 +122,18 @@ def test_bucket_members_cross_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted({(k % 5, k % 40) for k in range(200)})
+
+
+@pytest.mark.parametrize("united", [2, 1 << 19])
+def test_a_chain_needs_few_rounds(spark, monkeypatch, united):
+    from flowspark.llm import groups
+
+    rounds = []
+    monkeypatch.setattr(groups, "UNITED", united)
+    monkeypatch.setattr(groups, "written", lambda df, name, write=groups.written: rounds.append(name) or write(df, name))
+    links = [(i, i + 1) for i in range(40)] + [(60, 50), (50, 60), (70, 70), (80, 60)]
+    found = groups.components(spark.createDataFrame(links[::3] + links[1::3] + links[2::3], "a long, b long").repartition(4))
+    assert {r.id: r.label for r in found.collect()} == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 80: 50}
+    assert found.count() == 44
+    if united > 2:
+        assert rounds.count("large-star") <= 1
