@@ -28,7 +28,7 @@ from flowspark.session import materialize, ship_package
 BINS = 256
 BLOCK_ROWS = 1 << 16
 LOCAL_ROWS = 1 << 22  # distinct rows of a node from which a task grows all that hangs below: about 120 bytes each
-HELD_NODES = 1 << 21  # of a forest that the driver and the workers hold
+HELD_NODES = 1 << 18  # of a forest that the driver and the workers hold: about 300 bytes each while it is put together
 TREES_A_TASK = 4  # of a written forest
 REBUILT = 20  # boosted trees after which margins are computed anew from the written blocks
 LEAST_GAIN = 1e-10

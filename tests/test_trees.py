@@ -144,6 +144,14 @@ def test_a_written_forest_scores_as_one_in_memory(wavy, monkeypatch):
     assert np.allclose(trees.importances(held.fitted, 3, False), trees.importances(written.fitted, 3, False))
 
 
+def test_a_forest_of_many_nodes_stays_off_the_driver(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), int(y)) for a, b, y in zip(rng.random(8000), rng.random(8000), rng.integers(0, 2, 8000))]
+    noise = spark.createDataFrame(rows, "a double, b double, label int")
+    model = models.train(noise, ["a", "b"], "random_forest", {"n_estimators": 150})
+    assert isinstance(model.fitted, trees.Stored) and 2**18 < model.fitted.nodes.count() < 2**20
+
+
 def test_left_out_rows_are_scored_with_their_numbers(wavy, monkeypatch):
     twice = wavy.unionByName(wavy.withColumn("id", wavy.id + 5000))
     _, report = models.randomized_search(twice, ["a", "b", "c"], "label", "id", "random_forest", iterations=1, space={"n_estimators": [5], "max_depth": [6]})
