@@ -38,15 +38,24 @@ def _pack_block(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray
 
 
 def _blocks(batches):
-    """All rows of a partition as blocks; the second key keeps several blocks of one partition apart."""
-    part = 0
+    """All rows of a partition as blocks, whatever the size of the batches; the second key keeps several blocks of one partition apart."""
+    part, held, rows = 0, [], 0
+
+    def block():
+        ids, matrix = _pack_block(pa.Table.from_batches(held))
+        return batch(block=[held[0].column("block")[0].as_py()], part=[part], n=[len(ids)], ids=pa.array([ids.tobytes()], pa.binary()),
+                     matrix=pa.array([matrix.tobytes()], pa.binary()))
+
     for b in batches:
-        for lo in range(0, b.num_rows, BLOCK):
-            piece = b.slice(lo, BLOCK)
-            ids, matrix = _pack_block(piece)
-            yield batch(block=[piece.column("block")[0].as_py()], part=[part], n=[len(ids)], ids=pa.array([ids.tobytes()], pa.binary()),
-                        matrix=pa.array([matrix.tobytes()], pa.binary()))
-            part += 1
+        while b.num_rows:
+            held.append(b.slice(0, BLOCK - rows))
+            rows += held[-1].num_rows
+            b = b.slice(held[-1].num_rows)
+            if rows == BLOCK:
+                yield block()
+                part, held, rows = part + 1, [], 0
+    if held:
+        yield block()
 
 
 def _queries(every: int):
@@ -270,17 +279,19 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = asked.select(lot, "block", "part", "place", "query_id", "vector")
     asked = written(asked.groupBy("lot").applyInArrow(_query_block, "lot long, queries long, home binary, asked binary"), "query-lots")
 
+    # The optimizer takes a table's size for what is exploded from it, and a file's size for what is packed in it: a broadcast
+    # by those would bring lots x blocks to the driver.  So every join is a merge.
     def work(lots_with: DataFrame) -> DataFrame:
         everywhere = lots_with.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1)).cast("array<long>")))
-        return blocks.join(everywhere, "block").withColumn("group", F.col("block"))
+        return everywhere.join(blocks.hint("merge"), "block").withColumn("group", F.col("block"))
 
     lists = _merged(work(asked).mapInArrow(_phase_one(k), OUT), dealt, _merge_lists)
     limits = lists.mapInArrow(_cutoffs(k), OUT).select("lot", F.col("data").alias("limits"))
-    asked_2 = written(asked.join(limits, "lot"), "cutoffs")
+    asked_2 = written(asked.join(limits.hint("merge"), "lot"), "cutoffs")
     raised = _merged(work(asked_2).mapInArrow(_phase_two(k), OUT), dealt, _merge_best)
-    asked_3 = written(asked_2.join(raised.select("lot", F.col("data").alias("raised")), "lot"), "raised-cutoffs")
+    asked_3 = written(asked_2.join(raised.select("lot", F.col("data").alias("raised")).hint("merge"), "lot"), "raised-cutoffs")
     best = _merged(work(asked_3).mapInArrow(_phase_three(k), OUT), dealt, _merge_best)
-    best = best.join(asked.select("lot", "home"), "lot").select("home", "shape", "data")
+    best = best.join(asked.select("lot", "home").hint("merge"), "lot").select("home", "shape", "data")
     return best.mapInArrow(_answers, "query_id long, rank int, vec_id long, score long")
 
 

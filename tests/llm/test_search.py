@@ -4,6 +4,7 @@ import gzip
 import math
 import random
 
+from flowspark.llm import topk
 from flowspark.llm.topk import top_k
 from flowspark.llm.warc import assemble_captures, parse_records, read_warc, resolve_revisits, write_warc
 
@@ -71,6 +72,27 @@ def test_top_k_equals_brute_force(spark):
     assert vectors(spark, rows) == brute_force(rows)
 
 
+def test_top_k_brings_no_table_to_the_driver(spark, monkeypatch):
+    """What is exploded from a small file is lots x blocks: no broadcast, though the file is below the threshold."""
+    plans, sizes = [], []
+
+    def written(df, name, keep=topk.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = keep(df, name)
+        if name == "vector-blocks":
+            sizes.extend(r.n for r in out.select("n").collect())
+        return out
+
+    monkeypatch.setattr(topk, "written", written)
+    rows = [(i, [((i * 7 + j) % 13) / 8 for j in range(4)]) for i in range(5000)]
+    best = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=500)
+    plans.append(best._jdf.queryExecution().executedPlan().toString())
+    assert best.count() == 200
+    assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
+    # Arrow batches of a thousand rows do not make blocks of a thousand.
+    assert len(sizes) == 2 and sum(sizes) == 5000
+
+
 def test_top_k_of_few_and_large(spark):
     rows = [(0, [3e6, -1.0]), (20, [3e6, 2.0]), (1, [2e6, 7.0])]  # products beyond what a double holds exactly
     assert vectors(spark, rows) == brute_force(rows)
