@@ -17,8 +17,9 @@ from flowspark.functions.sequence import with_sequence
 from flowspark.operators import kernels, trees
 from flowspark.operators.labels import check_labels, check_trainable
 from flowspark.operators.metrics import ranking_scores
+from flowspark.operators.permutation import permuted_precisions
 from flowspark.operators.split import stratified_folds
-from flowspark.session import local_table, materialize
+from flowspark.session import discard, local_table, materialize
 
 DEEPEST_TREE = 30  # stands for an unlimited depth in the search
 
@@ -154,43 +155,42 @@ def permutation_importance(
 
     ``df`` holds scaled features.  Each repeat permutes whole rows once; a variant
     replaces one feature by the donor's value, so all features of a repeat share
-    the shuffle and all variants are scored and ranked in one pass.
+    the shuffle.  Repeats run one after another and leave nothing behind on disk.
     """
     if repeats < 1:
         raise ValueError("repeats must be at least 1.")
     check_labels(df, label)
+    if isinstance(model.fitted, trees.Stored):
+        baseline, losses = _written_losses(df, model, label, row_id, repeats, seed)
+    else:
+        baseline, found = permuted_precisions(df, model, label, row_id, repeats, seed)
+        losses = local_table(df.sparkSession, [(f, None if p is None else baseline - p) for f, _, p in found], "feature string, loss double")
+    return (
+        losses.groupBy("feature")
+        .agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
+        .withColumn("baseline_average_precision", F.lit(baseline).cast("double"))
+        .orderBy(F.desc("importance_mean"), "feature")
+    )
+
+
+def _written_losses(df: DataFrame, model: TrainedModel, label: str, row_id: str, repeats: int, seed: int) -> tuple[float, DataFrame]:
+    """(feature, loss) by a forest that is a written table: rows are scored where its trees lie, a repeat at a time."""
     features = list(model.features)
     base = df.select(quoted(row_id).alias("_id"), quoted(label).alias("_y"), *[quoted(f) for f in features])
     base = materialize(base, "permuted")
     baseline = ranking_scores(attack_probability(base, model), "_y", "probability").first()["pr_auc"]
-    variants = None
+    found = []
     for k in range(repeats):
         donated = shuffled_donor(base, features, "_id", seed + k)
-        changed = donated.withColumn("_repeat", F.lit(k)).withColumn(
-            "_feature", F.explode(F.array(*[F.lit(f) for f in features]))
-        )
-        changed = changed.select(
-            "_y",
-            "_repeat",
-            "_feature",
-            *[
-                F.when(F.col("_feature") == f, F.col("_donor")[f]).otherwise(quoted(f)).alias(f)
-                for f in features
-            ],
+        changed = donated.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features]))).select(
+            "_y", "_feature", *[F.when(F.col("_feature") == f, F.col("_donor")[f]).otherwise(quoted(f)).alias(f) for f in features]
         )
-        variants = changed if variants is None else variants.unionByName(changed)
-    # Ranking reads the scores twice; they are computed once, and equal ones are counted.
-    scored = attack_probability(variants, model).groupBy("_feature", "_repeat", "_y", "probability").agg(F.count("*").alias("_count"))
-    scored = materialize(scored, "permuted-scores")
-    losses = ranking_scores(scored, "_y", "probability", ["_feature", "_repeat"], "_count").select(
-        F.col("_feature").alias("feature"), (F.lit(baseline) - F.col("pr_auc")).alias("loss")
-    )
-    return (
-        losses.groupBy("feature")
-        .agg(F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
-        .withColumn("baseline_average_precision", F.lit(baseline))
-        .orderBy(F.desc("importance_mean"), "feature")
-    )
+        # Ranking reads the scores twice; they are computed once, and equal ones are counted.
+        scored = attack_probability(changed, model).groupBy("_feature", "_y", "probability").agg(F.count("*").alias("_count"))
+        scored = materialize(scored, "permuted-scores")
+        found += [(r["_feature"], None if r["pr_auc"] is None else baseline - r["pr_auc"]) for r in ranking_scores(scored, "_y", "probability", ["_feature"], "_count").collect()]
+        discard(scored)
+    return baseline, local_table(df.sparkSession, found, "feature string, loss double")
 
 
 def sample_parameters(kind: str, base: Mapping, iterations: int, seed: int, space: Mapping | None = None) -> list[dict]:

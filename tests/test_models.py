@@ -1,9 +1,16 @@
+import hashlib
+import os
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.operators import models
+from flowspark import session
+from flowspark.operators import models, permutation
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.plans import scoring, training
 from flowspark.plans.artifact import load_artifact
@@ -76,6 +83,66 @@ def test_permutation_importance(data):
         models.permutation_importance(scaled, model, "label", "id", repeats=0)
 
 
+def permuted_by_hand(rows, model, repeats, seed=42):
+    """Losses of all features and repeats, row by row; ``rows``: (id, label, values)."""
+    def precision(scored):
+        hits, seen, area = 0, 0, 0.0
+        for s in sorted({s for s, _ in scored}, reverse=True):
+            own = [y for x, y in scored if x == s]
+            hits, seen = hits + sum(own), seen + len(own)
+            area += sum(own) * hits / seen
+        return area / hits
+
+    def scores(values):
+        total = model.fitted.total(np.array(values))
+        return (1 / (1 + np.exp(-model.fitted.base - total)) if model.kind == "gbt" else total / len(model.fitted.roots)).tolist()
+
+    base, losses = precision(list(zip(scores([v for _, _, v in rows]), [y for _, y, _ in rows]))), {}
+    for k in range(repeats):
+        order = sorted(rows, key=lambda r: hashlib.md5(f"{seed + k}|{r[0]}".encode()).hexdigest())
+        donors = [*order[1:], order[0]]
+        for f, name in enumerate(model.features):
+            changed = [[*a[2][:f], b[2][f], *a[2][f + 1 :]] for a, b in zip(order, donors)]
+            losses.setdefault(name, []).append(base - precision(list(zip(scores(changed), [r[1] for r in order]))))
+    return base, losses
+
+
+@pytest.mark.parametrize("kind", ["gbt", "random_forest"])
+def test_permuted_rows_are_packed_and_leave_nothing(data, kind, monkeypatch):
+    """Ranges of a few rows, scores cut in many places, a feature with gaps; nothing stays on disk, nothing wide is written."""
+    names = [*NAMES, "noise"]
+    df = data.withColumn("noise", F.when(F.col("id") % 5 > 0, F.col("noise")))
+    model = models.train(df, names, kind, SMALL[kind])
+    written = []
+    monkeypatch.setattr(permutation, "RANGE_ROWS", 30)
+    monkeypatch.setattr(permutation, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(permutation, "materialize", lambda df, name, keep=permutation.materialize: written.append(keep(df, name)) or written[-1])
+    found = {r.feature: r for r in models.permutation_importance(df, model, "label", "id", repeats=3).collect()}
+    rows = [(r.id, r.label, [np.nan if r[n] is None else float(r[n]) for n in names]) for r in df.collect()]
+    base, losses = permuted_by_hand(rows, model, 3)
+    for name, own in losses.items():
+        assert found[name].importance_mean == pytest.approx(np.mean(own), abs=1e-12)
+        assert found[name].importance_std == pytest.approx(np.std(own), abs=1e-12)
+        assert found[name].baseline_average_precision == pytest.approx(base, abs=1e-12)
+    assert written[0].columns == ["_id", "_y", "_score", "w0"]
+    assert not any(os.path.exists(f.removeprefix("file:")) for t in written for f in t.inputFiles())
+
+
+def test_written_tables_leave_no_shuffle_files(data, spark):
+    """Of several writes at once; the session's own setting is as before."""
+    keep = spark.conf.get(session.CLEANUP, None)
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    blocks = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    before = blocks()
+    with ThreadPoolExecutor(4) as pool:
+        tables = list(pool.map(lambda k: session.materialize(data.repartition(3, "id").withColumn("k", F.lit(k)), "shuffled"), range(8)))
+    until = time.time() + 20
+    while (left := blocks() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and [t.count() for t in tables] == [200] * 8
+    assert spark.conf.get(session.CLEANUP, None) == keep
+
+
 def test_donors_are_one_cycle(data):
     donated = models.shuffled_donor(data, ["id"], "id", 3)
     follows = {r.id: r.d for r in donated.select("id", F.col("_donor.id").alias("d")).collect()}
