@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark import session
-from flowspark.operators import models, permutation
+from flowspark.operators import clean, models, permutation
 from flowspark.operators.scale import apply_scaler, fit_scaler
 from flowspark.plans import scoring, training
 from flowspark.plans.artifact import load_artifact
@@ -260,3 +260,25 @@ def test_preparation_learns_on_training_rows(data):
     assert test.count() == 40
     assert train.agg(F.min("noise")).first()[0] == 0.0 and train.agg(F.max("noise")).first()[0] == 1.0
     assert train.columns == test.columns
+
+
+def test_folds_leave_only_their_scores(data, monkeypatch):
+    """Unused columns are not written; a fold's tables go when it is done; large folds run one after the other."""
+    settings = Settings(kind="gbt", parameters=SMALL["gbt"], min_recall=0.5, max_fpr=1.0)
+    written = []
+
+    def keep(df, name, write=training.materialize):
+        written.append((name, write(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(training, "materialize", keep)
+    monkeypatch.setattr(clean, "materialize", keep)
+    wide = data.withColumn("unused", F.lit("x" * 50))
+    beside = training.cross_validate(wide, NAMES, "label", "id", settings, folds=2)["fold_metrics"].collect()
+    assert all("unused" not in t.columns for _, t in written)
+    left = {name for name, t in written if any(os.path.exists(f.removeprefix("file:")) for f in t.inputFiles())}
+    assert {"folds", "cleaned", "train_features"} <= {name for name, _ in written} - left and "outer_scores" in left
+    monkeypatch.setattr(training, "ROWS_AT_ONCE", 1)
+    busy = []
+    monkeypatch.setattr(training, "ThreadPoolExecutor", lambda n, make=ThreadPoolExecutor: busy.append(n) or make(n))
+    assert training.cross_validate(wide, NAMES, "label", "id", settings, folds=2)["fold_metrics"].collect() == beside and busy == [1]
